@@ -1,0 +1,21 @@
+"""Column lists of the ledger tables as DDL strings."""
+
+FACT = (
+    "fact_id string, document_id string, metric_code string, metric_name string, "
+    "raw_metric_name string, org string, field string, site string, reporting_period string, "
+    "temporal_grain string, numeric_value double, original_numeric_value double, unit string, "
+    "confidence_score double, validation_status string, human_verified boolean, reviewer string, "
+    "is_demo boolean, extraction_method string, sheet_name string, page_number int, "
+    "row_number int, column_name string, cell_reference string, source_context string, "
+    "superseded_by string, created_at timestamp")
+
+CELL = (
+    "document_id string, sheet_name string, row_number int, column_number int, "
+    "column_name string, cell_reference string, value string")
+
+AUDIT = "event_id string, ts timestamp, user_id string, action string, entity_type string"
+
+DECISION = (
+    "decision_id string, fact_id string, issue_id string, action string, new_value double, "
+    "new_unit string, new_metric string, other_fact_id string, loser_status string, "
+    "reviewer string, decided_at timestamp")
