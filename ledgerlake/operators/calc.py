@@ -138,13 +138,13 @@ def finish(stats: DataFrame, op: str, metrics: DataFrame) -> DataFrame:
         return (F.col("total") / F.col("n_valid")).cast("decimal(38,12)")
 
     def weighted_mean() -> Column:
-        w = (F.col("weighted") / F.col("weight")).cast("decimal(38,12)")
-        return F.coalesce(F.when(F.col("weight") != 0, w), mean())
+        w = F.col("weighted").cast("double") / F.col("weight").cast("double")
+        return F.coalesce(F.when(F.col("weight") != 0, w), mean().cast("double"))
 
     value = {
         "SUM": lambda: F.round("total", 4).cast("double"),
         "AVG": lambda: F.round(mean(), 4).cast("double"),
-        "WAVG": lambda: F.round(weighted_mean(), 4).cast("double"),
+        "WAVG": lambda: F.round(weighted_mean(), 4),
         "MIN": lambda: F.round("low", 4), "MAX": lambda: F.round("high", 4),
         "COUNT": lambda: F.col("n").cast("double"),
         "LATEST": lambda: F.round(F.col("latest")["value"], 4),

@@ -183,10 +183,8 @@ def protected_avg(spark, sf):
 
 
 @query("protected_wavg", _sql_by_org_year(
-    # half-up at four decimals in whole numbers
-    "((sum(CAST(numeric_value * confidence_score AS DECIMAL(20,6))) * 1000000)::HUGEINT * 20000 + "
-    "(sum(CAST(confidence_score AS DECIMAL(20,6))) * 1000000)::HUGEINT) // "
-    "(2 * (sum(CAST(confidence_score AS DECIMAL(20,6))) * 1000000)::HUGEINT) / 10000.0"))
+    "round(CAST(sum(CAST(numeric_value * confidence_score AS DECIMAL(20,6))) AS DOUBLE) / "
+    "CAST(sum(CAST(confidence_score AS DECIMAL(20,6))) AS DOUBLE), 4)"))
 def protected_wavg(spark, sf):
     return _by_org_year(spark, sf, "WAVG", weight=F.col("confidence_score"))
 

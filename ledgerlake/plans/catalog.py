@@ -1,6 +1,6 @@
 """Imports every plan module, so that all queries are registered."""
 
-from ledgerlake.plans import calculation  # noqa: F401
+from ledgerlake.plans import calculation, ledger_writes  # noqa: F401
 from ledgerlake.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
