@@ -259,6 +259,18 @@ INJECTION_PATTERN = (
     r"|disregard\s+rules?|you\s+are\s+now|jailbreak)\b"
 )
 
+# one fact in running text: organisation, metric, number, unit, period
+TEXT_FACT_PATTERN = (
+    r"(?i)\b([A-Z]{3,5})?\s*(?:achieved|recorded|reported|produced|mined|drilled)?\s*"
+    r"([a-zA-Z\s]{3,35}?)\s*(?:of|is|was|reached|totalling|stands at)?\s*"
+    r"[:=]?\s*([0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?)\s*"
+    r"(MT|BCM|Lakh Tonnes|Million Tonnes|Tonnes|Mte|M\.T\.|m|Mm3|ha|Cr|INR Cr)?\b"
+    r"(?:[^\n\.\;]*?(?:during|in|for)?\s*(FY\s*\d{4}[-–]\d{2,4}|\d{4}[-–]\d{2,4}|Q[1-4]\s*FY\d{2}))?"
+)
+TEXT_FACT_VERBS = ["achieved", "recorded", "reported", "produced", "mined", "drilled"]
+# metrics whose values may look like a year
+YEAR_LIKE_METRICS = ["DRILLING", "BOREHOLE_COUNT"]
+
 # header words that give a column its role; the lists marked "part" match inside the header
 ROLE_METRIC = ["metric", "parameter", "indicator", "activity", "item", "particulars"]
 ROLE_VALUE = ["value", "actual", "figure", "qty", "quantity", "amount", "total"]

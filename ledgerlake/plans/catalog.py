@@ -1,6 +1,7 @@
 """Imports every plan module, so that all queries are registered."""
 
-from ledgerlake.plans import calculation, dashboards, ledger_writes  # noqa: F401
+from ledgerlake.plans import (calculation, dashboards, extraction, ledger_writes,  # noqa: F401
+                              normalise)  # noqa: F401
 from ledgerlake.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
