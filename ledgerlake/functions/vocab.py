@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlake import dims
-from ledgerlake.functions.text import first_match, regex_escape
+from ledgerlake.functions.text import first_match, let, regex_escape
 
 
 def _lookup(pairs: dict[str, str], key: Column) -> Column:
@@ -110,9 +110,11 @@ def question_metric(text: Column) -> Column:
     """Longest metric alias that stands in the text as whole words; else norm_metric."""
     low = F.lower(text)
     ordered = sorted(dims.metric_alias_rows(), key=lambda r: (-len(r[0]), r[2]))
-    table = F.array(*[F.struct(F.lit(rf"\b{regex_escape(a)}\b").alias("p"), F.lit(c).alias("code"))
-                      for a, c, _ in ordered])
-    worded = F.get(F.filter(table, lambda r: F.regexp_like(low, r["p"])), 0)["code"]
+    table = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(rf"\b{regex_escape(a)}\b").alias("p"),
+                               F.lit(c).alias("code")) for a, c, _ in ordered])
+    # the plain contains goes first, so that few patterns are run
+    worded = F.get(F.filter(table, lambda r: F.contains(low, r["alias"]) & F.regexp_like(low, r["p"])),
+                   0)["code"]
     return F.coalesce(worded, norm_metric(text))
 
 
@@ -145,6 +147,16 @@ def all_entities_flag(text: Column) -> Column:
         r"\b(?:all\s+subsidiaries|across\s+subsidiaries|each\s+subsidiary|subsidiary\s+wise)\b")
 
 
+def question_tags(text: Column) -> Column:
+    """struct(intent, org, metric_code, period, claimed) of a question, worked out once per text."""
+    from ledgerlake.functions.period import question_period
+
+    return let(text, lambda t: F.struct(
+        tag_intent(t)["intent"].alias("intent"), F.get(question_orgs(t), 0).alias("org"),
+        question_metric(t).alias("metric_code"), question_period(t)["period"].alias("period"),
+        claimed_number(t).alias("claimed")))
+
+
 def period_and_org(question: Column) -> Column:
     """struct(period, org) as written in a question."""
     raw = F.upper(F.regexp_extract(

@@ -83,7 +83,7 @@ def contradictions(facts: DataFrame, keys: list[str] = CONFLICT_KEYS,
         F.when(differs(n), F.col(n)) for n in ("a", "b", "c", "d", "e")])))
     before = F.struct(F.col("p.created_at"), F.col("p.fact_id")) < F.struct("created_at", "fact_id")
     other, mine = F.col("p.numeric_value"), F.col("numeric_value")
-    gap = F.abs(mine - other) / other * 100
+    gap = F.abs(mine - other) / F.when(other > 0, other) * 100
     return (joined.withColumn("p", found).filter(F.col("p").isNotNull() & before & (other > 0))
             .withColumn("gap", gap).filter(F.col("gap") >= min_gap_pct)
             .select(F.concat_ws("|", F.col("p.fact_id"), "fact_id").alias("conflict_id"), *keys,
