@@ -44,9 +44,11 @@ def _fiscal_period(day: Column, line: Column) -> Column:
     return F.when(line <= 3, year).when(line <= 5, quarter).otherwise(month)
 
 
-def facts(spark: SparkSession, directory: str) -> DataFrame:
-    """lineitem x supplier x nation x region as a fact ledger."""
-    li = spread(read_table(spark, directory, "lineitem"), "l_orderkey", "l_linenumber")
+def facts(spark: SparkSession, directory: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """lineitem x supplier x nation x region as a fact ledger; `lineitem` may be a stream."""
+    li = lineitem
+    if li is None:
+        li = spread(read_table(spark, directory, "lineitem"), "l_orderkey", "l_linenumber")
     sup = read_table(spark, directory, "supplier").select("s_suppkey", "s_nationkey", "s_name")
     nat = read_table(spark, directory, "nation")
     reg = read_table(spark, directory, "region")
