@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EXPORT_COLUMNS = [
@@ -12,6 +12,13 @@ EXPORT_COLUMNS = [
     "confidence_score", "validation_status", "is_demo"]
 
 
+def _cp1252(line: Column) -> Column:
+    """Text read as ISO-8859-1 turned into cp1252: both agree but for the codes 0x80-0x9F."""
+    pairs = [(chr(i), bytes([i]).decode("cp1252", "ignore")) for i in range(0x80, 0xA0)]
+    pairs = [(a, b) for a, b in pairs if b]
+    return F.translate(line, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+
+
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Lines of text files with their 0-based number in the file.
 
@@ -19,10 +26,12 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
     lines in the splits before; only one count per split is gathered. Files read as numbered lines
     must not change between two scans.
     """
+    windows = encoding.lower() in ("cp1252", "windows-1252")
+    charset = "ISO-8859-1" if windows or encoding.lower() == "latin1" else encoding
     raw = (spark.read.schema("line string").option("sep", "\u0001").option("quote", "")
-           .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
+           .option("encoding", charset).option("mode", "PERMISSIVE").csv(path))
     raw = raw.select(
-        "line", F.col("_metadata.file_path").alias("file"),
+        (_cp1252(F.col("line")) if windows else F.col("line")).alias("line"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("mid"))
     splits = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
