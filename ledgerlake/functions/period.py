@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.text import first_match
+from ledgerlake.functions.text import first_match, let
 
 # --- fixed values: month names in calendar order ---
 MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
@@ -34,7 +34,10 @@ def _range(text: Column, pattern: str) -> Column:
 
 def norm_period(raw: Column) -> Column:
     """Canonical `FY 2024-25`, `Q2 FY 2024-25` or `Apr 2024`; NULL when nothing is recognised."""
-    t = F.trim(raw)
+    return let(F.trim(raw), _norm_trimmed)
+
+
+def _norm_trimmed(t: Column) -> Column:
     tail = _part(t, QUARTER, 3)
     quarter = F.concat(
         F.upper(_part(t, QUARTER, 1)), F.lit(" FY "), _part(t, QUARTER, 2),
@@ -69,7 +72,8 @@ def extract_periods(text: Column, quarter_first: bool = True) -> Column:
     month = rf"(?i)(\b(?:{MONTH_NAMES})\s+\d{{4}}\b)"
     order = [quarter, *year_patterns, month] if quarter_first else [*year_patterns, quarter, month]
     hits = F.concat(*[F.regexp_extract_all(text, F.lit(p), 1) for p in order])
-    return F.array_distinct(F.filter(F.transform(hits, norm_period), lambda p: p.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(hits, lambda h: norm_period(h)),
+                                     lambda p: p.isNotNull()))
 
 
 def extract_period(text: Column, quarter_first: bool = True) -> Column:

@@ -20,8 +20,8 @@ def _lookup(pairs: dict[str, str], key: Column) -> Column:
 def norm_org(name: Column) -> Column:
     """Organisation code for a name; an unknown name comes back trimmed."""
     codes = {a: c for a, c, _ in dims.ORGS} | {c.lower(): c for c in dims.ORG_CODES}
-    clean = F.trim(name)
-    return F.when(clean != "", F.coalesce(_lookup(codes, F.lower(clean)), clean))
+    return let(F.trim(name), lambda clean: F.when(
+        clean != "", F.coalesce(_lookup(codes, F.lower(clean)), clean)))
 
 
 def is_table_org(name: Column) -> Column:
@@ -53,24 +53,25 @@ def norm_metric(name: Column) -> Column:
     rows = dims.metric_alias_rows()
     exact = {a: c for a, c, _ in rows}
     ordered = sorted(rows, key=lambda r: (-len(r[0]), r[2]))
-    low = F.lower(F.trim(name))
-    spaced = F.translate(low, "_-", "  ")
     table = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(c).alias("code"))
                       for a, c, _ in ordered])
-    contained = F.get(F.filter(table, lambda r: F.contains(low, r["alias"])), 0)["code"]
-    return F.coalesce(_lookup(exact, low), _lookup(exact, spaced), contained)
+
+    def look_up(low: Column) -> Column:
+        contained = F.get(F.filter(table, lambda r: F.contains(low, r["alias"])), 0)["code"]
+        return F.coalesce(_lookup(exact, low), _lookup(exact, F.translate(low, "_-", "  ")), contained)
+
+    return let(F.lower(F.trim(name)), look_up)
 
 
 def norm_unit(raw: Column, strict: bool = False) -> Column:
     """Canonical unit, '' when unknown. Compound units (`m3/t`, `sq km`, `kWh/t`) are tested before
     their parts; strict=True keeps the original order, in which `m3/t` reads as `T`."""
-    t = F.trim(raw)
     ordered = list(dims.UNIT_PATTERNS)
     if not strict:
         compound = [p for p in ordered if p[1] in ("m3/t", "sq km", "kcal/kg")]
         ordered = compound + [(r"\b(kwh\s*/\s*t)\b", "kWh/t")] + ordered
-    return first_match(
-        [(t.rlike("(?i)" + p), F.lit(u)) for p, u in ordered], F.lit(""))
+    return let(F.trim(raw), lambda t: first_match(
+        [(t.rlike("(?i)" + p), F.lit(u)) for p, u in ordered], F.lit("")))
 
 
 def unit_or_null(raw: Column, strict: bool = False) -> Column:
@@ -108,14 +109,16 @@ def identify_metric(question: Column) -> Column:
 
 def question_metric(text: Column) -> Column:
     """Longest metric alias that stands in the text as whole words; else norm_metric."""
-    low = F.lower(text)
     ordered = sorted(dims.metric_alias_rows(), key=lambda r: (-len(r[0]), r[2]))
     table = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(rf"\b{regex_escape(a)}\b").alias("p"),
                                F.lit(c).alias("code")) for a, c, _ in ordered])
-    # the plain contains goes first, so that few patterns are run
-    worded = F.get(F.filter(table, lambda r: F.contains(low, r["alias"]) & F.regexp_like(low, r["p"])),
-                   0)["code"]
-    return F.coalesce(worded, norm_metric(text))
+
+    def worded(low: Column) -> Column:
+        # the plain contains goes first, so that few patterns are run
+        return F.get(F.filter(table, lambda r: F.contains(low, r["alias"])
+                              & F.regexp_like(low, r["p"])), 0)["code"]
+
+    return F.coalesce(let(F.lower(text), worded), norm_metric(text))
 
 
 def question_orgs(text: Column) -> Column:
@@ -201,7 +204,10 @@ def extract_entities(text: Column) -> Column:
 
 def tag_intent(question: Column) -> Column:
     """struct(intent, confidence); rules are tried in vocabulary order, the first hit wins."""
-    t = F.lower(F.trim(F.coalesce(question, F.lit(""))))
+    return let(F.lower(F.trim(F.coalesce(question, F.lit("")))), _tag_lowered)
+
+
+def _tag_lowered(t: Column) -> Column:
     words = F.size(F.regexp_extract_all(t, F.lit(r"\b(\w+)\b"), 1))
 
     def tag(name: str, conf: float) -> Column:

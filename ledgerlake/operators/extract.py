@@ -71,13 +71,20 @@ def facts_from_tables(cells: DataFrame, context: DataFrame | None = None) -> Dat
     cols, sheets = _headers(cells)
     c = cells.join(cols, [*SHEET, "column_number"]).withColumn("val", F.trim("value"))
     val, role = F.col("val"), F.col("role")
+    named_by = F.col("is_first") | F.coalesce(role == "metric", F.lit(False))
+    # all that depends on one cell is worked out here, before the rows are gathered: later filters
+    # on it cannot pull the expressions apart again
     c = c.withColumns({
-        "val_org": F.when(is_table_org(val), norm_org(val)),
+        "val_org": let(norm_org(val), lambda o: F.when(o.isin(*dims.TABLE_ORG_CODES), o)),
         "val_period": F.when((role == "period") | F.col("period_like"),
-                             F.coalesce(norm_period(val), extract_period(val)))})
+                             F.coalesce(norm_period(val), extract_period(val))),
+        "val_metric": F.when(named_by, norm_metric(val)),
+        "val_number": parse_number(val),
+        "val_unit": F.when(val != "", unit_or_null(val))})
 
     def cell_of(name: str) -> Column:
-        return F.max(F.when(role == name, F.struct("val", "cell_reference", "column_name")))
+        return F.max(F.when(role == name, F.struct(
+            "val", "cell_reference", "column_name", "val_metric", "val_number", "val_unit")))
 
     rows = c.groupBy(*SHEET, "row_number").agg(
         F.max(F.when(role == "period", F.col("val_period"))).alias("p1"),
@@ -85,11 +92,12 @@ def facts_from_tables(cells: DataFrame, context: DataFrame | None = None) -> Dat
         F.max(F.when(role == "org", F.col("val_org"))).alias("o1"),
         _first(F.col("val_org").isNotNull(), F.col("val_org")).alias("o2"),
         F.max(F.when((role == "site") & (F.length("val") > 2), val)).alias("row_site"),
-        F.max(F.when(role == "unit", unit_or_null(val))).alias("row_unit"),
-        F.max(F.when(F.col("is_first"), val)).alias("first_val"),
+        F.max(F.when(role == "unit", F.col("val_unit"))).alias("row_unit"),
+        F.max(F.when(F.col("is_first"), F.struct("val", "val_metric"))).alias("f"),
         cell_of("metric").alias("m"), cell_of("value").alias("v"),
         F.collect_list(F.struct("column_number", "column_name", "cell_reference", "val", "role",
-                                "col_metric", "col_period", "col_unit", "is_first")).alias("cells"))
+                                "col_metric", "col_period", "col_unit", "is_first", "val_number",
+                                "val_unit")).alias("cells"))
     rows = rows.join(sheets, SHEET)
     if context is not None:
         rows = rows.join(context, "document_id", "left")
@@ -97,8 +105,8 @@ def facts_from_tables(cells: DataFrame, context: DataFrame | None = None) -> Dat
         rows = rows.withColumns({n: F.lit(None).cast("string") for n in ("g_period", "g_org", "g_site")})
     rows = rows.withColumns({
         "row_period": F.coalesce("p1", "p2"), "row_org": F.coalesce("o1", "o2"),
-        "row_metric": norm_metric(F.col("first_val")), "long_metric": norm_metric(F.col("m.val")),
-        "long_value": parse_number(F.col("v.val"))})
+        "first_val": F.col("f.val"), "row_metric": F.col("f.val_metric"),
+        "long_metric": F.col("m.val_metric"), "long_value": F.col("v.val_number")})
     named = F.col("m").isNotNull() & F.col("v").isNotNull() & F.col("long_value").isNotNull()
     mapped = named & F.col("long_metric").isNotNull()
     unmapped = named & F.col("long_metric").isNull() & (F.length("m.val") > 1)
@@ -112,7 +120,7 @@ def facts_from_tables(cells: DataFrame, context: DataFrame | None = None) -> Dat
         "mapped": F.coalesce(mapped, F.lit(False)),
         "metric_code": F.coalesce("long_metric", F.lit("UNMAPPED")),
         "raw_metric_name": F.col("m.val"), "numeric_value": F.col("long_value"),
-        "unit": F.coalesce("row_unit", unit_or_null(F.col("v.val")), blank_to_null(
+        "unit": F.coalesce("row_unit", "v.val_unit", blank_to_null(
             default_unit(F.col("long_metric"))), F.lit("count")),
         "reporting_period": F.coalesce("row_period", "table_period", "g_period"),
         "column_name": F.col("v.column_name"), "cell_reference": F.col("v.cell_reference")})
@@ -125,11 +133,11 @@ def facts_from_tables(cells: DataFrame, context: DataFrame | None = None) -> Dat
         "metric_code": F.coalesce("x.col_metric", "row_metric"),
         "raw_metric_name": F.when(F.col("x.col_metric").isNotNull(), F.col("x.column_name"))
         .otherwise(F.col("first_val")),
-        "numeric_value": parse_number(F.col("x.val"))})
+        "numeric_value": F.col("x.val_number")})
     wide = drop_year_like(
         x.filter(F.col("metric_code").isNotNull() & F.col("numeric_value").isNotNull()),
         F.col("x.val")).withColumns({
-            "unit": F.coalesce("row_unit", unit_or_null(F.col("x.val")), "x.col_unit",
+            "unit": F.coalesce("row_unit", "x.val_unit", "x.col_unit",
                                blank_to_null(default_unit(F.col("metric_code")))),
             "reporting_period": F.coalesce("x.col_period", "row_period", "table_period", "g_period"),
             "column_name": F.col("x.column_name"), "cell_reference": F.col("x.cell_reference")})
@@ -158,34 +166,43 @@ def score_facts(facts: DataFrame, method: str, quality: Column | None = None) ->
                   .otherwise("NEEDS_REVIEW")).drop("mapped")
 
 
+TEXT_GROUPS = ["hit", "org_raw", "metric_raw", "num_raw", "unit_raw", "period_raw"]
+
+
+def _read_hit(z: Column) -> Column:
+    """Organisation, metric and number of one match. The organisation may also lead the metric text."""
+    words = F.split(F.trim(z["metric_raw"]), r"\s+")
+
+    def code(name: Column) -> Column:
+        return let(norm_org(name), lambda o: F.when(o.isin(*dims.ORG_CODES), o))
+
+    def with_orgs(o: Column) -> Column:
+        lead_is_org = o["known"].isNull() & o["lead"].isNotNull()
+        skip = F.when(F.lower(F.get(o["words"], 1)).isin(*dims.TEXT_FACT_VERBS), 3).otherwise(2)
+        rest = F.array_join(F.slice(o["words"], skip, F.size(o["words"])), " ")
+        name = F.trim(F.when(lead_is_org, rest).otherwise(z["metric_raw"]))
+        return let(name, lambda n: F.struct(
+            z["hit"].alias("hit"), z["num_raw"].alias("num_raw"), z["unit_raw"].alias("unit_raw"),
+            z["period_raw"].alias("period_raw"),
+            F.coalesce(o["known"], F.when(lead_is_org, o["lead"])).alias("text_org"),
+            n.alias("raw_metric_name"), norm_metric(n).alias("metric_code"),
+            parse_number(z["num_raw"]).alias("numeric_value")))
+
+    return let(F.struct(words.alias("words"), code(z["org_raw"]).alias("known"),
+                        code(F.get(words, 0)).alias("lead")), with_orgs)
+
+
 def facts_from_text(pages: DataFrame, key: str = "document_id", text: str = "content",
                     context: DataFrame | None = None) -> DataFrame:
     """Facts of free text, several per page. `pages`: key, page_number, text."""
     t = F.col(text)
     groups = [F.regexp_extract_all(t, F.lit(dims.TEXT_FACT_PATTERN), i) for i in range(6)]
-    zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(
-        groups, ("hit", "org_raw", "metric_raw", "num_raw", "unit_raw", "period_raw"))])
-    m = pages.select(key, "page_number", t.alias("_text"), F.posexplode(zipped).alias("hit_no", "z"))
-    names = ["hit", "org_raw", "metric_raw", "num_raw", "unit_raw", "period_raw"]
-    m = m.select(key, "page_number", "_text", "hit_no",
-                 *[F.col(f"z.{i}").alias(n) for i, n in enumerate(names)]
-                 if "0" in m.schema["z"].dataType.names else
-                 [F.col(f"z.{n}") for n in names])
-    known = F.when(norm_org(F.col("org_raw")).isin(*dims.ORG_CODES), norm_org(F.col("org_raw")))
-    words = F.split(F.trim("metric_raw"), r"\s+")
-    lead = norm_org(F.get(words, 0))
-    lead_is_org = known.isNull() & lead.isin(*dims.ORG_CODES)
-    rest = F.slice(words, 2, 100)
-    rest = F.when(F.lower(F.get(rest, 0)).isin(*dims.TEXT_FACT_VERBS), F.slice(words, 3, 100)).otherwise(
-        rest)
-    m = m.withColumns({
-        "text_org": F.coalesce(known, F.when(lead_is_org, lead)),
-        "raw_metric_name": F.trim(F.when(lead_is_org, F.array_join(rest, " "))
-                                  .otherwise(F.col("metric_raw")))})
-    m = m.withColumns({"metric_code": norm_metric(F.col("raw_metric_name")),
-                       "numeric_value": parse_number(F.col("num_raw"))})
-    m = m.filter(F.col("metric_code").isNotNull() & F.col("numeric_value").isNotNull()
-                 & (F.col("numeric_value") != 0))
+    zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, TEXT_GROUPS)])
+    # hits are read and filtered inside the array, each name and number once, then exploded
+    facts = F.filter(F.transform(zipped, _read_hit), lambda h: h["metric_code"].isNotNull()
+                     & h["numeric_value"].isNotNull() & (h["numeric_value"] != 0))
+    m = pages.select(key, "page_number", t.alias("_text"), F.posexplode(facts).alias("hit_no", "h"))
+    m = m.select(key, "page_number", "_text", "hit_no", "h.*")
     m = drop_year_like(m, F.col("num_raw"))
     if context is not None:
         m = m.join(context, key, "left")

@@ -74,29 +74,34 @@ def label_exclusions(facts: DataFrame, scope_keys: list[str] = (), exclude_group
     """Every fact with `exclusion_reason` (NULL = included) and, for duplicates, the kept fact."""
     scope_keys = list(scope_keys)
     keyed = with_protection_keys(facts, group_codes)
-    winners = drop_exact_duplicates(keyed, scope_keys).withColumnRenamed("fact_id", "kept_fact_id")
+    # the winners are read twice below with the same columns, so that their shuffle is reused
+    winners = drop_exact_duplicates(keyed, scope_keys).select(
+        *unique(*scope_keys, *DUP_KEYS), F.col("fact_id").alias("kept_fact_id"), "k_fy",
+        F.col("k_grain").alias("kept_grain"), "is_group")
     if exclude_group:
-        presence = company_presence(winners, scope_keys)
+        presence = company_presence(keyed, scope_keys)
         winners = winners.join(presence, scope_keys) if scope_keys else winners.crossJoin(
             F.broadcast(presence))  # a single row
         dropped = F.col("is_group") & F.col("has_company")
     else:
         dropped = F.lit(False)
-    winners = winners.withColumn("group_dropped", dropped)
-    annual = (winners.filter((F.col("k_grain") == "ANNUAL") & ~F.col("group_dropped"))
+    winners = winners.withColumn("group_dropped", dropped).drop("is_group", "has_company")
+    annual = (winners.filter((F.col("kept_grain") == "ANNUAL") & ~F.col("group_dropped"))
               .select(*unique(*scope_keys, *YEAR_KEYS)).distinct().withColumn("has_annual", F.lit(True)))
-    kept = winners.select(*unique(*scope_keys, *DUP_KEYS), "kept_fact_id", "group_dropped")
-    labelled = (keyed.join(kept, unique(*scope_keys, *DUP_KEYS))
+    # year and grain are taken from the winner: the annual rule only concerns rows that are kept, and
+    # those are their own winners
+    labelled = (keyed.drop("k_fy", "k_grain", "is_group")
+                .join(winners, unique(*scope_keys, *DUP_KEYS))
                 .join(annual, unique(*scope_keys, *YEAR_KEYS), "left"))
-    is_part = F.col("k_grain").isin("MONTHLY", "QUARTERLY")
+    is_part = F.col("kept_grain").isin("MONTHLY", "QUARTERLY")
     reason = (F.when(F.col("fact_id") != F.col("kept_fact_id"), EXACT)
               .when(F.col("group_dropped"), GROUP)
               .when(is_part & F.coalesce("has_annual", F.lit(False)), TEMPORAL))
     return (labelled.withColumn("exclusion_reason", reason)
             .withColumn("kept_fact_id", F.when(F.col("exclusion_reason") == EXACT,
                                                F.col("kept_fact_id")))
-            .drop("group_dropped", "has_annual", *[k for k in DUP_KEYS if k != "metric_code"],
-                  "k_fy", "k_grain", "is_group"))
+            .drop("group_dropped", "has_annual", "kept_grain", "k_fy",
+                  *[k for k in DUP_KEYS if k != "metric_code"]))
 
 
 def included(facts: DataFrame, **kwargs) -> DataFrame:
