@@ -39,6 +39,8 @@ def main() -> None:
              .config("spark.sql.shuffle.partitions", cpus)
              .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
              .config("spark.sql.session.timeZone", "UTC")
+             # test data is small: without this, adaptive execution packs CPU-heavy steps into one task
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.python.sql.dataFrameDebugging.enabled", "false")

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ledgerlake import dims
 from ledgerlake.functions import scoring
 from ledgerlake.functions.period import extract_period, norm_period
-from ledgerlake.functions.text import blank_to_null, has_any, let, parse_number
+from ledgerlake.functions.text import any_of, blank_to_null, has_any, let, parse_number
 from ledgerlake.functions.vocab import (
     default_unit, extract_entities, is_table_org, metric_name, norm_metric, norm_org, unit_or_null)
 from ledgerlake.operators.cells import SHEET
 
 
+ROLES = ["metric", "value", "unit", "period", "org", "site"]
+
+
 def header_roles(names: DataFrame) -> DataFrame:
     """Role of every column by its header: metric / value / unit / period / org / site, or NULL."""
     h = F.lower(F.trim("column_name"))
@@ -36,13 +39,20 @@ def _headers(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per column: role, metric, period, unit. Per sheet: period and organisation of the headers.
 
     Column names repeat over rows, so everything derived from them is worked out once per column."""
-    names = cells.select(*SHEET, "column_number", "column_name").distinct()
-    roles = column_roles(names).select(*SHEET, "column_number", "role")
+    names = header_roles(cells.select(*SHEET, "column_number", "column_name").distinct())
+    # the last column per role by conditional maxima: a filter on the role would be pushed below the
+    # distinct and run once per cell
+    last = names.groupBy(*SHEET).agg(*[
+        F.max(F.when(F.col("role") == r, F.col("column_number"))).alias(f"last_{r}") for r in ROLES])
+    is_last = any_of([F.coalesce((F.col("role") == r) & (F.col("column_number") == F.col(f"last_{r}")),
+                                 F.lit(False)) for r in ROLES])
     name = F.col("column_name")
-    cols = names.join(roles, [*SHEET, "column_number"], "left").withColumns({
-        "col_metric": norm_metric(name), "col_period": F.coalesce(extract_period(name), norm_period(name)),
-        "col_unit": unit_or_null(name), "is_first": F.col("column_number") == 1,
-        "period_like": has_any(F.lower(name), dims.ROW_PERIOD_PART)})
+    cols = names.join(last, SHEET).select(
+        *SHEET, "column_number", "column_name", F.when(is_last, F.col("role")).alias("role")).withColumns({
+            "col_metric": norm_metric(name),
+            "col_period": F.coalesce(extract_period(name), norm_period(name)),
+            "col_unit": unit_or_null(name), "is_first": F.col("column_number") == 1,
+            "period_like": has_any(F.lower(name), dims.ROW_PERIOD_PART)})
     text = F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("column_number", "column_name"))),
         lambda x: x["column_name"]), " ")

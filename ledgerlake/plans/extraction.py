@@ -246,7 +246,7 @@ SENTENCE = f"""{{prefix}} AS (SELECT CAST(o_orderkey AS VARCHAR) AS document_id,
 
 
 def sentences(spark, sf):
-    o = ad.read_table(spark, sf, "orders")
+    o = ad.spread(ad.read_table(spark, sf, "orders"), "o_orderkey")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
 
     def pk(items, step):
