@@ -39,11 +39,13 @@ def _headers(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per column: role, metric, period, unit. Per sheet: period and organisation of the headers.
 
     Column names repeat over rows, so everything derived from them is worked out once per column."""
-    names = header_roles(cells.select(*SHEET, "column_number", "column_name").distinct())
-    # the last column per role by conditional maxima: a filter on the role would be pushed below the
-    # distinct and run once per cell
+    # Counted rather than made distinct, and without a filter on the role: the optimiser would drop
+    # the distinct below a maximum, or push the filter below it, and test every cell for its role.
+    names = header_roles(cells.groupBy(*SHEET, "column_number", "column_name").agg(
+        F.count("*").alias("n_cells")))
     last = names.groupBy(*SHEET).agg(*[
-        F.max(F.when(F.col("role") == r, F.col("column_number"))).alias(f"last_{r}") for r in ROLES])
+        F.max(F.when((F.col("role") == r) & (F.col("n_cells") > 0), F.col("column_number")))
+        .alias(f"last_{r}") for r in ROLES])
     is_last = any_of([F.coalesce((F.col("role") == r) & (F.col("column_number") == F.col(f"last_{r}")),
                                  F.lit(False)) for r in ROLES])
     name = F.col("column_name")
@@ -58,7 +60,8 @@ def _headers(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
         lambda x: x["column_name"]), " ")
     sheets = names.groupBy(*SHEET).agg(
         text.alias("header_text"),
-        F.min(F.when(is_table_org(name), F.struct("column_number", norm_org(name).alias("org"))))
+        F.min(F.when((F.col("n_cells") > 0) & is_table_org(name),
+                     F.struct("column_number", norm_org(name).alias("org"))))
         .alias("t")).select(
         *SHEET, extract_period(F.col("header_text")).alias("table_period"),
         F.col("t.org").alias("table_org"))
