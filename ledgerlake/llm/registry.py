@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import exact_dedup
+from ledgerlake.llm import exact_dedup, ngram_join
 
-QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup}
+QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup,
+           "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join}
 SQL = {"op3_exact_dedup": exact_dedup.SQL}
