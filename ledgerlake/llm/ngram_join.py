@@ -8,8 +8,9 @@ order: shingles that fill many documents last, the rest by their hash.
    size and position. A name held by few classes gives all its pairs. A name held by many gives pairs
    with its first class, then with the next eight, the next sixty-four ... and each time only between
    classes that no verified link has joined so far. Every pair is either tested or already connected.
-3. The order is cut into fragments. The overlap of a pair is counted in each fragment separately and
-   summed over the fragments; the sum decides the link.
+3. The order is cut into fragments. The leading parts are the first: names missing there on either
+   side already rule out most pairs, exactly. For the others the overlap is counted in each fragment of
+   the whole sets separately and summed over the fragments; the sum decides the link.
 4. Links are closed to components.
 
 Which shingles count as frequent only steers the order; any choice gives the same links.
@@ -29,8 +30,8 @@ from ledgerlake.llm.common import WordNames, connected_components, cut, grams, t
 SHINGLE, PERCENT = 5, 80
 FRAGMENTS = 8
 SMALL = 16  # a name held by so many classes gives all its pairs at once
-LOCAL_ROWS, LOCAL_COUNT = 2_000_000, 4
-HOT_LEAST, HOT_MOST = 200, 1_000_000
+LOCAL_ROWS, LOCAL_COUNT = 4_000_000, 3
+HOT_LEAST, HOT_MOST = SMALL + 1, 1_000_000
 
 
 def shingle_set(data: bytes | None, k: int, names: WordNames) -> np.ndarray:
@@ -79,12 +80,17 @@ def frequent_names(data: DataFrame, k: int) -> tuple[np.ndarray, int]:
     return np.sort(np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64)), total
 
 
-def leading_part(s: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
-    """The names of which a similar set must share one: all but ceil(percent * n) - 1 of the last."""
+def leading_part(s: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The names of which a similar set must share one: all but the last ceil(percent * n / 100) - 1;
+    and how many of them are not frequent (these come first)."""
     n = len(s)
+    rare = n
     if n and len(hot):
-        s = np.concatenate([s[~(late := np.isin(s, hot))], s[late]])
-    return s[:n - (percent * n + 99) // 100 + 1] if n else s
+        late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+        rare = n - int(late.sum())
+        s = np.concatenate([s[~late], s[late]])
+    part = s[:n - (percent * n + 99) // 100 + 1] if n else s
+    return part, min(rare, len(part))
 
 
 def _grouped(batches, column: str = "h"):
@@ -147,6 +153,32 @@ def candidate_pairs(shared: DataFrame, turn: int, percent: int) -> DataFrame:
             .mapInArrow(pairs, "a long, b long").distinct())
 
 
+def first_fragment(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Drops pairs that differ too much in their leading parts. Up to the nearer end of the two parts
+    (without the frequent names) both sets are known whole, so what differs there differs for good."""
+    def test(batches):
+        for batch in batches:
+            a, b, na, nb, ra, rb = (batch.column(i).to_numpy() for i in (0, 1, 2, 3, 4, 5))
+            pa_, pb_ = batch.column(6), batch.column(7)
+            ok = np.zeros(len(a), bool)
+            for i in range(len(a)):
+                x, y = pa_[i].values.to_numpy(), pb_[i].values.to_numpy()
+                open_x, open_y = ra[i] < len(x), rb[i] < len(y)
+                x, y = x[:ra[i]].view(np.uint64), y[:rb[i]].view(np.uint64)
+                ends = [z[-1] if len(z) else 0 for z, whole in ((x, open_x), (y, open_y)) if not whole]
+                if ends:
+                    x, y = (z[:np.searchsorted(z, np.uint64(min(ends)), "right")] for z in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                total = na[i] + nb[i]
+                ok[i] = len(x) + len(y) - 2 * common <= total - 2 * -(-percent * total // (100 + percent))
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+
+    x, y = (parts.select(F.col("cid").alias(i), F.col("n").alias(f"n{i}"), F.col("rare").alias(f"r{i}"),
+                         F.col("part").alias(f"p{i}")) for i in "ab")
+    return (pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb", "pa", "pb")
+            .mapInArrow(test, "a long, b long"))
+
+
 def fragments_of(data: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(cid, f, names): the sets of the wanted classes, cut by the leading bits of the names."""
     def cut_sets(batches):
@@ -204,38 +236,36 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), _texts(batch), strict=True):
                 s = shingle_set(text, k, names)
-                rows.append((doc, len(s), set_key(s), leading_part(s, hot_at.value, percent).view(np.int64)))
+                part, rare = leading_part(s, hot_at.value, percent)
+                rows.append((doc, len(s), set_key(s), part.view(np.int64), rare))
             if rows:
-                d, n, key, p = zip(*rows, strict=True)
+                d, n, key, p, rare = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(key, pa.binary()),
-                     pa.array(p, pa.list_(pa.int64()))], ["doc_id", "n", "key", "part"])
+                     pa.array(p, pa.list_(pa.int64())), pa.array(rare, pa.int32())], ["doc_id", "n", "key", "part", "rare"])
 
-    held = cut(data.mapInArrow(sets, "doc_id long, n int, key binary, part array<long>"), "sets")
+    held = cut(data.mapInArrow(sets, "doc_id long, n int, key binary, part array<long>, rare int"), "sets")
     classes = cut(held.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("doc_id"))
                   .withColumn("cid", F.monotonically_increasing_id()), "classes")
     c = classes.select(F.col("key").alias("ckey"), F.col("doc_id").alias("cdoc"), "cid")
-    tokens = (held.join(c, (F.col("key") == F.col("ckey")) & F.col("doc_id").eqNullSafe(F.col("cdoc")))
-              .select("cid", "n", F.posexplode("part").alias("pos", "h")).select("h", "cid", "n", "pos"))
+    parts = cut(held.join(c, (F.col("key") == F.col("ckey")) & F.col("doc_id").eqNullSafe(F.col("cdoc")))
+                .select("cid", "n", "rare", "part").dropDuplicates(["cid"]), "parts")
+    tokens = parts.select("cid", "n", F.posexplode("part").alias("pos", "h")).select("h", "cid", "n", "pos")
     shared = cut(shared_names(tokens), "shared")
     sizes = classes.select("cid", "n")
-    turn, found, segments, large = 0, [], None, shared.filter(F.col("g") > SMALL)
+    turn, found = 0, []
     most = shared.agg(F.max("g")).first()[0] or 0
-    label = None
+    label = classes.select(F.col("cid").alias("id"), F.col("cid").alias("component"))
     while turn == 0 or (most > SMALL and 8 ** (turn - 1) < most):
         rows = shared.withColumn("comp", F.col("cid")) if turn == 0 else \
-            large.join(label.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        pairs = cut(candidate_pairs(rows, turn, percent), f"pairs{turn}")
-        if turn == 0:
-            wanted = union_all([pairs.select(F.col("a").alias("cid")), pairs.select(F.col("b").alias("cid")),
-                                large.select("cid")]).distinct()
-            segments = cut(fragments_of(data, classes, wanted, k), "segments")
+            shared.filter(F.col("g") > SMALL).join(label.toDF("cid", "comp"), "cid", "left") \
+            .withColumn("comp", F.coalesce("comp", "cid"))
+        pairs = cut(first_fragment(candidate_pairs(rows, turn, percent), parts, percent), f"pairs{turn}")
         if not pairs.isEmpty():
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+            segments = cut(fragments_of(data, classes, cut(wanted, f"wanted{turn}"), k), f"segments{turn}")
             found.append(cut(links(pairs, segments, sizes, percent), f"verified{turn}"))
-            label = connected_components(union_all(found).select("a", "b"))
-            label = cut(label, f"components{turn}")
-        elif label is None:
-            label = classes.select(F.col("cid").alias("id"), F.col("cid").alias("component"))
+            label = cut(connected_components(union_all(found).select("a", "b")), f"components{turn}")
         turn += 1
     out = union_all(found) if found else spark.createDataFrame([], "a long, b long, jaccard double")
     members = held.join(classes.select("key", "cid"), "key", "left").select(
