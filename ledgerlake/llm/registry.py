@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import exact_dedup, ngram_join
+from ledgerlake.llm import exact_dedup, ngram_join, substring_dedup
 
-QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup,
+QUERIES = {"op9_substring_dedup": substring_dedup.op9_substring_dedup,
+           "op3_exact_dedup": exact_dedup.op3_exact_dedup,
            "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join}
 SQL = {"op3_exact_dedup": exact_dedup.SQL}
