@@ -6,8 +6,10 @@ order: shingles that fill many documents last, the rest by their hash.
 1. Documents with equal sets are one class; one class needs one look.
 2. Candidates share a name in the leading part of their ordered sets (similar sets must), subject to
    size and position. A name held by few classes gives all its pairs. A name held by many gives pairs
-   with its first class, then with the next eight, the next sixty-four ... and each time only between
+   with its first class, then with the next fifteen, then with all others, and each time only between
    classes that no verified link has joined so far. Every pair is either tested or already connected.
+   The last step goes in blocks and makes no rows for pairs: what lies outside the largest component
+   of a cluster of names is dealt out in blocks, and each member passes each block once.
 3. The order is cut into fragments. The leading parts are the first: names missing there on either
    side already rule out most pairs, exactly. For the others the overlap is counted in each fragment of
    the whole sets separately and summed over the fragments; the sum decides the link.
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import WordNames, connected_components, cut, grams, table, union_all
 
 SHINGLE, PERCENT = 5, 80
-FRAGMENTS = 8
+FRAGMENTS = 4
 SMALL = 16  # a name held by so many classes gives all its pairs at once
 LOCAL_ROWS, LOCAL_COUNT = 4_000_000, 3
-HOT_LEAST, HOT_MOST = SMALL + 1, 1_000_000
+HOT_LEAST, HOT_MOST = SMALL + 1, 4_000_000
+TURNS = ((0, 1), (1, SMALL))  # first holders of a name that meet its other holders
+BLOCK = 128
 
 
 def shingle_set(data: bytes | None, k: int, names: WordNames) -> np.ndarray:
@@ -77,7 +81,7 @@ def frequent_names(data: DataFrame, k: int) -> tuple[np.ndarray, int]:
     counts = cut(data.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
     total = counts.filter("h IS NULL").agg(F.sum("n")).first()[0] or 0
     hot = counts.filter(F.col("h").isNotNull() & (F.col("n") >= max(HOT_LEAST, -(-total // HOT_MOST)))).select("h")
-    return np.sort(np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64)), total
+    return np.sort(hot.toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64)), total
 
 
 def leading_part(s: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -126,7 +130,7 @@ def shared_names(tokens: DataFrame) -> DataFrame:
 
 def candidate_pairs(shared: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs (a, b), a < b, of one turn. shared: h, cid, n, pos, g, comp."""
-    lo, hi = (0, 1) if turn == 0 else (8 ** (turn - 1), 8 ** turn)
+    lo, hi = TURNS[turn]
 
     def pairs(batches):
         for t in _grouped(batches):
@@ -153,9 +157,13 @@ def candidate_pairs(shared: DataFrame, turn: int, percent: int) -> DataFrame:
             .mapInArrow(pairs, "a long, b long").distinct())
 
 
+def _upto(z: np.ndarray, end: np.uint64) -> np.ndarray:
+    return z[:np.searchsorted(z, end, "right")]
+
+
 def first_fragment(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Drops pairs that differ too much in their leading parts. Up to the nearer end of the two parts
-    (without the frequent names) both sets are known whole, so what differs there differs for good."""
+    both sets are known whole, so what differs there differs for good."""
     def test(batches):
         for batch in batches:
             a, b, na, nb, ra, rb = (batch.column(i).to_numpy() for i in (0, 1, 2, 3, 4, 5))
@@ -163,14 +171,16 @@ def first_fragment(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFram
             ok = np.zeros(len(a), bool)
             for i in range(len(a)):
                 x, y = pa_[i].values.to_numpy(), pb_[i].values.to_numpy()
-                open_x, open_y = ra[i] < len(x), rb[i] < len(y)
-                x, y = x[:ra[i]].view(np.uint64), y[:rb[i]].view(np.uint64)
-                ends = [z[-1] if len(z) else 0 for z, whole in ((x, open_x), (y, open_y)) if not whole]
-                if ends:
-                    x, y = (z[:np.searchsorted(z, np.uint64(min(ends)), "right")] for z in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
+                x, hx, y, hy = (z.view(np.uint64) for z in (x[:ra[i]], x[ra[i]:], y[:rb[i]], y[rb[i]:]))
+                ends = [z[-1] for z, h in ((x, hx), (y, hy)) if not len(h)]
+                if ends:  # one part ends among the rare names
+                    x, y, hx, hy = _upto(x, min(ends)), _upto(y, min(ends)), hx[:0], hy[:0]
+                else:
+                    hx, hy = _upto(hx, min(hx[-1], hy[-1])), _upto(hy, min(hx[-1], hy[-1]))
+                differ = sum(len(v) + len(w) - 2 * len(np.intersect1d(v, w, assume_unique=True))
+                             for v, w in ((x, y), (hx, hy)))
                 total = na[i] + nb[i]
-                ok[i] = len(x) + len(y) - 2 * common <= total - 2 * -(-percent * total // (100 + percent))
+                ok[i] = differ <= total - 2 * -(-percent * total // (100 + percent))
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
     x, y = (parts.select(F.col("cid").alias(i), F.col("n").alias(f"n{i}"), F.col("rare").alias(f"r{i}"),
@@ -196,7 +206,7 @@ def fragments_of(data: DataFrame, classes: DataFrame, wanted: DataFrame, k: int)
                     [pa.array(c, pa.int64()), pa.array(f, pa.int32()), pa.array(s, pa.list_(pa.int64()))], ["cid", "f", "names"])
 
     chosen = classes.join(wanted, "cid").select("doc_id", "key", "cid")
-    return (data.join(chosen, data.doc_id.eqNullSafe(chosen.doc_id)).select(data.bytes, "key", "cid")
+    return (data.join(chosen.hint("merge"), data.doc_id.eqNullSafe(chosen.doc_id)).select(data.bytes, "key", "cid")
             .mapInArrow(cut_sets, "cid long, f int, names array<long>")
             .groupBy("cid", "f").agg(F.first("names").alias("names")))
 
@@ -215,6 +225,69 @@ def links(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int)
             .select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard")))
 
 
+def rest_in_blocks(many: DataFrame, label: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b, jaccard) between classes of one cluster (classes that large names connect) and of
+    different components; links that an earlier one of the same block makes needless are left out."""
+    first = many.groupBy("h").agg(F.min("cid").alias("a"))
+    cluster = connected_components(many.join(first, "h").select("a", F.col("cid").alias("b")))
+    node = cut(cluster.toDF("cid", "cluster").join(label.toDF("cid", "comp"), "cid", "left")
+               .withColumn("comp", F.coalesce("comp", "cid")), "cluster_members")
+    main = (node.groupBy("cluster", "comp").count().groupBy("cluster")
+            .agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"),
+                 F.sum("count").alias("held"), F.max("count").alias("most")).filter("comps > 1")
+            .select("cluster", "main", F.ceil((F.col("held") - F.col("most")) / BLOCK).cast("int").alias("blocks")))
+    sets = segments.groupBy("cid").agg(F.array_sort(F.flatten(F.collect_list("names"))).alias("names"))
+    full = cut(node.join(main, "cluster").join(sizes, "cid").join(sets, "cid"), "cluster_sets")
+    cols = ["cluster", "block", "role", "cid", "comp", "n", "names"]
+    lead = full.filter("comp <> main").withColumn("role", F.lit(0)) \
+        .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).select(cols)
+    pass_by = full.withColumn("role", F.lit(1)) \
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(cols)
+
+    def test(batches):
+        at, root, comp, names, owner, n = None, {}, [], None, None, None
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        held: list = []
+        for batch in batches:
+            out = []
+            for cl, block, role, cid, own, size, s in zip(*(batch.column(i) for i in range(7)), strict=True):
+                key, cid, own, size = (cl.as_py(), block.as_py()), cid.as_py(), own.as_py(), size.as_py()
+                s = s.values.to_numpy()
+                if key != at:
+                    at, root, held, names = key, {}, [], None
+                if role.as_py() == 0:
+                    held.append((cid, own, size, s))
+                    continue
+                if names is None:
+                    ids, comp, n = [x[0] for x in held], [x[1] for x in held], np.array([x[2] for x in held])
+                    names = np.concatenate([x[3] for x in held]) if held else np.empty(0, np.int64)
+                    order = np.argsort(names, kind="stable")
+                    owner = np.repeat(np.arange(len(held)), [len(x[3]) for x in held])[order] if held else None
+                    names = names[order]
+                if not held:
+                    continue
+                lo, hi = np.searchsorted(names, s, "left"), np.searchsorted(names, s, "right")
+                m = hi - lo
+                hit = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo, m)
+                c = np.bincount(owner[hit], minlength=len(held))
+                for i in np.flatnonzero(100 * c >= percent * (n + size - c)):
+                    x, y = find(comp[i]), find(own)
+                    if x != y:
+                        root[x] = y
+                        out.append((ids[i], cid, float(c[i] / (n[i] + size - c[i]))))
+            if out:
+                a, b, j = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j)], ["a", "b", "jaccard"])
+
+    return (lead.unionByName(pass_by).repartition("cluster", "block")
+            .sortWithinPartitions("cluster", "block", "role", "cid").mapInArrow(test, "a long, b long, jaccard double"))
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, class_sizes, links).
@@ -253,20 +326,29 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tokens = parts.select("cid", "n", F.posexplode("part").alias("pos", "h")).select("h", "cid", "n", "pos")
     shared = cut(shared_names(tokens), "shared")
     sizes = classes.select("cid", "n")
-    turn, found = 0, []
+    found, segments = [], None
     most = shared.agg(F.max("g")).first()[0] or 0
     label = classes.select(F.col("cid").alias("id"), F.col("cid").alias("component"))
-    while turn == 0 or (most > SMALL and 8 ** (turn - 1) < most):
+    many = shared.filter(F.col("g") > SMALL)
+    for turn in range(len(TURNS)):
+        if turn and most <= SMALL:
+            break
         rows = shared.withColumn("comp", F.col("cid")) if turn == 0 else \
-            shared.filter(F.col("g") > SMALL).join(label.toDF("cid", "comp"), "cid", "left") \
-            .withColumn("comp", F.coalesce("comp", "cid"))
+            many.join(label.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         pairs = cut(first_fragment(candidate_pairs(rows, turn, percent), parts, percent), f"pairs{turn}")
+        if turn == 0:
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(many.select("cid")).distinct()
+            segments = cut(fragments_of(data, classes, wanted, k), "segments")
         if not pairs.isEmpty():
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-            segments = cut(fragments_of(data, classes, cut(wanted, f"wanted{turn}"), k), f"segments{turn}")
-            found.append(cut(links(pairs, segments, sizes, percent), f"verified{turn}"))
-            label = cut(connected_components(union_all(found).select("a", "b")), f"components{turn}")
-        turn += 1
+            new = cut(links(pairs, segments, sizes, percent), f"verified{turn}")
+            if not new.isEmpty():
+                found.append(new)
+                label = cut(connected_components(union_all(found).select("a", "b")), f"components{turn}")
+    if most > SMALL:
+        rest = cut(rest_in_blocks(many, label, segments, sizes, percent), "rest")
+        if not rest.isEmpty():
+            found.append(rest)
+            label = cut(connected_components(union_all(found).select("a", "b")), "components")
     out = union_all(found) if found else spark.createDataFrame([], "a long, b long, jaccard double")
     members = held.join(classes.select("key", "cid"), "key", "left").select(
         "doc_id", "key", F.col("n").alias("n_shingles"), "cid")
