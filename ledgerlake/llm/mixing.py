@@ -32,8 +32,8 @@ def _try(totals: DataFrame, powers: list[float], top: float) -> list[tuple[float
 
 
 def find_power(totals: DataFrame, budget: float, entropy: float | None = None, repeats: float | None = None) -> float:
-    """The power in [0, 1] whose weights have the target entropy (nearest, if out of reach), or the least one
-    with no source beyond the repetition limit (1 if none). totals: rows with tokens > 0."""
+    """The power in [0, 64] whose weights have the target entropy (nearest, if out of reach), or the least one
+    in [0, 1] with no source beyond the repetition limit (1 if none). totals: rows with tokens > 0."""
     top = totals.agg(F.max(F.log("tokens"))).first()[0]
     if top is None:
         return 1.0
@@ -42,7 +42,7 @@ def find_power(totals: DataFrame, budget: float, entropy: float | None = None, r
         h, m = power_result
         return h <= entropy if entropy is not None else m * budget <= repeats
 
-    lo, hi = 0.0, 1.0
+    lo, hi = 0.0, 1.0 if entropy is None else 64.0
     for _ in range(PASSES):
         grid = [lo + (hi - lo) * i / PARTS for i in range(PARTS + 1)]
         good = [i for i, r in enumerate(_try(totals, grid, top)) if low_enough(r)]
