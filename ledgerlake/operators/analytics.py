@@ -130,14 +130,24 @@ def share_of_total(facts: DataFrame, k: int = 10) -> DataFrame:
     return top(s, k, "n", "org")
 
 
-def per_month(df: DataFrame, day: str, k: int = 12) -> DataFrame:
+def per_month(df: DataFrame, day: str) -> DataFrame:
+    """Rows per month; every month that occurs."""
     g = df.groupBy(F.date_format(day, "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
-    return g.orderBy("month").limit(k)
+    return g.orderBy("month")
 
 
-def per_day(df: DataFrame, ts: str, k: int = 30) -> DataFrame:
+def per_day(df: DataFrame, ts: str) -> DataFrame:
+    """Rows per day; every day that occurs."""
     g = df.groupBy(F.date_format(ts, "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
-    return g.orderBy("day").limit(k)
+    return g.orderBy("day")
+
+
+def sigma_outliers(facts: DataFrame, keys: list[str], factor: float = 3.0) -> DataFrame:
+    """Facts further than `factor` standard deviations from the mean of their keys; statistics are
+    aggregated and joined back, not windowed."""
+    s = facts.groupBy(*keys).agg(F.avg("numeric_value").alias("_m"), F.stddev_samp("numeric_value").alias("_sd"))
+    far = F.abs(F.col("numeric_value") - F.col("_m")) > F.col("_sd") * factor + 1e-9
+    return facts.join(s, keys).filter(far).drop("_m", "_sd")
 
 
 def production_by(facts: DataFrame, key: str, k: int = 10) -> DataFrame:

@@ -34,13 +34,13 @@ def metric_id() -> Column:
     return _id("METRIC_", F.col("metric_code"))
 
 
-def capped_sites(base: DataFrame, max_sites: int) -> DataFrame:
-    """The sites shown: most facts first, then name."""
+def capped_sites(base: DataFrame, max_sites: int | None = None) -> DataFrame:
+    """The sites shown: all, or those with the most facts, then by name."""
     s = (base.filter("site IS NOT NULL").groupBy("org", "field", "site").agg(F.sum("n").alias("n")))
-    return s.orderBy(F.col("n").desc(), "org", "field", "site").limit(max_sites)
+    return s if max_sites is None else s.orderBy(F.col("n").desc(), "org", "field", "site").limit(max_sites)
 
 
-def nodes(base: DataFrame, root: str, max_sites: int, extra_orgs: DataFrame | None = None) -> DataFrame:
+def nodes(base: DataFrame, root: str, max_sites: int | None = None, extra_orgs: DataFrame | None = None) -> DataFrame:
     """One row per node: id, label, type, level, size."""
     def node(df: DataFrame, i: Column, label: Column, kind: str, level: int, size: Column) -> DataFrame:
         return df.select(i.alias("node_id"), label.alias("label"), F.lit(kind).alias("type"),
@@ -63,7 +63,7 @@ def nodes(base: DataFrame, root: str, max_sites: int, extra_orgs: DataFrame | No
     return out
 
 
-def edges(base: DataFrame, root: str, max_sites: int) -> DataFrame:
+def edges(base: DataFrame, root: str, max_sites: int | None = None) -> DataFrame:
     """OWNS, OPERATES, CONTAINS, REPORTS."""
     def edge(df: DataFrame, a: Column, b: Column, relation: str, weight: Column) -> DataFrame:
         return df.select(a.alias("source"), b.alias("target"), F.lit(relation).alias("relation"),
@@ -82,14 +82,15 @@ def edges(base: DataFrame, root: str, max_sites: int) -> DataFrame:
     return owns.unionByName(operates).unionByName(contains).unionByName(reports)
 
 
-def conflict_edges(conflicts: DataFrame, node_rows: DataFrame, k: int = 10) -> DataFrame:
-    """Company -> metric edges of the first k open conflicts whose ends are in the graph."""
-    first = (conflicts.filter("status = 'OPEN'").orderBy("created_at", "conflict_id").limit(k)
-             .select(org_id().alias("source"), metric_id().alias("target")))
+def conflict_edges(conflicts: DataFrame, node_rows: DataFrame, k: int | None = None) -> DataFrame:
+    """Company -> metric edges of the open conflicts whose ends are in the graph (the first k of them)."""
+    first = (conflicts.filter("status = 'OPEN'")
+             .select("created_at", "conflict_id", org_id().alias("source"), metric_id().alias("target")))
     ids = node_rows.select("node_id")
-    return (first.join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi")
-            .join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi")
-            .select("source", "target", F.lit("CONFLICT").alias("relation"), F.lit(0.3).alias("weight")))
+    shown = (first.join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi")
+             .join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi"))
+    shown = shown if k is None else shown.orderBy("created_at", "conflict_id").limit(k)
+    return (shown.select("source", "target", F.lit("CONFLICT").alias("relation"), F.lit(0.3).alias("weight")))
 
 
 def graph_statistics(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:

@@ -69,9 +69,20 @@ def company_presence(keyed: DataFrame, scope_keys: list[str]) -> DataFrame:
     return keyed.groupBy(*scope_keys).agg(F.max(company).alias("has_company"))
 
 
+def same_key_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL equals NULL; keys of the right side are dropped."""
+    right = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(right, match, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def label_exclusions(facts: DataFrame, scope_keys: list[str] = (), exclude_group: bool = True,
                      group_codes: list[str] = dims.GROUP_TOTALS) -> DataFrame:
-    """Every fact with `exclusion_reason` (NULL = included) and, for duplicates, the kept fact."""
+    """Every fact with `exclusion_reason` (NULL = included) and, for duplicates, the kept fact.
+
+    NULL values and NULL scope keys are keys like others; no fact is lost."""
     scope_keys = list(scope_keys)
     keyed = with_protection_keys(facts, group_codes)
     # the winners are read twice below with the same columns, so that their shuffle is reused
@@ -80,7 +91,7 @@ def label_exclusions(facts: DataFrame, scope_keys: list[str] = (), exclude_group
         F.col("k_grain").alias("kept_grain"), "is_group")
     if exclude_group:
         presence = company_presence(keyed, scope_keys)
-        winners = winners.join(presence, scope_keys) if scope_keys else winners.crossJoin(
+        winners = same_key_join(winners, presence, scope_keys) if scope_keys else winners.crossJoin(
             F.broadcast(presence))  # a single row
         dropped = F.col("is_group") & F.col("has_company")
     else:
@@ -90,9 +101,8 @@ def label_exclusions(facts: DataFrame, scope_keys: list[str] = (), exclude_group
               .select(*unique(*scope_keys, *YEAR_KEYS)).distinct().withColumn("has_annual", F.lit(True)))
     # year and grain are taken from the winner: the annual rule only concerns rows that are kept, and
     # those are their own winners
-    labelled = (keyed.drop("k_fy", "k_grain", "is_group")
-                .join(winners, unique(*scope_keys, *DUP_KEYS))
-                .join(annual, unique(*scope_keys, *YEAR_KEYS), "left"))
+    labelled = same_key_join(keyed.drop("k_fy", "k_grain", "is_group"), winners, unique(*scope_keys, *DUP_KEYS))
+    labelled = same_key_join(labelled, annual, unique(*scope_keys, *YEAR_KEYS), "left")
     is_part = F.col("kept_grain").isin("MONTHLY", "QUARTERLY")
     reason = (F.when(F.col("fact_id") != F.col("kept_fact_id"), EXACT)
               .when(F.col("group_dropped"), GROUP)

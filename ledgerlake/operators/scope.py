@@ -97,18 +97,6 @@ def apply_scopes(ledger: DataFrame, scopes: DataFrame, keys: list[str] = ("metri
     return reduce(lambda x, y: x.unionByName(y), [b.drop("s_bare") for b in branches])
 
 
-def apply_year_scopes(ledger: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Entity scopes over whole fiscal years, matched on the derived fiscal-year key.
-
-    Full equi join on (metric, org, fiscal year): nothing is compared by contains, so the join
-    hashes evenly. Unlike the contains-match it also takes the months of the year.
-    """
-    s = scopes.select("scope_id", "metric_code", "org", fy_key(F.col("period")).alias("fy"))
-    facts = ledger.filter(F.col("numeric_value").isNotNull()).withColumn(
-        "fy", let(F.col("reporting_period"), fy_key))
-    return facts.join(s, ["metric_code", "org", "fy"]).drop("fy")
-
-
 def optional_filters(df: DataFrame, **values: str | None) -> DataFrame:
     """Equality filters; None and "ALL" mean no filter. `period` matches by contains."""
     conds = []

@@ -170,7 +170,7 @@ def suggested_questions(spark, sf):
 
 BASE = """base AS (SELECT org, coalesce(field, org || ' Operations') AS field, site, metric_code, count(*) AS n,
   avg(numeric_value) AS mean_value FROM facts WHERE org IS NOT NULL GROUP BY 1, 2, 3, 4),
-shown AS (SELECT org, field, site, sum(n) AS n FROM base GROUP BY 1, 2, 3 ORDER BY n DESC, org, field, site LIMIT 40)"""
+shown AS (SELECT org, field, site, sum(n) AS n FROM base GROUP BY 1, 2, 3 ORDER BY n DESC, org, field, site)"""
 SITE_ID = "replace('MINE_' || org || '_' || site, ' ', '_')"
 FIELD_ID = "replace('CF_' || org || '_' || field, ' ', '_')"
 NODES = f"""nodes AS (SELECT '{ROOT}' AS node_id, '{ROOT}' AS label, 'GROUP' AS type, 0 AS level, 40.0::DOUBLE AS size
@@ -201,18 +201,18 @@ def graph_base(spark, sf):
 
 @query("graph_nodes", f"WITH {FACTS}, {BASE}, {NODES} SELECT node_id, type, level, size FROM nodes")
 def graph_nodes(spark, sf):
-    return graph.nodes(base(spark, sf), ROOT, 40, orgs(spark, sf)).drop("label")
+    return graph.nodes(base(spark, sf), ROOT, None, orgs(spark, sf)).drop("label")
 
 
 @query("graph_edges", f"WITH {FACTS}, {BASE}, {EDGES} SELECT * FROM edges")
 def graph_edges(spark, sf):
-    return graph.edges(base(spark, sf), ROOT, 40)
+    return graph.edges(base(spark, sf), ROOT)
 
 
 @query("graph_conflict_edges", f"""WITH {FACTS}, {CONFLICTS} SELECT 'SUB_' || org AS source, 'METRIC_' || metric_code AS target,
-  'CONFLICT' AS relation, 0.3::DOUBLE AS weight FROM conflicts ORDER BY created_at, conflict_id LIMIT 10""")
+  'CONFLICT' AS relation, 0.3::DOUBLE AS weight FROM conflicts""")
 def graph_conflict_edges(spark, sf):
-    nodes = graph.nodes(base(spark, sf), ROOT, 40)
+    nodes = graph.nodes(base(spark, sf), ROOT)
     return graph.conflict_edges(cf.contradictions(ad.facts(spark, sf)), nodes)
 
 
@@ -221,7 +221,7 @@ def graph_conflict_edges(spark, sf):
   count(*) FILTER (type = 'SITE') AS sites FROM nodes), (SELECT count(*) AS edges FROM edges)""")
 def graph_statistics(spark, sf):
     b = base(spark, sf)
-    return graph.graph_statistics(graph.nodes(b, ROOT, 40, orgs(spark, sf)), graph.edges(b, ROOT, 40))
+    return graph.graph_statistics(graph.nodes(b, ROOT, None, orgs(spark, sf)), graph.edges(b, ROOT))
 
 
 @query("entity_panel", f"""WITH {FACTS}, c AS (SELECT org, metric_code, count(*) AS n FROM facts GROUP BY 1, 2),
@@ -641,10 +641,10 @@ def search_issues(spark, sf):
 
 
 @query("list_conflicts", f"""WITH {FACTS}, {CONFLICTS} SELECT conflict_id, status FROM conflicts WHERE status = 'OPEN'
-ORDER BY created_at DESC, conflict_id LIMIT 100""")
+ORDER BY created_at DESC, conflict_id""")
 def list_conflicts(spark, sf):
     c = cf.contradictions(ad.facts(spark, sf)).filter("status = 'OPEN'")
-    return c.orderBy(F.col("created_at").desc(), "conflict_id").limit(100).select("conflict_id", "status")
+    return c.orderBy(F.col("created_at").desc(), "conflict_id").select("conflict_id", "status")
 
 
 @query("list_documents", """SELECT doc_id FROM documents WHERE source ILIKE '%src1%' AND CAST(doc_id % 7 AS INTEGER) IN (0, 1, 2)

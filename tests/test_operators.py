@@ -204,3 +204,25 @@ def test_shared_folder_follows_the_session(spark):
     assert "ledgerlake-" in jobs.shared_folder(FakeSession("local[2]"), "n")
     with pytest.raises(ValueError):
         jobs.shared_folder(FakeSession("yarn"), "n")
+
+
+def test_label_exclusions_keeps_null_keys(spark, ledger):
+    from ledgerlake.operators import protect
+    facts = ledger(dict(site=None, numeric_value=None), dict(site=None, numeric_value=None), dict(site=None, numeric_value=5.0),
+                   dict(site="S", numeric_value=5.0), dict(org=None, site=None, numeric_value=5.0))
+    for keys in ([], ["site"], ["org", "site"]):
+        assert protect.label_exclusions(facts, keys).count() == 5
+
+
+def test_per_month_and_day_return_every_bucket(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlake.operators import analytics as an
+    days = spark.range(800).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    assert an.per_month(days, "d").count() == 27 and an.per_day(days, "d").count() == 800
+
+
+def test_sigma_outliers(spark, ledger):
+    from ledgerlake.operators import analytics as an
+    rows = [dict(site="S", numeric_value=10.0 + i % 3) for i in range(40)] + [dict(fact_id="far", site="S", numeric_value=99.0)]
+    assert [r.fact_id for r in an.sigma_outliers(ledger(*rows), ["site", "metric_code"]).collect()] == ["far"]
