@@ -5,7 +5,8 @@ order: shingles that fill many documents last, the rest by their hash.
 
 1. Documents with equal sets are one class; one class needs one look.
 2. Candidates share a name in the leading part of their ordered sets (similar sets must), subject to
-   size and position. A name held by few classes gives all its pairs. A name held by many gives pairs
+   size. A name held by few classes gives all its pairs, and the number of names that a pair shares
+   must leave room for the overlap it needs. A name held by many gives pairs
    with its first class, then with the next fifteen, then with all others, and each time only between
    classes that no verified link has joined so far. Every pair is either tested or already connected.
    The last step goes in blocks and makes no rows for pairs: what lies outside the largest component
@@ -31,10 +32,10 @@ from ledgerlake.llm.common import WordNames, connected_components, cut, grams, t
 
 SHINGLE, PERCENT = 5, 80
 FRAGMENTS = 4
-SMALL = 16  # a name held by so many classes gives all its pairs at once
+SMALL = 128  # a name held by so many classes gives all its pairs at once
 LOCAL_ROWS, LOCAL_COUNT = 4_000_000, 3
-HOT_LEAST, HOT_MOST = SMALL + 1, 4_000_000
-TURNS = ((0, 1), (1, SMALL))  # first holders of a name that meet its other holders
+HOT_LEAST, HOT_MOST = 17, 4_000_000
+TURNS = ((0, 1), (1, 16))  # first holders of a name that meet its other holders
 BLOCK = 128
 
 
@@ -129,7 +130,11 @@ def shared_names(tokens: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(shared: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of one turn. shared: h, cid, n, pos, g, comp."""
+    """Pairs (a, b), a < b, of one turn. shared: h, cid, n, pos, g, comp.
+
+    A similar pair misses at most n - alpha names on either side, alpha being the overlap it needs, so the
+    set whose leading part ends first has at least (part - (n - alpha)) of its names in the other part. Where
+    all names of either part have few holders, every shared one has been counted."""
     lo, hi = TURNS[turn]
 
     def pairs(batches):
@@ -147,14 +152,28 @@ def candidate_pairs(shared: DataFrame, turn: int, percent: int) -> DataFrame:
                 i = np.repeat(part, m)
                 j = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + i + 1
                 low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                most = np.minimum(n[i] - pos[i], n[j] - pos[j])
-                ok = (comp[i] != comp[j]) & (100 * low >= percent * high) & \
-                    ((100 + percent) * most >= percent * (n[i] + n[j]))
-                ab = np.unique(np.stack([cid[i][ok], cid[j][ok]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
-
-    return (shared.repartition("h").sortWithinPartitions("h", "cid")
-            .mapInArrow(pairs, "a long, b long").distinct())
+                ok = (comp[i] != comp[j]) & (100 * low >= percent * high)
+                # a name of many holders says nothing on how many names the pair shares
+                ok &= small[i] | ((100 + percent) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= percent * (n[i] + n[j]))
+                i, j = i[ok], j[ok]
+                if len(i):
+                    key, at, c = np.unique(np.stack([cid[i], cid[j]], 1), axis=0, return_index=True, return_counts=True)
+                    i, j = i[at], j[at]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (key[:, 0], key[:, 1], n[i], n[j], c)], ["a", "b", "na", "nb", "c"])
+
+    found = (shared.repartition("h").sortWithinPartitions("h", "cid")
+             .mapInArrow(pairs, "a long, b long, na int, nb int, c long")
+             .groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")))
+    if turn:
+        return found.select("a", "b")
+    alpha = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    part = {x: F.col(x) - F.ceil(percent * F.col(x) / 100) + 1 for x in ("na", "nb")}
+    least = F.least(*(part[x] - (F.col(x) - alpha) for x in ("na", "nb")))
+    wide = cut(shared.filter(F.col("g") > SMALL).select("cid").distinct(), "wide")
+    wa, wb = (wide.select(F.col("cid").alias(x), F.lit(True).alias(f"w{x}")) for x in "ab")
+    return (found.join(wa, "a", "left").join(wb, "b", "left")
+            .filter((F.col("wa") & F.col("wb")) | (F.col("c") >= least)).select("a", "b"))
 
 
 def _upto(z: np.ndarray, end: np.uint64) -> np.ndarray:
