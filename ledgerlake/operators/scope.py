@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.period import fy_key
-from ledgerlake.functions.text import let
 
 
 @dataclass(frozen=True)
