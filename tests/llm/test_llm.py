@@ -87,7 +87,10 @@ def test_exact_dedup_survives_equal_hashes(spark, docs, monkeypatch):
     assert sorted(map(str, exact_dedup.exact_duplicates(docs, block_bytes=64).collect())) == want
 
 
-def test_ngram_join(docs, empty):
+@pytest.mark.parametrize("small", [ngram_join.SMALL, 8])  # 8: names of many holders, all steps run
+def test_ngram_join(docs, empty, small, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+
     def shingles(t):
         w = (t or "").encode().lower().split()
         k = min(5, len(w))
@@ -111,7 +114,7 @@ def test_ngram_join(docs, empty):
         groups[find(i)].append(r[0])
     want = Counter((r[0], len(s), least(groups[find(i)])) for i, (r, s) in enumerate(zip(ROWS, sets, strict=True)))
     assert Counter(map(tuple, ngram_join.near_duplicates(docs).collect())) == want
-    assert max(map(len, groups.values())) > ngram_join.SMALL  # so that all steps run
+    assert max(map(len, groups.values())) > 8
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
