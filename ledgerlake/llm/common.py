@@ -6,11 +6,13 @@ import uuid
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+RUN, LINK = 1_000_000, "a long, b long"  # links that a local contraction holds at a time; their schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,25 +75,56 @@ def grams(names: np.ndarray, k: int) -> np.ndarray:
     return mixed(acc)
 
 
+def _forest(batches):
+    """Links (a, b) -> links (member, least member), each run of RUN links on its own. What is connected
+    stays connected, and every id still occurs; an id that is only linked with itself gives (id, id)."""
+    def find(root, x):
+        top = x
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    def flush(root):
+        pairs = [(x, find(root, x)) for x in root]
+        held = {r for x, r in pairs if x != r}
+        pairs = [(x, r) for x, r in pairs if x != r or x not in held]
+        a, b = zip(*pairs, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    root, size = {}, 0
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(root, root.setdefault(a, a)), find(root, root.setdefault(b, b))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        size += batch.num_rows
+        if size >= RUN:
+            yield flush(root)
+            root, size = {}, 0
+    if root:
+        yield flush(root)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links of longs -> (id, component) for every id that occurs; components are named by one
-    of their members. Each round merges every node into its neighbour (or itself) of least random
-    priority, which shrinks long chains by a constant factor; only links between different nodes go on."""
-    spark, maps, n = edges.sparkSession, [], 0
-    edges = cut(edges.select("a", "b").distinct(), "links")
-    while True:
-        live = edges.filter("a <> b")
-        if n and live.isEmpty():
-            break
-        both = live.union(live.select("b", "a")).toDF("id", "to") if n else \
-            edges.union(edges.select("b", "a")).toDF("id", "to")
-        pri = F.struct(F.xxhash64(F.col("to"), F.lit(n)).alias("p"), "to")
-        own = F.struct(F.xxhash64(F.col("id"), F.lit(n)).alias("p"), F.col("id").alias("to"))
+    of their members. Links are first contracted within runs of bounded length. Each round then merges
+    every node into its neighbour (or itself) that comes first: by id in even rounds, which ends stars
+    about their first member at once, and by a random priority in odd ones, which shrinks long chains by
+    a constant factor. Only links between different nodes go on."""
+    maps, n = [], 0
+    edges = cut(edges.select("a", "b").mapInArrow(_forest, LINK).distinct(), "links")
+    while not n or not edges.isEmpty():
+        both = edges.union(edges.select("b", "a")).toDF("id", "to")
+        by = (lambda c: F.xxhash64(c, F.lit(n))) if n % 2 else (lambda c: c)
+        pri = F.struct(by(F.col("to")).alias("p"), "to")
+        own = F.struct(by(F.col("id")).alias("p"), F.col("id").alias("to"))
         step = cut(both.groupBy("id").agg(F.min(pri).alias("m"))
                    .select("id", F.least("m", own)["to"].alias("parent")), f"parents{n}")
         maps.append(step)
-        edges = cut(live.join(step.toDF("a", "pa"), "a").join(step.toDF("b", "pb"), "b")
-                    .select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), f"links{n + 1}")
+        edges = cut(edges.join(step.toDF("a", "pa"), "a").join(step.toDF("b", "pb"), "b")
+                    .filter("pa <> pb").select("pa", "pb").mapInArrow(_forest, LINK).distinct(), f"links{n + 1}")
         n += 1
     out = maps[0].select("id", F.col("parent").alias("component"))
     for m in maps[1:]:
