@@ -188,8 +188,9 @@ def extract_entities(text: Column) -> Column:
 
     seam = F.regexp_extract(
         text, r"(?i)\b(?:seam\s*[-–:]?\s*([IVXLCDM\d]+[A-Z]?|top|bottom|middle|comb(?:ined)?))\b", 1)
+    # tried once per run of site characters, from its first word on: linear in the text
     site = F.trim(F.regexp_extract(
-        text, r"(?i)\b([A-Za-z0-9\s-]+?\s+(?:OCP|UG|OC|Colliery|Mine|Block))\b", 1))
+        text, r"(?i)(?<![A-Za-z0-9\s-])(?>[A-Za-z0-9\s-]*?\b)([A-Za-z0-9\s-]+?\s(?:OCP|UG|OC|Colliery|Mine|Block))\b", 1))
     project = F.trim(F.regexp_extract(
         text, r"(?i)\b(?:Project|Area|Division)\s*[-–:]?\s*([A-Za-z0-9\s-]+)\b", 1))
 

@@ -238,9 +238,10 @@ def facts_from_text(pages: DataFrame, key: str = "document_id", text: str = "con
         "reporting_period", "org", "site", "source_context", "mapped"), "REGEX_PATTERN")
 
 
-def document_context(docs: DataFrame, key: str, name: str, text: str) -> DataFrame:
-    """Organisation, period and site named in the file name or the first 3,000 characters."""
-    head = F.concat_ws(" ", name, F.substring(text, 1, 3000))
+def document_context(docs: DataFrame, key: str, name: str, text: str, chars: int | None = None) -> DataFrame:
+    """Organisation, period and site named in the file name or the text; with chars only in its first
+    so many characters."""
+    head = F.concat_ws(" ", name, text if chars is None else F.substring(text, 1, chars))
     return docs.select(key, extract_entities(head).alias("e")).select(
         key, F.col("e.org").alias("g_org"), F.col("e.period").alias("g_period"),
         F.col("e.site").alias("g_site"))

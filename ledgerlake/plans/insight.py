@@ -73,7 +73,7 @@ ranked AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id O
 
 @query("rank_chunks", f"WITH {RANKED} SELECT query_id, chunk_id, place, score FROM ranked WHERE place <= 6")
 def rank_chunks(spark, sf):
-    out = retrieve.rank_chunks(bench_queries(spark, sf), chunks(spark, sf))
+    out = retrieve.rank_chunks(bench_queries(spark, sf), chunks(spark, sf), first_terms=6)  # as the SQL
     return out.withColumn("place", F.col("place").cast("bigint"))
 
 
@@ -86,7 +86,7 @@ matched AS (SELECT DISTINCT query_id, chunk_id FROM k4 JOIN b USING (term) WHERE
 
 @query("keyword_chunks", f"WITH {KEYWORD} SELECT query_id, chunk_id FROM matched")
 def keyword_chunks(spark, sf):
-    return retrieve.keyword_chunks(bench_queries(spark, sf), chunks(spark, sf))
+    return retrieve.keyword_chunks(bench_queries(spark, sf), chunks(spark, sf), 6, 4)  # as the SQL
 
 
 @query("keyword_confidence", f"""WITH {KEYWORD} SELECT query_id, count(*) AS hits,

@@ -161,3 +161,10 @@ def test_chunk_hash(spark):
     from ledgerlake.functions.text import chunk_hash
     r = spark.createDataFrame([("  abc \n",)], "t string").select(chunk_hash(F.col("t"))).first()[0]
     assert r == hashlib.sha256(b"abc").hexdigest()[:16]
+
+
+def test_document_context_reads_the_whole_text(spark):
+    text = "lorem ipsum, " * 400 + "North Pit OCP of MCL in FY 2024-25."
+    d = spark.createDataFrame([("a", "report.txt", text)], "id string, name string, text string")
+    assert ex.document_context(d, "id", "name", "text").first()[:] == ("a", "MCL", "FY 2024-25", "North Pit OCP")
+    assert ex.document_context(d, "id", "name", "text", 3000).first()[:] == ("a", None, None, None)

@@ -134,6 +134,27 @@ def test_ranking_against_loop(spark):
     assert {k: [s for _, s in v] for k, v in got.items()} == {k: [s for _, s in v] for k, v in want.items()}
 
 
+def test_retrieval_is_uncut_unless_asked(spark):
+    text = "alpha bravo charlie delta echo foxtrot golf"
+    q = spark.createDataFrame([(1, text, None, None)], "query_id int, text string, org string, period string")
+    data = [("z", "golf course")] + [(f"c{i}", "alpha ground") for i in range(8)]
+    c = spark.createDataFrame([(i, t, None, "file", "", False) for i, t in data],
+                              "chunk_id string, content string, organization string, file_name string, "
+                              "section string, is_demo boolean")
+
+    def ids(df):
+        return {r.chunk_id for r in df.collect()}
+    assert ids(retrieve.rank_chunks(q, c, limit=20)) == {i for i, _ in data}
+    assert ids(retrieve.rank_chunks(q, c, limit=20, first_terms=6)) == {i for i, _ in data} - {"z"}
+    every = retrieve.keyword_chunks(q, c)
+    assert ids(every) == {i for i, _ in data}
+    assert retrieve.keyword_confidence(every).first().hits == 9
+    assert ids(retrieve.keyword_chunks(q, c, 6, 4)) == {f"c{i}" for i in range(6)}
+    # the golf chunk is the only one of its query, and reached through the seventh word alone
+    only = retrieve.rank_chunks(q, c.filter("chunk_id = 'z'"))
+    assert retrieve.extractive_answers(only, c).count() == 1
+
+
 def test_related_against_loop(spark, ledger):
     rng = random.Random(2)
     rows = [dict(fact_id=f"f{i:02d}", metric_code=rng.choice(["COAL_PRODUCTION", "PRODUCTION_TARGET", "DRILLING"]),
