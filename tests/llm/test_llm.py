@@ -149,6 +149,15 @@ def test_word_encoder():
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == ids_of(t), t
 
 
+def test_special_strings_are_ordinary_text():
+    own = tokens.Tokenizer.from_file(tokens.default_path())
+    own.encode_special_tokens = True  # as the README of public_tokenizers has it
+    enc = tokens.encoder(tokens.default_path())
+    for t in ODD + ["<|endoftext|>", "a<|endoftext|>b", "x  <|endoftext|> y"]:
+        got = np.frombuffer(enc.encode(t), "<u4").tolist()
+        assert got == own.encode(t, add_special_tokens=False).ids and 50256 not in got
+
+
 @pytest.mark.parametrize("kw", [{}, {"max_docs": 3}, {"rule": "dot"}])
 def test_packing(docs, empty, kw):
     got = packing.pack(docs, **kw).collect()
