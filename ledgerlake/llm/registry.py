@@ -20,7 +20,5 @@ QUERIES = {
 SQL = {
     "op2_url_filter": url_filter.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
-    "op5_quality_classifier": quality.op5_quality_classifier,
-    "op6_source_mixing": mixing.op6_source_mixing,
     "op7_exact_top_k": topk.SQL,
 }

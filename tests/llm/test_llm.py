@@ -316,3 +316,97 @@ def test_pipeline(docs, empty):
     for _, stage in cp.STAGES:
         y = stage(docs.sparkSession, y, None)
     assert y.count() == 0
+
+
+def test_sql_is_text():
+    from ledgerlake.llm import registry
+    assert all(isinstance(x, str) for x in registry.SQL.values())
+
+
+def plain_mix(docs, weights):
+    """(doc_id, text, source, block, position) of every copy: the keys come from Spark, the rest is a loop."""
+    most = max((math.floor(w.passes) for w in weights.values()), default=0)
+    d = docs.select("doc_id", "text", "source", F.xxhash64("text").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("b"))
+    parts = defaultdict(list)
+    for r in d.withColumn("key", F.xxhash64(F.lit(11), "b", "doc_id", "row")).collect():
+        parts[r.source, r.b].append((r.key, r.doc_id, r.text))
+    out = Counter()
+    for (s, b), rows in parts.items():
+        w = weights[s]
+        whole, total = math.floor(w.passes), 0
+        if not w.passes or b > whole:
+            continue
+        rest = math.floor((w.passes - whole) * w.tokens + 1e-6)
+        for place, (_, i, t) in enumerate(sorted(rows, key=lambda x: x[0])):
+            total += len((t or "").split())
+            if b < whole or total <= rest:
+                out[(i, t, s, b, place)] += 1
+    return out
+
+
+PLAIN = [r for r in ROWS if r[1] is None or r[1].isascii() and "\x1c" not in r[1]]  # one meaning of white space
+
+
+@pytest.mark.parametrize("kw", [{}, {"entropy": 0.9}, {"repeats": 3.0, "budget": 20000}])
+def test_mixing_against_loop(spark, kw):
+    docs = spark.createDataFrame(PLAIN, SCHEMA).repartition(5)
+    want = plain_mix(docs, {r.source: r for r in mixing.source_weights(docs, **kw).collect()})
+    names = {r.row: r.text for r in docs.select("text", F.xxhash64("text").alias("row")).collect()}
+    got = mixing.mix(docs, **kw).collect()
+    assert Counter((r.doc_id, names[r.row], r.source, r.block, r.position) for r in got) == want
+    assert all(r.n_tokens == len((names[r.row] or "").split()) for r in got)
+
+
+def shingle_components(texts):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        k = min(5, len(w))
+        return frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
+
+    sets, name = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= 80 * len(a | sets[j]) and name[i] != name[j]:
+                old, new = name[i], name[j]
+                name = [new if x == old else x for x in name]
+    return name
+
+
+def test_pipeline_stages_against_loops(spark):
+    import corpus_pipeline as cp
+    rows = [r[:5] for r in PLAIN]
+    x = common.cut(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), "test")
+    stages = dict(cp.STAGES)
+
+    def run(name):
+        y = common.cut(stages[name](spark, x, None), "test")
+        return y, list(map(tuple, y.collect()))
+
+    model = language_id.Identifier(*language_id.learn(x, "text", "lang", F.lit(True)))
+    good = []
+    for r in rows:
+        lang, share = model.predict(r[1])[:2]
+        good += [r] if lang != "und" and share >= language_id.LEAST_SHARE else []
+    x, got = run("language ID")
+    assert Counter(got) == Counter(good) and len(good) > 50
+    before = Counter(got)
+    x, got = run("exact dedup")
+    assert Counter(lower(r[1]) for r in got) == Counter({lower(r[1]) for r in before}) and not Counter(got) - before
+    before, texts = Counter(got), [r[1] for r in got]
+    parts = dict(zip(texts, shingle_components(texts), strict=True))
+    x, got = run("n-gram Jaccard join")
+    assert Counter(parts[r[1]] for r in got) == Counter(set(parts.values())) and not Counter(got) - before
+    want = plain_mix(x, {r.source: r for r in mixing.source_weights(x).collect()})
+    taken = Counter()
+    for (i, t, s, *_), n in want.items():
+        taken[i, t, s] += n
+    x, got = run("source mixing")
+    assert Counter((r[0], r[1], r[3]) for r in got) == taken
+    want = Counter()
+    for r in got:
+        ids = [*ids_of(r[1]), 2]
+        edges = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        want.update((r[0], k, a, b - a) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+    _, got = run("best-fit packing")
+    assert Counter(r[:4] for r in got) == want
