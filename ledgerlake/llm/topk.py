@@ -48,20 +48,21 @@ def search_shard(ids, mat_bands, exact, queries, query_ids, k):
     acc = np.zeros((len(q), len(ids)))
     left = exact.astype(np.float64)
     qn = np.sqrt((q * q).sum(1))
-    keep = np.ones_like(acc, bool)
-    kk = min(k + 1, len(ids))  # one more: the query's own vector takes no part
+    own = query_ids[:, None] == ids[None, :]  # rows with the query's id take no part
+    keep = ~own
+    kk = min(k, len(ids))
     for band in mat_bands:
         acc += q @ band.T
         left = left - band
         slack = qn[:, None] * np.sqrt((left * left).sum(1))[None, :] * (1 + 1e-9) + 1e-6
-        low = acc - slack
+        low = np.where(own, -np.inf, acc - slack)
         least = np.partition(low, len(ids) - kk, axis=1)[:, len(ids) - kk]
-        keep = acc + slack >= least[:, None]
+        keep = (acc + slack >= least[:, None]) & ~own
         if keep.sum() <= 4 * kk * len(q):
             break
     out = []
     for i, qid in enumerate(query_ids):
-        at = np.flatnonzero(keep[i] & (ids != qid))
+        at = np.flatnonzero(keep[i])
         score = exact[at] @ queries[i]
         best = np.lexsort((ids[at], -score))[:k]
         out += [(qid, ids[at[j]], score[j]) for j in best]
@@ -73,17 +74,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_co
     """query_id, rank, vec_id, score for each row of `queries` (same columns) against all of `vectors`.
 
     Ties go to the smaller id. Vectors with null or non-finite parts take no part; a query meets only
-    vectors of its own number of components. Rows of `vectors` that repeat an id count once (the greatest
-    vector); the same holds for queries. An empty table gives an empty result."""
-    def one(df):
-        return quantised(df, id_col, vec_col, scale).groupBy("vec_id").agg(F.max("q").alias("q"))
+    vectors of its own number of components. Rows of `vectors` that repeat an id are candidates each, except
+    for queries of that id; rows of `queries` that repeat an id share its k places. An empty table gives an
+    empty result."""
+    def rows_of(df):
+        return quantised(df, id_col, vec_col, scale).withColumn("size", F.size("q"))
 
-    base = cut(one(vectors).withColumn("size", F.size("q")), "vectors")
-    asked = cut(one(queries).withColumn("size", F.size("q")), "queries")
+    base, asked = cut(rows_of(vectors), "vectors"), cut(rows_of(queries), "queries")
     shards, blocks = (max(1, -(-x.count() // n)) for x, n in ((base, shard_rows), (asked, block_rows)))
-    key = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    w = Window.partitionBy("shard").orderBy("vec_id")
-    base = cut(base.withColumn("shard", key).withColumn("slot", F.row_number().over(w) - 1), "shards")
+    key = F.pmod(F.xxhash64("vec_id", "copy"), F.lit(shards)).cast("int")
+    base = base.withColumn("copy", F.monotonically_increasing_id())  # equal rows are spread as well
+    w = Window.partitionBy("shard").orderBy("vec_id", "copy")
+    base = cut(base.withColumn("shard", key).withColumn("slot", F.row_number().over(w) - 1).drop("copy"), "shards")
     index = cut(posting_segments(base, shards), "segments")
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
     # kind 0: vectors, 1: segments, 2: queries; each shard meets each block in a task of bounded size

@@ -410,3 +410,16 @@ def test_pipeline_stages_against_loops(spark):
         want.update((r[0], k, a, b - a) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
     _, got = run("best-fit packing")
     assert Counter(r[:4] for r in got) == want
+
+
+def test_top_k_keeps_repeated_ids(spark):
+    vecs = np.random.default_rng(8).normal(0, 0.2, (60, 4)).round(3)
+    rows = [(i % 20, [float(x) for x in v]) for i, v in enumerate(vecs)] + [(7, [2.0] * 4)] * 3 + [(0, [3.0] * 4)] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = [(i, np.floor(np.array(v) * 256).astype(int)) for i, v in rows]
+    want = []
+    for i in (0, 7):
+        best = sorted((-int(a @ b), j) for k, a in q for j, b in q if k == i and j != i)[:5]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    for kw in ({}, {"shard_rows": 10, "block_rows": 1}):
+        assert sorted(map(tuple, topk.top_k(df, df.filter("vec_id IN (0, 7)"), **kw).collect())) == sorted(want)
