@@ -130,15 +130,20 @@ def identify(docs: DataFrame, learn_from=None, id_col: str = "doc_id", text_col:
 
 
 def keep_identified(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
-    """The rows of `docs` mostly in one learned language, with all columns; `und` goes."""
+    """The rows of `docs` mostly in one learned language, with all columns; `und` goes. Where nothing teaches
+    (no row has both text and lang), every row whose text holds a letter stays."""
     langs, logp = learn(docs, "text", "lang", F.lit(True))
     model, schema = docs.sparkSession.sparkContext.broadcast(Identifier(langs, logp)), docs.schema
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            got = (model.value.predict(t.as_py())[:2] for t in batch.column(at))
-            yield batch.filter(pa.array([lang != UNKNOWN and share >= least_share for lang, share in got], pa.bool_()))
+            texts = (t.as_py() for t in batch.column(at))
+            if model.value.langs:
+                stay = [lang != UNKNOWN and share >= least_share for lang, share, *_ in map(model.value.predict, texts)]
+            else:
+                stay = [any(map(str.isalpha, t or "")) for t in texts]
+            yield batch.filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
 

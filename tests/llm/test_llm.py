@@ -423,3 +423,8 @@ def test_top_k_keeps_repeated_ids(spark):
         want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     for kw in ({}, {"shard_rows": 10, "block_rows": 1}):
         assert sorted(map(tuple, topk.top_k(df, df.filter("vec_id IN (0, 7)"), **kw).collect())) == sorted(want)
+
+
+def test_languages_without_a_teacher(docs):
+    got = language_id.keep_identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert Counter(r.text for r in got) == Counter(r[1] for r in ROWS if any(map(str.isalpha, r[1] or "")))
