@@ -11,6 +11,7 @@ holds a third of all pieces is no hot key."""
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -128,12 +129,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row per piece.
 
     Null and empty texts are one end id. Rows that repeat an id are packed each. max_cost defaults to
-    max_tokens^2, which a bin within max_tokens cannot exceed; a smaller one must admit one full piece, else ValueError.
-    Other columns are not read; an empty table gives an empty result."""
-    max_cost = max_cost or max_tokens * max_tokens
-    if max_cost < max_tokens * max_tokens or max_docs < 1:
-        raise ValueError("a full piece must fit in an empty bin")
-    pieces = cut(pieces_of(docs, id_col, text_col, max_tokens, path or T.default_path()), "pieces")
+    max_tokens^2, which a bin within max_tokens cannot exceed; with a smaller one pieces are cut at its square
+    root, so that each fits in an empty bin. Limits below 1 are a ValueError. Other columns are not read; an empty table gives an empty result."""
+    max_cost = max_tokens * max_tokens if max_cost is None else max_cost
+    if min(max_tokens, max_docs, max_cost) < 1:
+        raise ValueError("one token must fit in an empty bin")
+    longest = min(max_tokens, math.isqrt(max_cost))
+    pieces = cut(pieces_of(docs, id_col, text_col, longest, path or T.default_path()), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most max_tokens rows
     runs = best_fit(counts, max_tokens, max_docs, max_cost, rule=rule)
     by_length: dict[int, np.ndarray] = {}

@@ -428,3 +428,16 @@ def test_top_k_keeps_repeated_ids(spark):
 def test_languages_without_a_teacher(docs):
     got = language_id.keep_identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert Counter(r.text for r in got) == Counter(r[1] for r in ROWS if any(map(str.isalpha, r[1] or "")))
+
+
+def test_packing_within_a_cost(docs):
+    most, bins = 300 * 300 + 7, defaultdict(list)
+    for r in packing.pack(docs, max_cost=most).collect():
+        bins[r.sequence_id].append(r.length)
+    assert all(sum(n * n for n in b) <= most and sum(b) <= 1024 for b in bins.values())
+    assert max(map(max, bins.values())) == 300  # longer ones are cut
+    assert sum(map(sum, bins.values())) == sum(len(ids_of(r[1])) + 1 for r in ROWS)
+    lengths, full = [n for b in bins.values() for n in b], max(sum(b) for b in bins.values())
+    assert full < 1024 or len(bins) > -(-sum(lengths) // 1024)  # the cost binds, not the tokens alone
+    with pytest.raises(ValueError):
+        packing.pack(docs, max_cost=0)
