@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import exact_dedup, language_id, mixing, ngram_join, packing, quality
-from ledgerlake.llm import substring_dedup, token_counts, topk, url_filter
+from ledgerlake.llm import exact_dedup, hard_negatives, language_id, mixing, ngram_join, packing, quality
+from ledgerlake.llm import substring_dedup, token_counts, topk, url_filter, whitening
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,9 +16,12 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 SQL = {
     "op2_url_filter": url_filter.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op7_exact_top_k": topk.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }

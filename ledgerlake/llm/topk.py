@@ -21,13 +21,13 @@ K, SCALE, SHARD, BLOCK = 5, 256, 8192, 512
 BANDS = (64, 32, 16, 8, 4, 0)
 
 
-def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, q array<long>); vectors that are null, empty or hold null or non-finite parts go."""
+def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int, *more) -> DataFrame:
+    """(vec_id, q array<long>, more); vectors that are null, empty or hold null or non-finite parts go."""
     v = F.col(vec_col).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return (vectors.filter(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull())
             .filter(~bad & (F.size(v) > 0))
-            .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale)).alias("q")))
+            .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale)).alias("q"), *more))
 
 
 def posting_segments(base: DataFrame, shards: int) -> DataFrame:
