@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.llm import exact_dedup, hard_negatives, language_id, mixing, ngram_join, packing, quality
+from ledgerlake.llm import ann, exact_dedup, hard_negatives, language_id, mixing, ngram_join, packing, quality
 from ledgerlake.llm import substring_dedup, token_counts, topk, url_filter, whitening
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+    "op11_nearest_neighbours": ann.op11_nearest_neighbours,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
