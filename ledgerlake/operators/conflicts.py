@@ -30,15 +30,15 @@ def extended_rules(mismatch: Column) -> list[Rule]:
     ]
 
 
-def check_rules(facts: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """One issue row per rule a fact breaks, in one pass over the facts."""
+def check_rules(facts: DataFrame, rules: list[Rule] | None = None, more: list[str] = ()) -> DataFrame:
+    """One issue row per rule a fact breaks, in one pass over the facts; `more` columns are carried along."""
     rules = base_rules() if rules is None else rules
     hits = F.array_compact(F.array(*[
         F.when(cond, F.struct(F.lit(name).alias("issue_type"), F.lit(sev).alias("severity")))
         for name, sev, cond in rules]))
-    return (facts.select("fact_id", "document_id", "org", "created_at", F.explode(hits).alias("i"))
+    return (facts.select("fact_id", "document_id", "org", "created_at", *more, F.explode(hits).alias("i"))
             .select(F.concat_ws(":", "fact_id", "i.issue_type").alias("issue_id"), "fact_id",
-                    "document_id", "org", "created_at", "i.issue_type", "i.severity"))
+                    "document_id", "org", "created_at", "i.issue_type", "i.severity", *more))
 
 
 def contradictions(facts: DataFrame, keys: list[str] = CONFLICT_KEYS,

@@ -56,7 +56,7 @@ dt AS (SELECT DISTINCT term FROM tr),
 hit AS (SELECT chunk_id, term, (length(body) - length(replace(body, term, ''))) // length(term) AS tf
   FROM chunks JOIN dt ON contains(body, term)),
 per AS (SELECT query_id, chunk_id, list({{'pos': pos, 'tf': tf}}) AS tfs FROM tr JOIN hit USING (term)
-  GROUP BY 1, 2 HAVING min(pos) <= 6),
+  GROUP BY 1, 2),
 cand AS (SELECT per.*, t.words, t.org, t.period, c.body, c.section,
   len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) AS len
   FROM per JOIN terms t USING (query_id) JOIN chunks c USING (chunk_id)
@@ -73,26 +73,25 @@ ranked AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id O
 
 @query("rank_chunks", f"WITH {RANKED} SELECT query_id, chunk_id, place, score FROM ranked WHERE place <= 6")
 def rank_chunks(spark, sf):
-    out = retrieve.rank_chunks(bench_queries(spark, sf), chunks(spark, sf), first_terms=6)  # as the SQL
+    out = retrieve.rank_chunks(bench_queries(spark, sf), chunks(spark, sf))
     return out.withColumn("place", F.col("place").cast("bigint"))
 
 
 KEYWORD = f"""{CHUNKS}, {TERM_ROWS},
-k4 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS k FROM tr WHERE length(term) >= 4),
-b AS (SELECT term, chunk_id FROM (SELECT term, chunk_id, row_number() OVER (PARTITION BY term ORDER BY chunk_id) AS r
-  FROM chunks JOIN (SELECT DISTINCT term FROM k4 WHERE k <= 4) t ON contains(body, term)) WHERE r <= 6),
-matched AS (SELECT DISTINCT query_id, chunk_id FROM k4 JOIN b USING (term) WHERE k <= 4)"""
+k4 AS (SELECT DISTINCT query_id, term FROM tr WHERE length(term) >= 4),
+b AS (SELECT term, chunk_id FROM chunks JOIN (SELECT DISTINCT term FROM k4) t ON contains(body, term)),
+matched AS (SELECT DISTINCT query_id, chunk_id FROM k4 JOIN b USING (term))"""
 
 
 @query("keyword_chunks", f"WITH {KEYWORD} SELECT query_id, chunk_id FROM matched")
 def keyword_chunks(spark, sf):
-    return retrieve.keyword_chunks(bench_queries(spark, sf), chunks(spark, sf), 6, 4)  # as the SQL
+    return retrieve.keyword_chunks(bench_queries(spark, sf), chunks(spark, sf))
 
 
 @query("keyword_confidence", f"""WITH {KEYWORD} SELECT query_id, count(*) AS hits,
   least(0.85, 0.5 + 0.05 * count(*))::DOUBLE AS confidence FROM matched GROUP BY 1""")
 def keyword_confidence(spark, sf):
-    return retrieve.keyword_confidence(keyword_chunks(spark, sf))
+    return retrieve.keyword_confidence(retrieve.keyword_counts(bench_queries(spark, sf), chunks(spark, sf)))
 
 
 @query("extractive_answers")

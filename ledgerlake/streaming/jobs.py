@@ -6,25 +6,13 @@ itself. Folders lie under the session's shared checkpoint directory.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.operators import conflicts as cf
-from ledgerlake.operators import merge
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared directory of the session; a local one only for a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="ledgerlake-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ledgerlake.sources.folders import shared_folder  # noqa: F401
+from ledgerlake.streaming.ingest import IncrementalIngest
 
 
 def read_file_stream(spark: SparkSession, directory: str, table: str) -> DataFrame:
@@ -100,51 +88,6 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
                     F.col("last.v").alias("last_value")))
 
 
-class IncrementalIngest:
-    """New fact files -> rules -> upsert -> contradictions, version by version.
-
-    Version n of the ledger is made of version n - 1 and batch n, so repeating a batch gives the same
-    version. Contradictions are worked out again for the keys a batch touches only.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, updated: list[str]):
-        self.spark, self.folder, self.updated = spark, folder, updated
-        self.versions: list[int] = []
-
-    def _ledger(self, version: int) -> str:
-        return f"{self.folder}/ledger/v={version}"
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        older = [v for v in self.versions if v < batch_id]
-        base = (self.spark.read.parquet(self._ledger(older[-1])) if older else batch.limit(0))
-        merge.upsert_facts(base, batch, self.updated).write.mode("overwrite").parquet(
-            self._ledger(batch_id))
-        ledger = self.spark.read.parquet(self._ledger(batch_id))
-        cf.check_rules(batch).write.mode("overwrite").parquet(f"{self.folder}/issues/batch_id={batch_id}")
-        keys = batch.select(*cf.CONFLICT_KEYS).distinct()
-        touched = ledger.join(keys, cf.CONFLICT_KEYS, "left_semi")
-        keys.write.mode("overwrite").parquet(f"{self.folder}/touched/batch_id={batch_id}")
-        cf.contradictions(touched).write.mode("overwrite").parquet(
-            f"{self.folder}/conflicts/batch_id={batch_id}")
-        if batch_id not in self.versions:
-            self.versions.append(batch_id)
-
-    def ledger(self) -> DataFrame:
-        return self.spark.read.parquet(self._ledger(self.versions[-1]))
-
-    def issues(self) -> DataFrame:
-        out = f"{self.folder}/issues"
-        return self.spark.read.option("basePath", out).parquet(out).drop("batch_id").distinct()
-
-    def conflicts(self) -> DataFrame:
-        """Of every key the contradictions of the last batch that touched it."""
-        t, c = f"{self.folder}/touched", f"{self.folder}/conflicts"
-        last = (self.spark.read.option("basePath", t).parquet(t).groupBy(*cf.CONFLICT_KEYS)
-                .agg(F.max("batch_id").alias("batch_id")))
-        rows = self.spark.read.option("basePath", c).parquet(c)
-        return rows.join(last, [*cf.CONFLICT_KEYS, "batch_id"], "left_semi").drop("batch_id")
-
-
 def ingest_stream(spark: SparkSession, facts: DataFrame, folder: str, updated: list[str]
                   ) -> IncrementalIngest:
     job = IncrementalIngest(spark, folder, updated)
