@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import cut, table
+from ledgerlake.llm.common import cut, received, sent, table
 
 K, SAMPLE, MOST_LISTS, TARGET = 5, 32_768, 1024, 0.97
 LEVEL, BLOCK = 2.1, 16  # level of the tests; dimensions a column block
@@ -89,9 +89,10 @@ def by_length(batch):
 def in_lists(rows: DataFrame, models) -> DataFrame:
     """(d, list, vec_id, vec): each row with the list of its nearest centre."""
     def task(batches):
+        known = received(models)
         for batch in batches:
             for d, at, vec in by_length(batch):
-                m = models.value.get(d)
+                m = known.get(d)
                 own = (unit_rows(vec, d)[2] @ m.centres).argmax(1) if m else np.zeros(len(at), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(at), d), pa.int32()), pa.array(own, pa.int32()), batch.column("vec_id").take(pa.array(at)), vec],
@@ -103,9 +104,10 @@ def in_lists(rows: DataFrame, models) -> DataFrame:
 def probed(asked: DataFrame, models, first: bool) -> DataFrame:
     """(d, list, row, vec_id, vec, t) for the nearest list of each query, or for the others it probes."""
     def task(batches):
+        known = received(models)
         for batch in batches:
             for d, at, vec in by_length(batch):
-                m = models.value.get(d)
+                m = known.get(d)
                 if not m and not first:
                     continue
                 if m:
@@ -204,7 +206,7 @@ def scan(index: DataFrame, probes: DataFrame, shards: DataFrame, models, k: int,
                 yield pa.RecordBatch.from_arrays([pa.array(row[q]), pa.array(own[q]), pa.array(found), pa.array(score)], ["row", "query_id", "vec_id", "score"])
 
     def task(batches):
-        now, held = None, {}
+        known, now, held = received(models), None, {}
         for batch in batches:
             key = np.stack([batch.column(c).to_numpy() for c in (*keys, "kind")], 1)
             edges = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key)]
@@ -218,7 +220,7 @@ def scan(index: DataFrame, probes: DataFrame, shards: DataFrame, models, k: int,
                         held["vec"].append(part.column("vec"))
                         held["id"].append(part.column("vec_id").to_numpy())
                     elif held["vec"]:
-                        yield from answers(held, part, at[0], models.value.get(at[0]))
+                        yield from answers(held, part, at[0], known.get(at[0]))
 
     return (one.unionByName(two).repartition(*keys).sortWithinPartitions(*keys, "kind")
             .select(*keys, "kind", "row", "vec_id", F.col("vec").cast(vec).alias("vec"), "t")
@@ -260,17 +262,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     for d, _, vec in by_length(chosen.combine_chunks().to_batches()[0]) if chosen.num_rows else ():
         lists = int(np.clip(round(np.sqrt(sizes.get(d, 1)) / 2), 1, most_lists))
         models[d] = trained(unit_rows(vec, d)[2], lists, k, target, seed)
-    sent = spark.sparkContext.broadcast(models)  # at most most_lists centres for each length of the sample
-    index = cut(in_lists(base, sent), "ann_lists")
+    fitted = sent(spark, models)  # at most most_lists centres for each length of the sample
+    index = cut(in_lists(base, fitted), "ann_lists")
     shards = cut(index.groupBy("d", "list").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards")), "ann_shards")
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
 
     def top(found):
         return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-    first = cut(top(scan(index, probed(asked, sent, True), shards, sent, k, level)), "ann_first")
+    first = cut(top(scan(index, probed(asked, fitted, True), shards, fitted, k, level)), "ann_first")
     reach = first.filter(F.col("rank") == k).select("row", (2 - 2 * F.col("score")).alias("t"))
-    rest = scan(index, probed(asked.drop("t").join(reach, "row", "left"), sent, False), shards, sent, k, level)
+    rest = scan(index, probed(asked.drop("t").join(reach, "row", "left"), fitted, False), shards, fitted, k, level)
     return top(first.drop("rank").unionByName(rest)).select("query_id", "rank", "vec_id", "score")
 
 

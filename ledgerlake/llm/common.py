@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of objects of this subpackage, whose classes travel along. The caller knows its bound."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(broadcast: Broadcast):
+    return pickle.loads(broadcast.value)
+
+
 def ascii_lower(text):
     """Lower-cases A-Z only. `lower` does just that on texts of one byte a character."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)) \

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import cut, table, union_all
+from ledgerlake.llm.common import cut, received, sent, table, union_all
 from ledgerlake.llm.topk import quantised
 from ledgerlake.llm.vectors import Best, query_rounds, rows_by_length, score_blocks
 
@@ -60,14 +60,15 @@ def _pairs(anchor, score, ids) -> pa.RecordBatch:
 def first_positives(rows: DataFrame, anchors, k: int) -> DataFrame:
     """(anchor, score, id): per task the first k rows of each anchor's label."""
     def task(batches):
-        held = {d: Best(len(a.id), k) for d, a in anchors.value.items()}
-        for scores, a, part, b in score_blocks(batches, anchors.value):
+        asked = received(anchors)
+        held = {d: Best(len(a.id), k) for d, a in asked.items()}
+        for scores, a, part, b in score_blocks(batches, asked):
             free = (a.label[part][:, None] == b.label[None, :]) & (a.id[part][:, None] != b.id[None, :])
             held[a.vec.shape[1]].add(np.arange(len(a.id))[part], scores, b, free)
         for d, best in held.items():
             q, score, ids, _ = best.found()
             if len(q):
-                yield _pairs(anchors.value[d].row[q], score, ids)
+                yield _pairs(asked[d].row[q], score, ids)
 
     return rows.mapInArrow(task, PAIR)
 
@@ -76,19 +77,20 @@ def window_negatives(rows: DataFrame, anchors, bounds, k: int) -> DataFrame:
     """(anchor, score, id): per task the first k rows of another label in each window of each anchor.
     bounds: by length, low and high ends (anchors x windows)."""
     def task(batches):
-        held = {d: [Best(len(lo), k) for _ in range(lo.shape[1])] for d, (lo, _) in bounds.value.items()}
-        for scores, a, part, b in score_blocks(batches, anchors.value):
+        asked, ends = received(anchors), received(bounds)
+        held = {d: [Best(len(lo), k) for _ in range(lo.shape[1])] for d, (lo, _) in ends.items()}
+        for scores, a, part, b in score_blocks(batches, asked):
             d = a.vec.shape[1]
             other = a.label[part][:, None] != b.label[None, :]
             for w, best in enumerate(held[d]):
-                low, high = (x[part, w][:, None] for x in bounds.value[d])
+                low, high = (x[part, w][:, None] for x in ends[d])
                 inside = other & (scores >= low) & (scores <= high)
                 some = np.flatnonzero(inside.any(1))
                 best.add(some + part.start, scores[some], b, inside[some])
         for d, each in held.items():
             one = np.unique(np.concatenate([np.stack(best.found(), 1) for best in each]), axis=0)  # a row may fit several windows
             if len(one):
-                yield _pairs(anchors.value[d].row[one[:, 0]], one[:, 1], one[:, 2])
+                yield _pairs(asked[d].row[one[:, 0]], one[:, 1], one[:, 2])
 
     return rows.mapInArrow(task, PAIR)
 
@@ -152,9 +154,9 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, id_col: str = "vec_id",
     kept = []
     for table_ in query_rounds(asked, round_rows):
         by_length = rows_by_length(table_)
-        sent = spark.sparkContext.broadcast(by_length)  # at most about round_rows vectors
+        shown = sent(spark, by_length)  # at most about round_rows vectors
         first = Window.partitionBy("anchor").orderBy(F.desc("score"), "id")
-        top = cut(first_positives(base, sent, positives).withColumn("k", F.row_number().over(first))
+        top = cut(first_positives(base, shown, positives).withColumn("k", F.row_number().over(first))
                   .filter(F.col("k") <= positives).drop("k"), "positives")
         found = top.toArrow()
         anchor, score = (found.column(c).to_numpy() for c in ("anchor", "score"))
@@ -171,9 +173,9 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, id_col: str = "vec_id",
             place = np.arange(len(at)) - np.searchsorted(at, at)
             low[at, place], high[at, place] = windows(own, least, most)
             bounds[d] = low, high
-        ends = spark.sparkContext.broadcast(bounds)
-        kept.append(cut(keyed(top, 0).unionByName(keyed(window_negatives(base, sent, ends, negatives), 1)), "pair_keys"))
-        sent.unpersist()
+        ends = sent(spark, bounds)
+        kept.append(cut(keyed(top, 0).unionByName(keyed(window_negatives(base, shown, ends, negatives), 1)), "pair_keys"))
+        shown.unpersist()
         ends.unpersist()
     if not kept:
         return spark.createDataFrame([], OUT)
