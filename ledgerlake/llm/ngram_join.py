@@ -1,7 +1,9 @@
 """N-gram Jaccard join by vertical partitioning.
 
 A document is the set of its word shingles; shingles are 64-bit names. All names stand in one global
-order: shingles that fill many documents last, the rest by their hash.
+order of three tiers: names of few documents, then names that many leading parts hold, then names that
+already single runs of rows hold often; by hash within a tier. The middle tier comes from a count over the
+leading parts of a first order; each set keeps twice its leading part, so that no text is read again.
 
 1. Documents with equal sets are one class; one class needs one look.
 2. Candidates share a name in the leading part of their ordered sets (similar sets must), subject to
@@ -85,17 +87,85 @@ def frequent_names(data: DataFrame, k: int) -> tuple[np.ndarray, int]:
     return np.sort(hot.toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64)), total
 
 
-def leading_part(s: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The names of which a similar set must share one: all but the last ceil(percent * n / 100) - 1;
-    and how many of them are not frequent (these come first)."""
-    n = len(s)
-    rare = n
+def part_size(n: int, percent: int) -> int:
+    """Of so many of its first names a similar set must share one."""
+    return n - (percent * n + 99) // 100 + 1 if n else 0
+
+
+def stored_part(s: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Twice the leading part, names of `hot` last; and how many names of the set are not in `hot`."""
+    n = rare = len(s)
     if n and len(hot):
         late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
         rare = n - int(late.sum())
         s = np.concatenate([s[~late], s[late]])
-    part = s[:n - (percent * n + 99) // 100 + 1] if n else s
-    return part, min(rare, len(part))
+    return s[:2 * part_size(n, percent)], rare
+
+
+def held_in(x: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which of x occur in sorted names."""
+    return names[np.minimum(np.searchsorted(names, x), len(names) - 1)] == x if len(names) else np.zeros(len(x), bool)
+
+
+def leading_part(stored: np.ndarray, rare: int, mid: np.ndarray, size: int) -> tuple[np.ndarray, int, int] | None:
+    """The first `size` names of the order with the tiers rare, mid, hot, and how many of the first two there
+    are; None where the stored names do not tell."""
+    few, late = stored[:rare], stored[rare:]
+    in_mid = held_in(few, mid)
+    first = few[~in_mid]
+    if len(first) >= size:
+        return first[:size], size, 0
+    if rare > len(stored):
+        return None
+    part = np.concatenate([first, few[in_mid], late])[:size]
+    return part, len(first), min(int(in_mid.sum()), len(part) - len(first))
+
+
+def middle_names(parts: DataFrame, percent: int) -> np.ndarray:
+    """Names that many leading parts hold, fewer than HOT_MOST. Names that a set cannot do without, because
+    what it has stored behind them is too short, are left out; that brings no other set into this state."""
+    size = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    tokens = parts.select(F.explode(F.slice("stored", F.lit(1), F.least(size.cast("int"), F.col("rare")))).alias("h"))
+    counts = cut(tokens.groupBy("h").count().filter(F.col("count") >= HOT_LEAST), "leading_counts")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    mid = counts.filter(F.col("count") >= max(HOT_LEAST, -(-total // HOT_MOST))).select("h")
+    mid = np.sort(mid.toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))
+    if not len(mid):
+        return mid
+    spark = parts.sparkSession
+    mid_at = spark.sparkContext.broadcast(mid)
+
+    def needed(batches):
+        for batch in batches:
+            out = []
+            for n, rare, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = stored.values.to_numpy().view(np.uint64)
+                if leading_part(x, rare, mid_at.value, part_size(n, percent)) is None:
+                    few = x[:rare]
+                    out.append(few[held_in(few, mid_at.value)])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)).view(np.int64))], ["h"])
+
+    keep = parts.select("n", "rare", "stored").mapInArrow(needed, "h long").distinct().toArrow().column("h").to_numpy()
+    return np.setdiff1d(mid, keep.astype(np.int64).view(np.uint64))
+
+
+def leading_parts(parts: DataFrame, mid, percent: int) -> DataFrame:
+    """(cid, n, rare, mid, part): the leading parts under the final order; the first `rare` names are of the
+    first tier, the next `mid` of the second."""
+    def order(batches):
+        for batch in batches:
+            rows = []
+            for n, rare, stored in zip(batch.column("n").to_pylist(), batch.column("rare").to_pylist(), batch.column("stored"), strict=True):
+                part, few, some = leading_part(stored.values.to_numpy().view(np.uint64), rare, mid.value, part_size(n, percent))
+                rows.append((few, some, part.view(np.int64)))
+            if rows:
+                few, some, part = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("cid"), batch.column("n"), pa.array(few, pa.int32()), pa.array(some, pa.int32()), pa.array(part, pa.list_(pa.int64()))],
+                    ["cid", "n", "rare", "mid", "part"])
+
+    return parts.select("cid", "n", "rare", "stored").mapInArrow(order, "cid long, n int, rare int, mid int, part array<long>")
 
 
 def _grouped(batches, column: str = "h"):
@@ -176,8 +246,15 @@ def candidate_pairs(shared: DataFrame, turn: int, percent: int) -> DataFrame:
             .filter((F.col("wa") & F.col("wb")) | (F.col("c") >= least)).select("a", "b"))
 
 
-def _upto(z: np.ndarray, end: np.uint64) -> np.ndarray:
-    return z[:np.searchsorted(z, end, "right")]
+def known_whole(x: np.ndarray, cuts: tuple[int, int], y: np.ndarray, cuts_y: tuple[int, int]):
+    """Tier by tier, the names of two leading parts up to the nearer of their ends: so far both sets are known."""
+    tiers = [(x[:cuts[0]], y[:cuts_y[0]]), (x[cuts[0]:cuts[1]], y[cuts_y[0]:cuts_y[1]]), (x[cuts[1]:], y[cuts_y[1]:])]
+    last = [max(i for i in range(3) if len(tiers[i][side])) for side in (0, 1)]
+    stop = min(last)
+    end = min(tiers[stop][side][-1] for side in (0, 1) if last[side] == stop)
+    for v, w in tiers[:stop]:
+        yield v, w
+    yield tuple(z[:np.searchsorted(z, end, "right")] for z in tiers[stop])
 
 
 def first_fragment(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -185,26 +262,19 @@ def first_fragment(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFram
     both sets are known whole, so what differs there differs for good."""
     def test(batches):
         for batch in batches:
-            a, b, na, nb, ra, rb = (batch.column(i).to_numpy() for i in (0, 1, 2, 3, 4, 5))
-            pa_, pb_ = batch.column(6), batch.column(7)
+            a, b, na, nb, ra, rb, ma, mb = (batch.column(i).to_numpy() for i in range(8))
             ok = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                x, y = pa_[i].values.to_numpy(), pb_[i].values.to_numpy()
-                x, hx, y, hy = (z.view(np.uint64) for z in (x[:ra[i]], x[ra[i]:], y[:rb[i]], y[rb[i]:]))
-                ends = [z[-1] for z, h in ((x, hx), (y, hy)) if not len(h)]
-                if ends:  # one part ends among the rare names
-                    x, y, hx, hy = _upto(x, min(ends)), _upto(y, min(ends)), hx[:0], hy[:0]
-                else:
-                    hx, hy = _upto(hx, min(hx[-1], hy[-1])), _upto(hy, min(hx[-1], hy[-1]))
+            for i, (x, y) in enumerate(zip(batch.column(8), batch.column(9), strict=True)):
+                x, y = (z.values.to_numpy().view(np.uint64) for z in (x, y))
                 differ = sum(len(v) + len(w) - 2 * len(np.intersect1d(v, w, assume_unique=True))
-                             for v, w in ((x, y), (hx, hy)))
+                             for v, w in known_whole(x, (ra[i], ra[i] + ma[i]), y, (rb[i], rb[i] + mb[i])))
                 total = na[i] + nb[i]
                 ok[i] = differ <= total - 2 * -(-percent * total // (100 + percent))
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
     x, y = (parts.select(F.col("cid").alias(i), F.col("n").alias(f"n{i}"), F.col("rare").alias(f"r{i}"),
-                         F.col("part").alias(f"p{i}")) for i in "ab")
-    return (pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb", "pa", "pb")
+                         F.col("mid").alias(f"m{i}"), F.col("part").alias(f"p{i}")) for i in "ab")
+    return (pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb", "ma", "mb", "pa", "pb")
             .mapInArrow(test, "a long, b long"))
 
 
@@ -328,20 +398,22 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), _texts(batch), strict=True):
                 s = shingle_set(text, k, names)
-                part, rare = leading_part(s, hot_at.value, percent)
-                rows.append((doc, len(s), set_key(s), part.view(np.int64), rare))
+                stored, rare = stored_part(s, hot_at.value, percent)
+                rows.append((doc, len(s), set_key(s), stored.view(np.int64), rare))
             if rows:
                 d, n, key, p, rare = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(key, pa.binary()),
-                     pa.array(p, pa.list_(pa.int64())), pa.array(rare, pa.int32())], ["doc_id", "n", "key", "part", "rare"])
+                     pa.array(p, pa.list_(pa.int64())), pa.array(rare, pa.int32())], ["doc_id", "n", "key", "stored", "rare"])
 
-    held = cut(data.mapInArrow(sets, "doc_id long, n int, key binary, part array<long>, rare int"), "sets")
+    held = cut(data.mapInArrow(sets, "doc_id long, n int, key binary, stored array<long>, rare int"), "sets")
     classes = cut(held.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("doc_id"))
                   .withColumn("cid", F.monotonically_increasing_id()), "classes")
     c = classes.select(F.col("key").alias("ckey"), F.col("doc_id").alias("cdoc"), "cid")
-    parts = cut(held.join(c, (F.col("key") == F.col("ckey")) & F.col("doc_id").eqNullSafe(F.col("cdoc")))
-                .select("cid", "n", "rare", "part").dropDuplicates(["cid"]), "parts")
+    known = cut(held.join(c, (F.col("key") == F.col("ckey")) & F.col("doc_id").eqNullSafe(F.col("cdoc")))
+                .select("cid", "n", "rare", "stored").dropDuplicates(["cid"]), "stored_parts")
+    mid_at = spark.sparkContext.broadcast(middle_names(known, percent))  # at most HOT_MOST names
+    parts = cut(leading_parts(known, mid_at, percent), "parts")
     tokens = parts.select("cid", "n", F.posexplode("part").alias("pos", "h")).select("h", "cid", "n", "pos")
     shared = cut(shared_names(tokens), "shared")
     sizes = classes.select("cid", "n")
