@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.calc import exact_sum
+from ledgerlake.functions.exact import WIDE, exact_sum, quotient
 
 PRODUCTION, TARGET, OFFTAKE = "COAL_PRODUCTION", "PRODUCTION_TARGET", "COAL_OFFTAKE"
 OVERBURDEN = ["OVERBURDEN_REMOVAL", "OBR_REMOVAL", "OBR"]
@@ -24,8 +24,7 @@ def rounded(c: Column, digits: int = 1) -> Column:
 
 def ratio_pct(num: Column, den: Column, digits: int = 1) -> Column:
     """num / den * 100, NULL unless den > 0."""
-    n, d = num.cast("decimal(20,6)"), den.cast("decimal(20,6)")
-    return F.when(d > 0, F.round(n * 100 / d, digits).cast("double"))
+    return F.when(den > 0, quotient(num, den, digits, 100))
 
 
 def kpis(facts: DataFrame, documents: DataFrame, issues: DataFrame, conflicts: DataFrame,
@@ -115,9 +114,7 @@ def growth(totals: DataFrame, value: str, order: str, partition: list[str]) -> D
     """Growth against the previous period in percent; 0 for the first and after a total <= 0."""
     w = Window.partitionBy(*partition).orderBy(order)
     prev = F.lag(value).over(w)
-    g = F.when(prev > 0, F.round(
-        (F.col(value) - prev).cast("decimal(20,6)") * 100 / prev.cast("decimal(20,6)"), 1)
-        .cast("double")).otherwise(0.0)
+    g = F.when(prev > 0, quotient(F.col(value) - prev, prev, 1, 100)).otherwise(0.0)
     return totals.withColumn("growth_pct", g)
 
 
@@ -169,12 +166,11 @@ def stripping_ratio(facts: DataFrame, codes: list[str] = OVERBURDEN) -> DataFram
     """Overburden over production per fiscal period (production at least 0.1)."""
     g = facts.filter(F.col("reporting_period").like("FY%")).groupBy("reporting_period").agg(
         F.coalesce(metric_sum(*codes), F.lit(0)).alias("ob"), metric_sum(PRODUCTION).alias("p"))
-    p = F.greatest(F.coalesce(F.col("p"), F.lit(0)), F.lit("0.1").cast("decimal(20,6)"))
+    p = F.greatest(F.coalesce(F.col("p"), F.lit(0)), F.lit("0.1").cast(WIDE))
     return g.select(
         "reporting_period", rounded(F.col("ob")).alias("overburden"),
         rounded(F.coalesce(F.col("p"), F.lit(0))).alias("production"),
-        F.round(F.col("ob").cast("decimal(20,6)") / p.cast("decimal(20,6)"), 2).cast("double")
-        .alias("ratio"))
+        quotient(F.col("ob"), p, 2).alias("ratio"))
 
 
 def issue_statistics(issues: DataFrame) -> DataFrame:

@@ -12,23 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake import dims
+from ledgerlake.functions.exact import WIDE, exact_sum, not_held, quotient
 from ledgerlake.functions.text import is_valid_number
 from ledgerlake.operators.protect import (
     DUP_KEYS, YEAR_KEYS, unique, upper_or_empty, with_protection_keys)
 from ledgerlake.operators.scope import apply_scopes
 
-MONEY = "decimal(20,6)"
 OPS = ["SUM", "AVG", "WAVG", "MIN", "MAX", "COUNT", "LATEST"]
 
 
-def exact_sum(value: Column) -> Column:
-    """Sum that does not depend on task order."""
-    return F.sum(value.cast(MONEY))
-
-
 # statistics each operation needs beside the counts; all of them merge by the aggregate given
 _STATS = {
-    "SUM": ["total"], "AVG": ["total"], "WAVG": ["total", "weighted", "weight"], "MIN": ["low"],
+    "SUM": ["total", "n_large"], "AVG": ["total", "n_large"], "WAVG": ["total", "weighted", "weight", "n_large"], "MIN": ["low"],
     "MAX": ["high"], "COUNT": [], "LATEST": ["latest"]}
 
 
@@ -40,6 +35,7 @@ def _first_level(op: str, weight: Column | None) -> dict[str, Column]:
         "total": exact_sum(F.when(ok, v)),
         "weighted": exact_sum(F.when(ok, v * w)),
         "weight": exact_sum(F.when(ok, w)),
+        "n_large": not_held(F.when(ok, v)),
         "low": F.min(F.when(ok, v)),
         "high": F.max(F.when(ok, v)),
         "latest": F.max(F.when(ok, F.struct("created_at", "fact_id", v.alias("value")))),
@@ -135,15 +131,17 @@ def finish(stats: DataFrame, op: str, metrics: DataFrame) -> DataFrame:
     valid = F.col("n_valid") > 0
 
     def mean() -> Column:
-        return (F.col("total") / F.col("n_valid")).cast("decimal(38,12)")
+        few = F.abs("total") < 1e23
+        return F.when(few, F.round(F.when(few, F.col("total").cast("decimal(30,6)")) / F.col("n_valid"), 4).cast("double")) \
+            .otherwise(F.round(F.col("total").cast("double") / F.col("n_valid"), 4))
 
     def weighted_mean() -> Column:
         w = F.col("weighted").cast("double") / F.col("weight").cast("double")
-        return F.coalesce(F.when(F.col("weight") != 0, w), mean().cast("double"))
+        return F.coalesce(F.when(F.col("weight") != 0, w), mean())
 
     value = {
         "SUM": lambda: F.round("total", 4).cast("double"),
-        "AVG": lambda: F.round(mean(), 4).cast("double"),
+        "AVG": mean,
         "WAVG": lambda: F.round(weighted_mean(), 4),
         "MIN": lambda: F.round("low", 4), "MAX": lambda: F.round("high", 4),
         "COUNT": lambda: F.col("n").cast("double"),
@@ -156,6 +154,8 @@ def finish(stats: DataFrame, op: str, metrics: DataFrame) -> DataFrame:
             F.col("conflict"), "CONFLICT")
         if op == "SUM":
             error = error.when(~sum_ok, "UNSUPPORTED_OPERATION")
+        if "n_large" in _STATS[op]:
+            error = error.when(F.col("n_large") > 0, "VALUE_OUT_OF_RANGE")
         if op != "COUNT":
             error = error.when(~valid, "INSUFFICIENT_EVIDENCE")
         result = value[op]()
@@ -183,7 +183,7 @@ def finish(stats: DataFrame, op: str, metrics: DataFrame) -> DataFrame:
                        .when(n_demo == used, "DEMO_DATA").otherwise("MIXED_WARNING")),
         "warning": warn,
     }).drop("canonical_unit", "supports_sum", "total", "n_valid", "n", "weighted", "weight", "low",
-            "high", "latest", "n_verified", "n_demo", "conflict", "n_total")
+            "high", "latest", "n_verified", "n_demo", "n_large", "conflict", "n_total")
 
 
 def calculate(facts: DataFrame, metrics: DataFrame, op: str = "SUM",
@@ -234,8 +234,7 @@ def achievement(actual: DataFrame, target: DataFrame, keys: list[str]) -> DataFr
     return j.select(
         *keys, ok.alias("success"), F.col("err").alias("error_code"),
         F.col("result").alias("actual"), F.col("t_result").alias("target"),
-        F.when(ok, F.round(F.col("result").cast(MONEY) * 100 / F.col("t_result").cast(MONEY), 2)
-               .cast("double")).alias("achievement_pct"),
+        F.when(ok, quotient(F.col("result"), F.col("t_result"), 2, 100)).alias("achievement_pct"),
         F.when(ok, F.lit("%")).otherwise(F.col("unit")).alias("unit"),
         (F.col("evidence_total") + F.when(ok, F.col("t_total")).otherwise(0)).alias("evidence_total"),
         used.alias("evidence_used"),
@@ -286,10 +285,8 @@ def reconcile(entity_totals: DataFrame, group_codes: list[str], keys: list[str],
         exact_sum(F.when(is_group, F.col("result"))).alias("whole"))
     parts = F.round("parts", 3)
     both = F.col("parts").isNotNull() & F.col("whole").isNotNull()
-    # decimals divided by at least 0.001
-    gap = F.round(
-        F.abs(parts - F.col("whole")) * 100
-        / F.greatest(F.col("whole"), F.lit("0.001").cast(MONEY)), 2).cast("double")
+    # divided by at least 0.001
+    gap = quotient(F.abs(parts - F.col("whole")), F.greatest(F.col("whole"), F.lit("0.001").cast(WIDE)), 2, 100)
     return sums.select(
         *keys, parts.cast("double").alias("parts_total"),
         F.col("whole").cast("double").alias("group_total"),
@@ -307,6 +304,5 @@ def parts_versus_year(facts: DataFrame, group_codes: list[str] = dims.GROUP_TOTA
     return sums.select(
         "org", "metric_code", "fiscal_year", F.col("m").cast("double").alias("monthly_total"),
         F.col("a").cast("double").alias("annual_total"),
-        F.round(F.abs(F.col("m") - F.col("a")) * 100
-                / F.greatest(F.col("a"), F.lit("0.001").cast(MONEY)), 2).cast("double")
+        quotient(F.abs(F.col("m") - F.col("a")), F.greatest(F.col("a"), F.lit("0.001").cast(WIDE)), 2, 100)
         .alias("discrepancy_pct"))

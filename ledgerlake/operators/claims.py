@@ -18,10 +18,12 @@ def verify_claims(claims: DataFrame, results: DataFrame, keys: list[str], mode:
     """
     r = results.select(*keys, F.when(F.col("success"), F.round("result", 2)).alias("recorded"))
     j = claims.join(r, keys, "left")
-    c, rec = F.col("claimed").cast(MONEY), F.col("recorded").cast(MONEY)
-    gap = F.abs(c - rec)
+    small = (F.abs("claimed") < 1e13) & (F.abs("recorded") < 1e13)  # four decimals are kept as decimals
+    near = F.abs(F.when(small, F.col("claimed").cast(MONEY)) - F.when(small, F.col("recorded").cast(MONEY)))
+    c, rec = F.col("claimed"), F.col("recorded")
+    gap = F.coalesce(near.cast("double"), F.abs(c - rec))
     # plain doubles here: a quotient of decimals is cut to a fixed scale before it is rounded
-    pct = F.round((gap * 100).cast("double") / F.greatest(rec.cast("double"), F.lit(0.0001)), 2)
+    pct = F.round(F.coalesce((near * 100).cast("double"), gap * 100) / F.greatest(rec, F.lit(0.0001)), 2)
     none = F.col("recorded").isNull() | F.col("claimed").isNull()
     if mode == "absolute":
         verdict = (F.when(none, "INSUFFICIENT_EVIDENCE").when(gap <= 0.05, "SUPPORTED")
@@ -30,7 +32,7 @@ def verify_claims(claims: DataFrame, results: DataFrame, keys: list[str], mode:
         verdict = (F.when(none, "INSUFFICIENT_EVIDENCE").when(pct < 2, "SUPPORTED")
                    .when(pct < 10, "PARTIALLY_SUPPORTED").otherwise("CONFLICTING"))
     return j.select("claim_id", "claimed", "recorded",
-                    F.round(c - rec, 2).cast("double").alias("difference"),
+                    (F.signum(c - rec) * F.coalesce(F.round(near, 2).cast("double"), F.round(gap, 2))).alias("difference"),
                     F.when(~none, pct).alias("difference_pct"), verdict.alias("verdict"))
 
 

@@ -38,8 +38,9 @@ def with_keys(facts: DataFrame) -> DataFrame:
                       part("org"), part("site"), part("cell_reference"), part("page_number"),
                       part("row_number"))
     source = F.concat_ws(":", part("metric_code"),
-                         F.coalesce(F.col("numeric_value").cast("decimal(20,4)").cast("string"),
-                                    F.lit("")),
+                         F.when(F.abs("numeric_value") < 1e15, F.coalesce(
+                             F.col("numeric_value").cast("decimal(20,4)").cast("string"), F.lit("")))
+                         .otherwise(F.coalesce(F.col("numeric_value").cast("string"), F.lit(""))),
                          part("reporting_period"),
                          part("source_context") if "source_context" in facts.columns else F.lit(""))
     return facts.withColumns({"dedup_key": key, "source_hash": F.sha2(source, 256)})

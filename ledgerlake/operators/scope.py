@@ -62,37 +62,52 @@ def apply_scope(ledger: DataFrame, scope: Scope) -> DataFrame:
 YEAR_SHAPE = r"^\d{4}-\d{2}$"
 
 
+def _grams(text: Column) -> Column:
+    """Pieces of up to three characters, the empty one included."""
+    size = F.coalesce(F.length(text), F.lit(0))
+    each = [F.transform(F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i, n=n: i <= size - n + 1),
+                        lambda i, n=n: F.substr(text, i, F.lit(n))) for n in (1, 2, 3)]
+    return F.array_distinct(F.concat(F.array(F.lit("")), *each))
+
+
+def scopes_of_periods(periods: DataFrame, scopes: DataFrame, keys: list[str],
+                      kinds: tuple[str, ...] = ("year", "any", "text")) -> DataFrame:
+    """(keys, reporting_period, scope_id): which scopes a period text falls into. `periods`: distinct keys and
+    reporting_period. Only equi joins: years by their pieces, other texts by their first characters."""
+    bare = F.lower(F.trim(F.replace(F.col("period"), F.lit("FY "), F.lit(""))))
+    s = scopes.select("scope_id", *keys, F.col("period").alias("s_period"), bare.alias("s_bare"))
+    is_year, text = F.col("s_bare").rlike(YEAR_SHAPE), F.col("reporting_period")
+    out = [*keys, "reporting_period", "scope_id"]
+    branches = []
+    if "year" in kinds:
+        pieces = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?=(\d{4}-\d{2}))"), 1))
+        branches.append(periods.withColumn("s_bare", F.explode(pieces)).join(s.filter(is_year), keys + ["s_bare"]).select(out))
+    if "any" in kinds:
+        branches.append(periods.join(s.filter(F.col("s_period").isNull()), keys).select(out))
+    if "text" in kinds:
+        others = s.filter(~is_year).withColumn("gram", F.left("s_bare", F.lit(3)))
+        inside = (periods.withColumn("gram", F.explode(_grams(F.lower(text)))).join(others, keys + ["gram"])
+                  .filter(F.contains(F.lower(text), F.col("s_bare"))).select(out))
+        equal = periods.join(others.withColumn("reporting_period", F.col("s_period")), keys + ["reporting_period"]).select(out)
+        branches.append(inside.unionByName(equal).distinct())
+    return reduce(lambda x, y: x.unionByName(y), branches)
+
+
 def apply_scopes(ledger: DataFrame, scopes: DataFrame, keys: list[str] = ("metric_code",),
                  kinds: tuple[str, ...] = ("year", "any", "text")) -> DataFrame:
     """Facts of many scopes at once. `scopes` has scope_id, the key columns and `period`
     (NULL = any); a fact may fall into several scopes.
 
-    A scope over a year (`FY 2024-25`) matches by contains, which for that shape is the same as an
-    equality with one of the `dddd-dd` pieces of the fact's period: an equi join on (keys, piece),
-    no pairwise comparison. Scopes over any period join on the keys. Only odd period texts
-    ("Apr 2024") need the contains test as a residual. `kinds` leaves out branches the caller knows
-    to be empty.
+    Scopes are matched with the distinct period texts of the ledger, once per text; the facts then meet
+    that dictionary in one equi join on keys and text, which yields matches only. `kinds` leaves out
+    branches the caller knows to be empty.
     """
     keys = list(keys)
     facts = ledger.filter(F.col("numeric_value").isNotNull())
-    bare = F.lower(F.trim(F.replace(F.col("period"), F.lit("FY "), F.lit(""))))
-    s = scopes.select("scope_id", *keys, F.col("period").alias("s_period"), bare.alias("s_bare"))
-    is_year = F.col("s_bare").rlike(YEAR_SHAPE)
-    branches = []
-    if "year" in kinds:
-        pieces = F.array_distinct(
-            F.regexp_extract_all(F.col("reporting_period"), F.lit(r"(?=(\d{4}-\d{2}))"), 1))
-        branches.append(
-            facts.withColumn("s_bare", F.explode(pieces))
-            .join(s.filter(is_year).drop("s_period"), keys + ["s_bare"]))
-    if "any" in kinds:
-        branches.append(facts.join(s.filter(F.col("s_period").isNull()).drop("s_period"), keys))
-    if "text" in kinds:
-        branches.append(
-            facts.join(s.filter(~is_year), keys)
-            .filter(F.contains(F.lower("reporting_period"), F.col("s_bare"))
-                    | (F.col("reporting_period") == F.col("s_period"))).drop("s_period"))
-    return reduce(lambda x, y: x.unionByName(y), [b.drop("s_bare") for b in branches])
+    known = scopes_of_periods(facts.select(*keys, "reporting_period").distinct(), scopes, keys, kinds)
+    named = known.select(*[F.col(k).alias(f"s_{k}") for k in keys], F.col("reporting_period").alias("s_text"), "scope_id")
+    same = [F.col(k) == F.col(f"s_{k}") for k in keys] + [F.col("reporting_period").eqNullSafe(F.col("s_text"))]
+    return facts.join(named, same).drop("s_text", *[f"s_{k}" for k in keys])
 
 
 def optional_filters(df: DataFrame, **values: str | None) -> DataFrame:

@@ -243,10 +243,9 @@ def real_demo_counts(spark, sf):
 
 @query("table_counts", " UNION ALL ".join(
     f"SELECT '{t}' AS name, count(*) AS n FROM {t}"
-    for t in ("lineitem", "orders", "supplier", "documents", "events", "conversations")))
+    for t in ad.TABLES))
 def table_counts(spark, sf):
-    names = ["lineitem", "orders", "supplier", "documents", "events", "conversations"]
-    return an.table_counts({n: ad.read_table(spark, sf, n) for n in names})
+    return an.table_counts({n: ad.read_table(spark, sf, n) for n in ad.TABLES})
 
 
 @query("review_queue", f"""WITH {FACTS}, {ISSUES}, {ISSUE_STATE}, {CONFLICTS}
@@ -328,11 +327,14 @@ def latest_per_key(spark, sf):
             .filter("rn = 1").select("user_id", "event_id", "event_type"))
 
 
-@query("sigma_outliers", f"""WITH {FACTS}, s AS (SELECT site, metric_code, avg(numeric_value) AS m,
+# a steep function of the values, which alone are spread too evenly for outliers
+@query("sigma_outliers", f"""WITH {FACTS.replace("facts AS", "facts0 AS", 1)},
+facts AS (SELECT * REPLACE (pow(numeric_value / 100, 8) AS numeric_value) FROM facts0), s AS (SELECT site, metric_code, avg(numeric_value) AS m,
   stddev_samp(numeric_value) AS sd FROM facts GROUP BY 1, 2)
 SELECT fact_id FROM facts JOIN s USING (site, metric_code) WHERE abs(numeric_value - m) > 3 * sd + 1e-9""")
 def sigma_outliers(spark, sf):
-    return an.sigma_outliers(ad.facts(spark, sf), ["site", "metric_code"]).select("fact_id")
+    steep = ad.facts(spark, sf).withColumn("numeric_value", F.pow(F.col("numeric_value") / 100, F.lit(8)))
+    return an.sigma_outliers(steep, ["site", "metric_code"]).select("fact_id")
 
 
 @query("ledger_page", f"""WITH {FACTS} SELECT fact_id, confidence_score, (SELECT count(*) FROM facts) AS total

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+          "embeddings", "pages", "benchmark", "labels", "conversations")
 GROUP = "NATION_0"
 INSTITUTE = "NATION_1"
 
@@ -19,13 +21,12 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Splits a table that sits in fewer pieces than there are cores.
+    """Balanced pieces of a table, whatever its files look like.
 
-    One big row group cannot be split by the scan and would leave heavy per-row work to one task. A
-    table with enough pieces, as on a cluster, is returned as it is.
+    One big row group cannot be split by the scan and would leave heavy per-row work to one task. Adaptive
+    execution sizes the pieces; columns and filters are pushed below the exchange.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    return df.hint("rebalance", *keys)
 
 
 def _fiscal_period(day: Column, line: Column) -> Column:
