@@ -65,9 +65,12 @@ YEAR_SHAPE = r"^\d{4}-\d{2}$"
 def _grams(text: Column) -> Column:
     """Pieces of up to three characters, the empty one included."""
     size = F.coalesce(F.length(text), F.lit(0))
-    each = [F.transform(F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i, n=n: i <= size - n + 1),
-                        lambda i, n=n: F.substr(text, i, F.lit(n))) for n in (1, 2, 3)]
-    return F.array_distinct(F.concat(F.array(F.lit("")), *each))
+
+    def of_length(n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: i <= size - n + 1)
+        return F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *map(of_length, (1, 2, 3))))
 
 
 def scopes_of_periods(periods: DataFrame, scopes: DataFrame, keys: list[str],
