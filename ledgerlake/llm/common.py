@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share; a local one only for a local master without a setting."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not set_dir and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors can reach")
     return (set_dir or "/tmp/checkpoints").rstrip("/")
 
 
@@ -144,5 +146,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def wrapped(docs: DataFrame, **own) -> DataFrame:
+    """The rows of a table as one column `row`, beside columns of our own: no name of the table can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in own.items()))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import ascii_lower, cut, table, union_all
+from ledgerlake.llm.common import ascii_lower, cut, table, union_all, wrapped
 
 BLOCK_BYTES = 4096
 
@@ -98,10 +98,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all columns."""
     sha = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
     stay = (exact_duplicates(docs).filter("kept")
-            .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
-    return (docs.withColumn("_sha2", sha)
-            .join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha2") == F.col("_sha")), "left_semi")
-            .dropDuplicates(["doc_id", "_sha2"]).drop("_sha2"))
+            .select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")))
+    return (wrapped(docs, id=F.col("doc_id"), sha=sha)
+            .join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("sha") == F.col("stay_sha")), "left_semi")
+            .dropDuplicates(["id", "sha"]).select("row.*"))
 
 
 SQL = """WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t

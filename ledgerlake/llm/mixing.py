@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import cut, table
+from ledgerlake.llm.common import cut, table, wrapped
 
 REPEATS, PARTS, PASSES, BUCKET_ROWS = 1.25, 16, 7, 2000
 
@@ -115,10 +115,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """The rows of `docs` as often as they are taken, with all columns."""
     copies = mix(docs, **kw).groupBy("doc_id", "row").agg(F.count(F.lit(1)).cast("int").alias("_n")) \
-        .select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_n")
-    one = docs.withColumn("_r", F.xxhash64("text")).dropDuplicates(["doc_id", "_r"])
-    return (one.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_r") == F.col("_row")))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns))
+        .select(F.col("doc_id").alias("taken_id"), F.col("row").alias("taken_text"), "_n")
+    one = wrapped(docs, id=F.col("doc_id"), text_hash=F.xxhash64("text")).dropDuplicates(["id", "text_hash"])
+    return (one.join(copies, F.col("id").eqNullSafe(F.col("taken_id")) & (F.col("text_hash") == F.col("taken_text")))
+            .select("row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy")).select("row.*"))
 
 
 def op6_source_mixing(spark, sf_dir):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import WordNames, connected_components, cut, grams, table, union_all
+from ledgerlake.llm.common import WordNames, connected_components, cut, grams, table, union_all, wrapped
 
 SHINGLE, PERCENT = 5, 80
 FRAGMENTS = 4
@@ -460,7 +460,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose id names their component: one document of each group stays."""
     stay = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(stay.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return wrapped(docs, id=F.col("doc_id")).join(stay, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")
 
 
 def op10_ngram_jaccard_join(spark, sf_dir):

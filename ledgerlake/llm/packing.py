@@ -23,7 +23,7 @@ from ledgerlake.llm import tokens as T
 from ledgerlake.llm.common import cut, table
 
 MAX_TOKENS, MAX_DOCS = 1024, 1024
-SPLIT = 64  # parts of a length in which ranks are counted
+PART_ROWS = 16_384  # pieces of a length that are ranked together
 
 
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, max_tokens: int, path: str, end_id: int = T.END_ID) -> DataFrame:
@@ -114,9 +114,12 @@ def best_fit(counts: dict[int, int], max_tokens: int, max_docs: int, max_cost: i
     return runs
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """Adds r, the rank (from 0) of a piece among those of its length."""
-    part = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SPLIT)))
+def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Adds r, the rank (from 0) of a piece among those of its length. counts: pieces of each length; a length
+    is ranked in as many parts as its number of pieces asks for."""
+    parts = pieces.sparkSession.createDataFrame([(n, -(-k // PART_ROWS)) for n, k in counts.items()], "length long, parts long")
+    part = (pieces.join(F.broadcast(parts), "length")  # at most max_tokens rows
+            .withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("parts"))).drop("parts"))
     counts = part.groupBy("length", "part").agg(F.count(F.lit(1)).alias("k"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
@@ -157,7 +160,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
             yield pa.RecordBatch.from_arrays([*cols, pa.array(seq), pa.array(off)],
                                              ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked(pieces).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked(pieces, counts).select("doc_id", "piece", "start", "length", "ids_crc32", "r").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op1_best_fit_packing(spark, sf_dir):

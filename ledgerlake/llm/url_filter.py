@@ -1,7 +1,7 @@
 """URL rules by hash-prefix look-up.
 
-Each distinct (host, path) is expanded into expressions: every host suffix at a label with every prefix
-of the path whose length some rule has. Expressions meet the rules in an equi-join on the first four
+Each distinct (host, path) is expanded into expressions: the host suffixes with as many labels as some rule
+with the prefixes of the path whose length some rule has. The work is linear in the length of a url. Expressions meet the rules in an equi-join on the first four
 bytes of their SHA-256, then the full digests are compared; of the rules that fit, the longest wins."""
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ def _digest(host, path):
     return F.unhex(F.sha2(F.concat(host, F.lit("\n"), path).cast("binary"), 256))
 
 
+def _labels(host):
+    return F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url",
                default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule, verdict: one row per input row. rules: verdict, host, path.
@@ -40,12 +44,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     host, path = url_parts(F.col("url"))
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select(
         "page_id", host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.", -1)
-    suffix = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    labels = [r[0] for r in rules.select(_labels(F.col("host")).alias("n")).distinct().collect()]  # at most those of the longest host
+    suffix = F.array_compact(F.array(*[F.when(_labels(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in sorted(labels)]))
     ends = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.char_length("path"))
     expr = (urls.filter("host <> ''").select("host", "path").distinct()
-            .select("host", "path", F.explode(F.array_distinct(suffix)).alias("h"), ends.alias("ends"))
+            .select("host", "path", F.explode(suffix.cast("array<string>")).alias("h"), ends.alias("ends"))
             .select("host", "path", "h", F.explode("ends").alias("n"))
             .select("host", "path", _digest(F.col("h"), F.expr("substring(path, 1, n)")).alias("digest"))
             .withColumn("prefix", F.substring("digest", 1, 4)))
