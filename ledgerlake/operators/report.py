@@ -8,44 +8,52 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators.analytics import metric_sum, ratio_pct, rounded, top
 from ledgerlake.operators.provenance import fact_location
-
-
-def gate(facts: DataFrame, open_conflicts: DataFrame, keys: list[str], only_verified: bool = True
-         ) -> DataFrame:
-    """Ten checks per scope. `open_conflicts`: one row with n_open. Five checks always pass; no
-    evidence blocks; conflicts, verification, coordinates and mixed data only warn."""
-    has_place = (F.col("cell_reference").isNotNull() | F.col("page_number").isNotNull()
-                 | F.col("row_number").isNotNull())
-    g = facts.groupBy(*keys).agg(
-        F.count("*").alias("evidence"), F.count_if(F.col("validation_status") == "VERIFIED")
-        .alias("verified"), F.count_if(has_place).alias("placed"),
-        F.count_if(F.col("is_demo")).alias("demo")).crossJoin(open_conflicts)  # one row
+from ledgerlake.operators.scope import unit_mismatch
+
+
+def gate(scopes: DataFrame, keys: list[str], facts: DataFrame, runs: DataFrame, figures: DataFrame, claims: DataFrame,
+         links: DataFrame, conflicts: DataFrame, metrics: DataFrame, figure: str = "production",
+         least_verified: int = 30, least_placed: int = 85, tolerance: float = 0.005) -> DataFrame:
+    """Checks of a report, for every row of `scopes` (distinct keys), whether it has evidence or not.
+
+    runs: keys, success, result of the calculation behind the figure. figures: keys and the figure. claims:
+    claim_id, keys; links: claim_id, fact_id. conflicts: keys, status. No evidence, and a figure that its
+    calculation does not give, block; everything else that fails is a warning."""
+    place = F.coalesce(F.col("cell_reference"), F.col("page_number").cast("string"), F.col("row_number").cast("string"))
+    seen = unit_mismatch(facts, metrics).groupBy(*keys).agg(
+        F.count("*").alias("evidence"), F.count_if(F.col("validation_status") == "VERIFIED").alias("verified"),
+        F.count(place).alias("placed"), F.count_if("is_demo").alias("demo"), F.count_if("unit_mismatch").alias("foreign_units"))
+    sourced = claims.join(links.select("claim_id").distinct().withColumn("has_link", F.lit(True)), "claim_id", "left")
+    bare = sourced.groupBy(*keys).agg(F.count_if(F.col("has_link").isNull()).alias("bare_claims"))
+    open_ = conflicts.groupBy(*keys).agg(F.count_if(F.col("status") == "OPEN").alias("n_open"))
+    run = runs.groupBy(*keys).agg(F.max("success").alias("run_ok"), F.max("result").alias("run_result"))
+    g = scopes.select(*keys)
+    for part in (seen, bare, open_, run, figures.select(*keys, F.col(figure).alias("figure"))):
+        g = g.join(part, keys, "left")
+    counts = ["evidence", "verified", "placed", "demo", "foreign_units", "bare_claims", "n_open"]
+    g = g.fillna(0, subset=counts)
     n = F.col("evidence")
-    few = (F.col("verified") * 100 < n * 30) & F.lit(only_verified)
+    off = F.abs(F.col("figure") - F.col("run_result"))
     checks = [
-        ("Evidence Availability", n == 0, "FAIL", "CRITICAL"),
-        ("Calculation Lineage", F.lit(False), "FAIL", "INFO"),
-        ("Numerical Claims Grounded", F.lit(False), "FAIL", "INFO"),
-        ("Narrative Grounding", F.lit(False), "FAIL", "INFO"),
-        ("Unresolved Contradictions", F.col("n_open") > 500, "FAIL", "HIGH"),
-        ("Human Verification Coverage", few, "FAIL", "MEDIUM"),
-        ("Traceable Coordinates", F.col("placed") * 100 < n * 85, "WARNING", "LOW"),
-        ("Data Scope Purity", (F.col("demo") > 0) & (F.col("demo") < n), "WARNING", "MEDIUM"),
-        ("No Invented Numbers", F.lit(False), "FAIL", "INFO"),
-        ("Nomenclature Alignment", F.lit(False), "FAIL", "INFO")]
-    arr = F.array(*[F.struct(F.lit(name).alias("name"),
-                             F.when(bad, how).otherwise("PASS").alias("status"),
-                             F.when(bad, sev).otherwise("INFO").alias("severity"))
-                    for name, bad, how, sev in checks])
-    out = g.withColumn("checks", arr)
-    return out.withColumn(
-        "status", F.when(n == 0, "BLOCKED").when(
-            F.exists("checks", lambda c: c["status"] != "PASS"), "READY_WITH_WARNINGS").otherwise("READY"))
+        ("open contradictions", F.col("n_open") == 0, "WARN"),
+        ("calculation on record", F.coalesce("run_ok", F.lit(False)), "WARN"),
+        ("figure as calculated", F.col("figure").isNull() | ~F.coalesce("run_ok", F.lit(False)) | (off <= tolerance), "BLOCK"),
+        ("statements with source", F.col("bare_claims") == 0, "WARN"),
+        ("units of the metric", F.col("foreign_units") == 0, "WARN"),
+        ("any evidence", n > 0, "BLOCK"),
+        ("reviewed evidence", F.col("verified") * 100 >= n * least_verified, "WARN"),
+        ("evidence with a place", F.col("placed") * 100 >= n * least_placed, "WARN"),
+        ("real or demo, not both", F.col("demo").isin(0) | (F.col("demo") == n), "WARN")]
+    rows = F.array(*[F.struct(F.lit(name).alias("name"), F.when(good, "PASS").otherwise(bad).alias("status"))
+                     for name, good, bad in checks])
+    out = g.withColumn("checks", rows)
+    has = lambda what: F.exists("checks", lambda c: c["status"] == what)
+    return out.withColumn("status", F.when(has("BLOCK"), "BLOCKED").when(has("WARN"), "READY_WITH_WARNINGS").otherwise("READY"))
 
 
 def gate_rows(gates: DataFrame, keys: list[str]) -> DataFrame:
     return gates.select(*keys, F.posexplode("checks").alias("p", "c")).select(
-        *keys, (F.col("p") + 1).alias("check_no"), "c.name", "c.status", "c.severity")
+        *keys, (F.col("p") + 1).alias("check_no"), "c.name", "c.status")
 
 
 def figures(facts: DataFrame, keys: list[str]) -> DataFrame:

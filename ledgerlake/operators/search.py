@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.operators.scope import all_of
@@ -58,16 +60,72 @@ def search_issues(issues: DataFrame, text: str | None = None, page: int = 1, siz
             .offset((page - 1) * size).limit(size))
 
 
-def list_documents(docs: DataFrame, name: str | None = None, status: str | None = None,
-                   organization: str | None = None) -> DataFrame:
-    conds = []
-    if name:
-        conds.append(F.col("file_name").ilike(f"%{name}%"))
-    if status:
-        conds.append(F.col("status") == status)
-    if organization:
-        conds.append(F.col("organization") == organization)
-    return docs.filter(all_of(conds))
+Order = list[tuple[str, bool]]  # column, descending
+SAMPLE, BUCKETS = 4096, 64
+
+
+def page_of(df: DataFrame, order: Order, page: int = 1, size: int = 50) -> DataFrame:
+    """Rows of one page, with `total`. `order` must tell rows apart. NULL comes first rising, last falling.
+
+    A sample gives bounds on the first column, one count per bucket tells where the page lies, and only the
+    buckets that it meets are sorted, however far behind it is."""
+    lead, falling = order[0]
+    total = df.count()
+    start, stop = (page - 1) * size, min(page * size, total)
+    keys = [F.col(c).desc() if d else F.col(c).asc() for c, d in order]
+    if start >= stop:
+        return df.limit(0).withColumn("total", F.lit(total))
+    drawn = df.select(lead).filter(F.col(lead).isNotNull()).sample(min(1.0, SAMPLE / total), seed=7).distinct().collect()
+    values = sorted(r[0] for r in drawn)  # about SAMPLE values
+    bounds = sorted({values[i * len(values) // BUCKETS] for i in range(1, BUCKETS)}) if values else []
+    above = [F.when(F.col(lead) >= F.lit(v), 1).otherwise(0) for v in bounds]
+    bucket = F.when(F.col(lead).isNull(), -1).otherwise(reduce(lambda x, y: x + y, above, F.lit(0)))
+    counts = {r["b"]: r["count"] for r in df.groupBy(bucket.alias("b")).count().collect()}
+    before, met, seen = 0, [], 0
+    for b in sorted(counts, reverse=falling):
+        if seen + counts[b] > start and seen < stop:
+            before = before if met else seen
+            met.append(b)
+        seen += counts[b]
+    return (df.filter(bucket.isin(*met)).orderBy(*keys).offset(start - before).limit(stop - start)
+            .withColumn("total", F.lit(total)))
+
+
+def listed(df: DataFrame, equal: dict, order: Order, page: int | None, size: int) -> DataFrame:
+    """Rows by equality filters (None: any; a list: one of them), all of them or one page."""
+    conds = [F.col(c).isin(*v) if isinstance(v, list) else F.col(c) == v for c, v in equal.items() if v is not None]
+    rows = df.filter(all_of(conds))
+    if page is not None:
+        return page_of(rows, order, page, size)
+    return rows.orderBy(*[F.col(c).desc() if d else F.col(c).asc() for c, d in order])
+
+
+def list_documents(docs: DataFrame, name: str | None = None, status: str | None = None, organization: str | None = None,
+                   category: str | list[str] | None = None, sort: Order | None = None, page: int | None = None, size: int = 50) -> DataFrame:
+    named = docs.filter(F.col("file_name").ilike(f"%{name}%")) if name else docs
+    return listed(named, {"status": status, "organization": organization, "category": category},
+                  sort or [("uploaded_on", True), ("doc_id", False)], page, size)
+
+
+def list_conflicts(conflicts: DataFrame, status: str | None = None, org: str | None = None, page: int | None = None, size: int = 50) -> DataFrame:
+    """Newest first."""
+    return listed(conflicts, {"status": status, "org": org}, [("created_at", True), ("conflict_id", False)], page, size)
+
+
+def list_audit(audit: DataFrame, action: str | None = None, entity_type: str | None = None, page: int | None = None, size: int = 50) -> DataFrame:
+    """Newest first."""
+    return listed(audit, {"action": action, "entity_type": entity_type}, [("ts", True), ("event_id", False)], page, size)
+
+
+def children(table: DataFrame, parent: str, order: list[str]) -> DataFrame:
+    """Rows with their position among the rows of their parent."""
+    return table.withColumn("position", F.row_number().over(Window.partitionBy(parent).orderBy(*order)))
+
+
+def lookup(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the given ids; the one column of `ids` names the key."""
+    key = ids.columns[0]
+    return table.join(ids.distinct(), key, "left_semi")
 
 
 def issue_worklist(issues: DataFrame, facts: DataFrame, documents: DataFrame) -> DataFrame:

@@ -352,8 +352,7 @@ def surrounding_rows(spark, sf):
 @query("children_in_order", """SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn)
   AS position FROM conversations""")
 def children_in_order(spark, sf):
-    from pyspark.sql import Window
+    from ledgerlake.operators import search
 
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return ad.read_table(spark, sf, "conversations").select(
-        "conv_id", "turn", "role", F.row_number().over(w).cast("bigint").alias("position"))
+    return search.children(ad.read_table(spark, sf, "conversations"), "conv_id", ["turn"]).select(
+        "conv_id", "turn", "role", F.col("position").cast("bigint").alias("position"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlake import dims
 from ledgerlake.functions import scoring, vocab
 from ledgerlake.operators import analytics as an
-from ledgerlake.operators import calc, claims, graph, lineage, protect, provenance, report, retrieve
+from ledgerlake.operators import calc, claims, graph, lineage, protect, provenance, report, retrieve, search
 from ledgerlake.operators import cells as ce
 from ledgerlake.operators import conflicts as cf
 from ledgerlake.operators import runs as seq
@@ -457,6 +457,32 @@ def where_used(spark, sf):
     return lineage.where_used(inputs, runs).select("fact_id", "run_id")
 
 
+RUN_DAYS = [f"{y}-{m:02d}-01" for y in (1995, 1996, 1997) for m in (1, 4, 7, 10)]
+
+
+def run_log(spark, sf):
+    """Twelve runs over the drilling facts known at their time, worked out at once."""
+    days = F.array(*[F.lit(d).cast("timestamp") for d in RUN_DAYS])
+    known = real(spark, sf).filter("metric_code = 'DRILLING'").withColumn(
+        "run_at", F.explode(F.filter(days, lambda d: d > F.col("created_at"))))
+    keys = ["metric_code", "run_at"]
+    runs = lineage.run_rows(calc.calculate(known, dims.metrics_frame(spark), "SUM", keys, group_codes=GROUPS), keys, "batch")
+    return runs, lineage.input_rows(protect.label_exclusions(known, scope_keys=keys, group_codes=GROUPS), keys)
+
+
+RUN_TIMES = values([(d,) for d in RUN_DAYS], "day")
+RUN_SOURCE = f"""(SELECT facts.*, day FROM facts JOIN {RUN_TIMES} d ON created_at < CAST(day AS TIMESTAMP)
+  WHERE NOT is_demo AND metric_code = 'DRILLING')"""
+
+
+@query("last_runs_of_facts", f"""WITH {FACTS}, {protection(RUN_SOURCE, "day")}
+SELECT fact_id, CAST(row_number() OVER (PARTITION BY fact_id ORDER BY day DESC) AS INTEGER) AS place, day FROM lab WHERE reason IS NULL
+QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY day DESC) <= 10""")
+def last_runs_of_facts(spark, sf):
+    runs, inputs = run_log(spark, sf)
+    return lineage.where_used(inputs, runs).select("fact_id", "place", F.date_format("run_at", "yyyy-MM-dd").alias("day"))
+
+
 CITED = """CASE WHEN CAST(document_id AS BIGINT) >= 100000 THEN 'report_' || (CAST(document_id AS BIGINT) - 100000) || '_rev.xlsx'
   ELSE 'report_' || document_id || '.xlsx' END"""
 
@@ -519,27 +545,50 @@ def related_facts(spark, sf):
 # --- reports ---
 
 
-@query("report_gate", f"""WITH {FACTS}, {CONFLICTS}, g AS (SELECT org, reporting_period, count(*) AS n,
-  count(*) FILTER (validation_status = 'VERIFIED') AS v, count(*) FILTER (cell_reference IS NOT NULL OR page_number IS NOT NULL
-    OR row_number IS NOT NULL) AS p, count(*) FILTER (is_demo) AS d, (SELECT count(*) FROM conflicts) AS c FROM facts GROUP BY 1, 2)
-SELECT org, reporting_period, n AS evidence, v AS verified, c AS n_open, CASE WHEN c > 500 OR v * 100 < n * 30 OR p * 100 < n * 85
-  OR (d > 0 AND d < n) THEN 'READY_WITH_WARNINGS' ELSE 'READY' END AS status FROM g""")
-def report_gate(spark, sf):
-    f = ad.facts(spark, sf)
-    n_open = cf.contradictions(f).agg(F.count_if(F.col("status") == "OPEN").alias("n_open"))
-    return report.gate(f, n_open, ["org", "reporting_period"]).select(
-        "org", "reporting_period", "evidence", "verified", "n_open", "status")
-
-
-@query("report_gate_checks", f"""WITH {FACTS}, g AS (SELECT org, count(*) AS n, count(*) FILTER (validation_status = 'VERIFIED') AS v,
-  count(*) FILTER (cell_reference IS NOT NULL OR page_number IS NOT NULL) AS p, count(*) FILTER (is_demo) AS d FROM facts GROUP BY 1)
-SELECT org, CAST(k AS BIGINT) AS check_no, CASE WHEN k = 6 AND v * 100 < n * 30 THEN 'FAIL' WHEN k = 7 AND p * 100 < n * 85 THEN 'WARNING'
-  WHEN k = 8 AND d > 0 AND d < n THEN 'WARNING' ELSE 'PASS' END AS status FROM g, range(1, 11) r(k)""")
-def report_gate_checks(spark, sf):
-    f = ad.facts(spark, sf)
-    none_open = f.agg(F.lit(0).alias("n_open"))
-    return report.gate_rows(report.gate(f, none_open, ["org"]), ["org"]).select(
-        "org", F.col("check_no").cast("bigint").alias("check_no"), "status")
+PROD = "(SELECT * FROM facts WHERE NOT is_demo AND metric_code = 'COAL_PRODUCTION')"
+
+
+def gates(spark, sf):
+    """Organisations, and region names, which have no evidence as organisations."""
+    f, keys, m = ad.facts(spark, sf), ["org"], dims.metrics_frame(spark)
+    names = [ad.read_table(spark, sf, "nation").select(F.col("n_name").alias("org")),
+             ad.read_table(spark, sf, "region").select(F.col("r_name").alias("org"))]
+    prod = f.filter("NOT is_demo AND metric_code = 'COAL_PRODUCTION'")
+    runs = calc.calculate(prod, m, "SUM", ["metric_code", *keys], group_codes=GROUPS)
+    figs = report.figures(f, keys)
+    # every third organisation reports the calculated figure, the others the raw one
+    raw = (F.substring("org", -1, 1).cast("int") % 3 > 0)
+    figs = figs.join(runs.select("org", "result"), "org", "left").withColumn(
+        "production", F.when(raw, F.col("production")).otherwise(F.round("result", 2))).drop("result")
+    c = report.report_claims(figs, "org")
+    links = report.claim_links(c, f, "org")
+    return report.gate(names[0].unionByName(names[1]), keys, f, runs, figs, c, links, cf.contradictions(f), m)
+
+
+GATES = f"""{{FIGS}}, {sum_result(PROD, "org", "org")},
+fig AS (SELECT f.* REPLACE (CASE WHEN TRY_CAST(right(org, 1) AS INTEGER) % 3 > 0 THEN production ELSE round(result, 2) END AS production),
+  result, success FROM figs2 f LEFT JOIN calc USING (org)),
+allowed AS {values([(m, u) for m, s in dims.METRIC_SEMANTICS.items() for u in s[1]], "m, u")},
+g AS (SELECT org, count(*) AS n, count(*) FILTER (validation_status = 'VERIFIED') AS v,
+  count(*) FILTER (cell_reference IS NOT NULL OR page_number IS NOT NULL OR row_number IS NOT NULL) AS p, count(*) FILTER (is_demo) AS d,
+  count(*) FILTER (unit IS NOT NULL AND metric_code IN (SELECT m FROM allowed) AND NOT EXISTS (SELECT 1 FROM allowed
+    WHERE m = metric_code AND u = unit)) AS x FROM facts GROUP BY 1),
+o AS (SELECT org, count(*) AS c FROM conflicts GROUP BY 1),
+s AS (SELECT n_name AS org FROM nation UNION ALL SELECT r_name FROM region),
+has AS (SELECT DISTINCT org, unnest(CASE metric_code WHEN 'COAL_PRODUCTION' THEN ['PRODUCTION', 'ACHIEVEMENT']
+  WHEN 'PRODUCTION_TARGET' THEN ['ACHIEVEMENT'] WHEN 'COAL_OFFTAKE' THEN ['OFFTAKE'] END) AS kind FROM facts),
+said AS (SELECT org, unnest([CASE WHEN production IS NOT NULL THEN 'PRODUCTION' END, CASE WHEN achievement_pct IS NOT NULL THEN 'ACHIEVEMENT' END,
+  CASE WHEN offtake IS NOT NULL THEN 'OFFTAKE' END]) AS kind FROM fig),
+bare AS (SELECT org, count(*) AS b FROM said ANTI JOIN has USING (org, kind) WHERE kind IS NOT NULL GROUP BY 1),
+k AS (SELECT s.org, coalesce(n, 0) AS n, coalesce(v, 0) AS verified, [
+  CASE WHEN coalesce(c, 0) = 0 THEN 'PASS' ELSE 'WARN' END, CASE WHEN coalesce(success, FALSE) THEN 'PASS' ELSE 'WARN' END,
+  CASE WHEN production IS NULL OR NOT coalesce(success, FALSE) OR abs(production - result) <= 0.005 THEN 'PASS' ELSE 'BLOCK' END,
+  CASE WHEN coalesce(b, 0) = 0 THEN 'PASS' ELSE 'WARN' END, CASE WHEN coalesce(x, 0) = 0 THEN 'PASS' ELSE 'WARN' END,
+  CASE WHEN coalesce(n, 0) > 0 THEN 'PASS' ELSE 'BLOCK' END,
+  CASE WHEN coalesce(v, 0) * 100 >= coalesce(n, 0) * 30 THEN 'PASS' ELSE 'WARN' END,
+  CASE WHEN coalesce(p, 0) * 100 >= coalesce(n, 0) * 85 THEN 'PASS' ELSE 'WARN' END,
+  CASE WHEN coalesce(d, 0) IN (0, coalesce(n, 0)) THEN 'PASS' ELSE 'WARN' END] AS checks, coalesce(c, 0) AS n_open
+  FROM s LEFT JOIN g USING (org) LEFT JOIN o USING (org) LEFT JOIN fig USING (org) LEFT JOIN bare USING (org))"""
 
 
 OB, DR = (f"sum(CAST(numeric_value AS DECIMAL(20,6))) FILTER (metric_code = '{c}')"
@@ -552,6 +601,21 @@ def figures(spark, sf):
     return report.figures(ad.facts(spark, sf), ["org"])
 
 
+GATES = f"WITH {FACTS}, {CONFLICTS}, {GATES.replace('{FIGS}', FIGURES)}"
+
+
+@query("report_gate", f"""{GATES} SELECT org, n AS evidence, verified, n_open, CASE WHEN list_contains(checks, 'BLOCK') THEN 'BLOCKED'
+  WHEN list_contains(checks, 'WARN') THEN 'READY_WITH_WARNINGS' ELSE 'READY' END AS status FROM k""")
+def report_gate(spark, sf):
+    return gates(spark, sf).select("org", "evidence", "verified", "n_open", "status")
+
+
+@query("report_gate_checks", f"""{GATES} SELECT org, i AS check_no, checks[i] AS status FROM k, range(1, 10) r(i)""")
+def report_gate_checks(spark, sf):
+    return report.gate_rows(gates(spark, sf), ["org"]).select(
+        "org", F.col("check_no").cast("bigint").alias("check_no"), "status")
+
+
 @query("report_figures", f"WITH {FACTS}, {FIGURES} SELECT * FROM figs2")
 def report_figures(spark, sf):
     return figures(spark, sf)
@@ -620,8 +684,6 @@ t AS (SELECT count(*) FILTER (validation_status = 'VERIFIED') AS verified_count,
   ('NEEDS_REVIEW', 'REVIEW_REQUIRED')) AS review_count FROM facts)
 SELECT fact_id, verified_count, review_count, (SELECT count(*) FROM m) AS total FROM m, t ORDER BY created_at DESC, fact_id LIMIT 50""")
 def search_ledger(spark, sf):
-    from ledgerlake.operators import search
-
     return search.search_ledger(ad.facts(spark, sf), text="prod", status="VERIFIED",
                                 min_confidence=0.8).select(
         "fact_id", "verified_count", "review_count", "total")
@@ -633,8 +695,6 @@ SEVERITY = "CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM
 @query("search_issues", f"""WITH {FACTS}, {ISSUES}, {ISSUE_STATE} SELECT issue_id, severity FROM state
 WHERE issue_status = 'OPEN' AND org = 'NATION_3' ORDER BY {SEVERITY} DESC, created_at DESC, issue_id LIMIT 50""")
 def search_issues(spark, sf):
-    from ledgerlake.operators import search
-
     return search.search_issues(issue_state(spark, sf), issue_status="OPEN", org="NATION_3").select(
         "issue_id", "severity")
 
@@ -642,30 +702,45 @@ def search_issues(spark, sf):
 @query("list_conflicts", f"""WITH {FACTS}, {CONFLICTS} SELECT conflict_id, status FROM conflicts WHERE status = 'OPEN'
 ORDER BY created_at DESC, conflict_id""")
 def list_conflicts(spark, sf):
-    c = cf.contradictions(ad.facts(spark, sf)).filter("status = 'OPEN'")
-    return c.orderBy(F.col("created_at").desc(), "conflict_id").select("conflict_id", "status")
+    return search.list_conflicts(cf.contradictions(ad.facts(spark, sf)), status="OPEN").select("conflict_id", "status")
+
+
+@query("conflicts_page", f"""WITH {FACTS}, {CONFLICTS} SELECT conflict_id, count(*) OVER () AS total FROM conflicts WHERE org = 'NATION_3'
+ORDER BY created_at DESC, conflict_id LIMIT 25 OFFSET 50""")
+def conflicts_page(spark, sf):
+    return search.list_conflicts(cf.contradictions(ad.facts(spark, sf)), org="NATION_3", page=3, size=25).select("conflict_id", "total")
 
 
 @query("list_documents", """SELECT doc_id FROM documents WHERE source ILIKE '%src1%' AND CAST(doc_id % 7 AS INTEGER) IN (0, 1, 2)
 AND doc_id % 9 <> 0 AND lang = 'en'""")
 def list_documents(spark, sf):
-    from ledgerlake.operators import search
-
     return search.list_documents(ad.documents(spark, sf), name="src1", status="READY",
                                  organization="Org en").select("doc_id")
 
 
+@query("documents_page", """SELECT doc_id, count(*) OVER () AS total FROM documents WHERE CAST(doc_id % 6 AS INTEGER) IN (0, 2)
+ORDER BY CAST(doc_id % 540 AS INTEGER) DESC, doc_id LIMIT 20 OFFSET 100""")
+def documents_page(spark, sf):
+    docs = ad.documents(spark, sf).withColumn("category", F.element_at(F.split("file_name", "_"), 1))
+    return search.list_documents(docs, category=["prod", "dispatch"], sort=[("uploaded_on", True), ("doc_id", False)],
+                                 page=6, size=20).select("doc_id", "total")
+
+
 @query("list_audit", """SELECT event_id FROM events WHERE event_type = 'click' AND event_id % 3 = 0""")
 def list_audit(spark, sf):
-    return ad.audit(spark, sf).filter((F.col("action") == "click") & (F.col("entity_type") == "fact")).select(
-        "event_id")
+    return search.list_audit(ad.audit(spark, sf), action="click", entity_type="fact").select("event_id")
+
+
+@query("audit_page", """SELECT event_id, count(*) OVER () AS total FROM events WHERE event_id % 3 = 1
+ORDER BY ts DESC, event_id LIMIT 30 OFFSET 90""")
+def audit_page(spark, sf):
+    return search.list_audit(ad.audit(spark, sf), entity_type="document", page=4, size=30).select("event_id", "total")
 
 
 @query("point_lookup", f"""WITH {FACTS} SELECT fact_id, document_id, numeric_value FROM facts WHERE fact_id = (SELECT min(fact_id) FROM facts)""")
 def point_lookup(spark, sf):
     f = ad.facts(spark, sf)
-    wanted = f.agg(F.min("fact_id").alias("fact_id"))
-    return f.join(wanted, "fact_id", "left_semi").select("fact_id", "document_id", "numeric_value")
+    return search.lookup(f, f.agg(F.min("fact_id").alias("fact_id"))).select("fact_id", "document_id", "numeric_value")
 
 
 @query("chunk_documents_join", f"""WITH {CHUNKS} SELECT chunk_id, document_id, file_name FROM chunks""")
@@ -677,8 +752,6 @@ def chunk_documents_join(spark, sf):
 @query("issue_worklist", f"""WITH {FACTS}, {ISSUES} SELECT i.issue_id, f.metric_code, f.numeric_value, {CITED.replace("document_id", "i.document_id")} AS document_name
 FROM issues i LEFT JOIN facts f USING (fact_id)""")
 def issue_worklist(spark, sf):
-    from ledgerlake.operators import search
-
     f = ad.facts(spark, sf)
     return search.issue_worklist(cf.check_rules(f), f, ad.report_documents(spark, sf)).select(
         "issue_id", "metric_code", "numeric_value", "document_name")
@@ -687,8 +760,6 @@ def issue_worklist(spark, sf):
 @query("conflict_sides", f"""WITH {FACTS}, {CONFLICTS} SELECT conflict_id, a.numeric_value AS primary_value, b.numeric_value AS other_value
 FROM conflicts LEFT JOIN facts a ON a.fact_id = primary_fact_id LEFT JOIN facts b ON b.fact_id = conflicting_fact_id""")
 def conflict_sides(spark, sf):
-    from ledgerlake.operators import search
-
     f = ad.facts(spark, sf)
     return search.conflict_sides(cf.contradictions(f), f).select(
         "conflict_id", "primary_value", "other_value")
