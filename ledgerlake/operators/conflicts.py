@@ -41,6 +41,49 @@ def check_rules(facts: DataFrame, rules: list[Rule] | None = None, more: list[st
                     "document_id", "org", "created_at", "i.issue_type", "i.severity", *more))
 
 
+ISSUE = ["issue_id", "fact_id", "document_id", "org", "created_at", "issue_type", "severity"]
+
+
+def _issues(rows: DataFrame, kind: str, severity: str) -> DataFrame:
+    return rows.select(F.concat_ws(":", "fact_id", F.lit(kind)).alias("issue_id"), "fact_id", "document_id", "org", "created_at",
+                       F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"))
+
+
+def dependency_issues(facts: DataFrame, given: str, expected: str, kind: str, severity: str = "MEDIUM",
+                      least_share_pct: int = 80, weight: Column | None = None) -> DataFrame:
+    """Facts that deviate from what nearly all others of the same `given` say in `expected` (a site belongs to one
+    organisation, a document to one period). The majority must hold least_share_pct of the weight (1 a fact);
+    of equals the smaller value leads. Values are counted once; no fact meets another."""
+    w = F.lit(1) if weight is None else weight
+    counts = (facts.filter(F.col(given).isNotNull() & F.col(expected).isNotNull())
+              .groupBy(given, expected).agg(F.sum(w).alias("w")))
+    lead = counts.groupBy(given).agg(F.min(F.struct((-F.col("w")).alias("w"), F.col(expected).alias("v"))).alias("m"), F.sum("w").alias("all"))
+    lead = lead.filter(-F.col("m.w") * 100 >= F.col("all") * least_share_pct).select(given, F.col("m.v").alias("usual"))
+    return _issues(facts.join(lead, given).filter(F.col(expected) != F.col("usual")), kind, severity)
+
+
+def duplicate_facts(facts: DataFrame, keys: list[str], severity: str = "LOW") -> DataFrame:
+    """Facts that repeat the keys (NULL equals NULL) of one that arrived before."""
+    known = facts.groupBy(*keys).agg(F.min(F.struct("created_at", "fact_id")).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    k = known.select(*[F.col(c).alias(f"k_{c}") for c in keys], "first")
+    same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in keys]
+    return _issues(facts.join(k, same).filter(F.col("fact_id") != F.col("first.fact_id")), "DUPLICATE_FACT", severity)
+
+
+def duplicate_document_issues(flagged: DataFrame, severity: str = "LOW") -> DataFrame:
+    """`flagged`: doc_id, original_id, is_duplicate."""
+    return flagged.filter("is_duplicate").select(
+        F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("DUPLICATE_DOCUMENT")).alias("issue_id"), "doc_id", "original_id",
+        F.lit("DUPLICATE_DOCUMENT").alias("issue_type"), F.lit(severity).alias("severity"))
+
+
+def aggregation_issues(parts: DataFrame, tolerance_pct: float = 5.0, severity: str = "HIGH") -> DataFrame:
+    """`parts`: org, metric_code, fiscal_year, monthly_total, annual_total, discrepancy_pct."""
+    return parts.filter((F.col("discrepancy_pct") > tolerance_pct) & F.col("monthly_total").isNotNull()).select(
+        F.concat_ws(":", "org", "metric_code", "fiscal_year", F.lit("AGGREGATION_INCONSISTENCY")).alias("issue_id"), "org", "metric_code",
+        "fiscal_year", "discrepancy_pct", F.lit("AGGREGATION_INCONSISTENCY").alias("issue_type"), F.lit(severity).alias("severity"))
+
+
 def contradictions(facts: DataFrame, keys: list[str] = CONFLICT_KEYS,
                    min_gap_pct: float = 5.0) -> DataFrame:
     """Facts whose earliest differing fact from another document is off by min_gap_pct or more.

@@ -10,11 +10,13 @@ from ledgerlake.operators import analytics as an
 from ledgerlake.operators import calc, claims, graph, lineage, protect, provenance, report, retrieve, search
 from ledgerlake.operators import cells as ce
 from ledgerlake.operators import conflicts as cf
+from ledgerlake.operators import history
 from ledgerlake.operators import runs as seq
 from ledgerlake.plans.calculation import GROUPS, ORG_YEAR, ORG_YEAR_COLS, REAL, YEARLY, real, yearly
 from ledgerlake.plans.dashboards import D, P, T, pct, r
 from ledgerlake.plans.extraction import PAGES
-from ledgerlake.plans.ledger_writes import CONFLICTS, ISSUE_STATE, ISSUES, issue_state
+from ledgerlake.plans.ledger_writes import (CONFLICTS, DECISIONS, ISSUE_STATE, ISSUES, decisions, issue_state,
+                                            review_ledger)
 from ledgerlake.plans.normalise import LOCATION, QUESTIONS, TERMS, intent_sql
 from ledgerlake.plans.registry import query
 from ledgerlake.plans.sqlparts import FACTS, protection, sum_result, values
@@ -665,6 +667,24 @@ def fact_usage(spark, sf):
     return lineage.claim_usage(links, claims_of, reports).select("fact_id", "claim_id", "report_id")
 
 
+@query("full_dossiers", f"""WITH {FACTS}, {DECISIONS}, r AS (SELECT fact_id, count(*) AS actions FROM exp GROUP BY 1),
+{FIGURES}, {REPORT_CLAIMS}, {LINKS}, c AS (SELECT fact_id, count(DISTINCT claim_id) AS claims FROM links GROUP BY 1),
+{protection(RUN_SOURCE, "day")}, u AS (SELECT fact_id, count(*) AS runs, max(day) AS last_run FROM lab WHERE reason IS NULL GROUP BY 1)
+SELECT fact_id, numeric_value AS raw_value, coalesce(actions, 0) AS actions, coalesce(runs, 0) AS runs, coalesce(claims, 0) AS claims, last_run
+FROM facts LEFT JOIN r USING (fact_id) LEFT JOIN u USING (fact_id) LEFT JOIN c USING (fact_id)""")
+def full_dossiers(spark, sf):
+    f = ad.facts(spark, sf)
+    base = provenance.dossiers(f, ad.report_documents(spark, sf), cf.conflict_status(f, cf.contradictions(f)))
+    runs, inputs = run_log(spark, sf)
+    used = inputs.filter("role = 'INCLUDED'").join(runs.select("run_id", "run_at"), "run_id")
+    c, links = claim_links(spark, sf)
+    claimed = links.join(c.select("claim_id", F.col("org").alias("report_id")), "claim_id")
+    full = history.full_dossiers(base, f, history.fact_history(review_ledger(spark, sf), decisions(spark, sf)), used, claimed)
+    n = {x: F.coalesce(x, F.lit(0)) for x in ("review.actions", "usage.runs", "usage.claims")}
+    return full.select("fact_id", F.col("raw.value").alias("raw_value"), *[e.alias(x.split(".")[1]) for x, e in n.items()],
+                       F.date_format("usage.last_run_at", "yyyy-MM-dd").alias("last_run"))
+
+
 @query("brief_sections", f"""WITH {FACTS}, {FIGURES} SELECT org, place, CASE place WHEN 1 THEN org || ' produced ' || coalesce(
   CAST(CAST(production AS DECIMAL(20,2)) AS VARCHAR) || ' MT', 'not recorded') || '.' WHEN 2 THEN 'Target ' || coalesce(CAST(CAST(target AS DECIMAL(20,2)) AS VARCHAR)
   || ' MT', 'not recorded') || '; achievement ' || coalesce(CAST(CAST(achievement_pct AS DECIMAL(20,2)) AS VARCHAR) || '%', 'not recorded') || '; dispatch ' ||

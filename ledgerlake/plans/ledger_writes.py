@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlake import dims
-from ledgerlake.operators import conflicts, merge, review, scope
+from ledgerlake.operators import conflicts, history, merge, review, scope
 from ledgerlake.plans.registry import query
 from ledgerlake.plans.sqlparts import FACTS, FY_KEY, GRAIN
 from ledgerlake.sources import adapters as ad
@@ -374,3 +374,115 @@ SELECT decision_id, issue_id, 'ALREADY_RESOLVED' AS reason FROM idec WHERE actio
   issue_status = 'RESOLVED')""")
 def refused_issue_decisions(spark, sf):
     return review.refused_issue_decisions(issue_state(spark, sf), issue_decisions(spark, sf))
+
+
+# --- history of facts ---
+
+AT = "1997-01-01"
+
+
+def history_of(spark, sf):
+    return history.fact_history(review_ledger(spark, sf), decisions(spark, sf))
+
+
+STATE_SQL = """CASE WHEN action IN ('APPROVE_ISSUE', 'APPROVE', 'EDIT') OR role = 'WINNER' THEN 'VERIFIED'
+  WHEN action = 'REJECT' THEN 'REJECTED' WHEN role = 'LOSER' THEN coalesce(loser_status, 'SUPERSEDED') END"""
+
+
+@query("fact_states_as_of", f"""WITH {FACTS}, {DECISIONS},
+h AS (SELECT fact_id, arg_max({STATE_SQL}, (decided_at, decision_id, action)) AS status,
+  arg_max(new_value, (decided_at, decision_id, action)) FILTER (new_value IS NOT NULL AND (action = 'EDIT'
+    OR (action = 'RESOLVE_CONFLICT' AND role = 'WINNER'))) AS v,
+  arg_max(new_unit, (decided_at, decision_id, action)) FILTER (action = 'EDIT' AND new_unit IS NOT NULL) AS u,
+  bool_or(action IN ('APPROVE_ISSUE', 'EDIT')) AS sure FROM exp WHERE decided_at <= TIMESTAMP '{AT}' GROUP BY 1)
+SELECT fact_id, coalesce(v, numeric_value) AS numeric_value, coalesce(u, unit) AS unit, coalesce(status, validation_status) AS validation_status,
+  CASE WHEN sure THEN 1.0 ELSE confidence_score END AS confidence_score FROM facts LEFT JOIN h USING (fact_id)""")
+def fact_states_as_of(spark, sf):
+    return history.as_of(history_of(spark, sf), F.lit(AT).cast("timestamp")).select(
+        "fact_id", "numeric_value", "unit", "validation_status", "confidence_score")
+
+
+@query("fact_review_history", f"""WITH {FACTS}, {DECISIONS} SELECT e.fact_id, e.decision_id, row_number() OVER (PARTITION BY e.fact_id
+  ORDER BY decided_at DESC, decision_id DESC, action DESC) AS place, action, {STATE_SQL} AS new_validation_status
+FROM exp e SEMI JOIN facts USING (fact_id)""")
+def fact_review_history(spark, sf):
+    return history.actions_of_facts(history_of(spark, sf)).select(
+        "fact_id", "decision_id", F.col("place").cast("bigint").alias("place"), "action", "new_validation_status")
+
+
+def conflict_decisions(found):
+    """Resolves conflicts whose id has a length divisible by 3, naming the newer fact first."""
+    return found.filter(F.length("conflict_id") % 3 == 0).select(
+        F.concat(F.lit("C:"), "conflict_id").alias("decision_id"), F.col("conflicting_fact_id").alias("fact_id"),
+        F.col("primary_fact_id").alias("other_fact_id"), F.lit("RESOLVE_CONFLICT").alias("action"),
+        F.lit("r7").alias("reviewer"), F.col("created_at").alias("decided_at"))
+
+
+@query("closed_conflicts", f"""WITH {FACTS}, {CONFLICTS} SELECT conflict_id,
+  CASE WHEN length(conflict_id) % 3 = 0 THEN 'RESOLVED' ELSE 'OPEN' END AS status,
+  CASE WHEN length(conflict_id) % 3 = 0 THEN 'r7' END AS closed_by FROM conflicts""")
+def closed_conflicts(spark, sf):
+    found = conflicts.contradictions(ad.facts(spark, sf))
+    return history.close_conflicts(found, conflict_decisions(found)).select("conflict_id", "status", "closed_by")
+
+
+@query("conflict_status_after_review", f"""WITH {FACTS}, {CONFLICTS}, ends AS (
+  SELECT unnest([primary_fact_id, conflicting_fact_id]) AS fact_id, length(conflict_id) % 3 > 0 AS open FROM conflicts),
+s AS (SELECT fact_id, bool_or(open) AS open FROM ends GROUP BY 1)
+SELECT fact_id, CASE WHEN open IS NULL THEN 'NONE' WHEN open THEN 'OPEN' ELSE 'RESOLVED' END AS conflict_status
+FROM facts LEFT JOIN s USING (fact_id)""")
+def conflict_status_after_review(spark, sf):
+    f = ad.facts(spark, sf)
+    found = conflicts.contradictions(f)
+    return conflicts.conflict_status(f, history.close_conflicts(found, conflict_decisions(found))).select("fact_id", "conflict_status")
+
+
+# --- further issue types ---
+
+
+def _ids(df):
+    return df.select("issue_id", "severity")
+
+
+@query("period_mismatch_issues", f"""WITH {FACTS}, e AS (SELECT *, CASE WHEN hash_no = 7 THEN 'FY 1900-01' ELSE 'FY ' || document_id END AS said
+  FROM (SELECT *, CAST(epoch(created_at) AS BIGINT) % 13 AS hash_no FROM facts)),
+c AS (SELECT document_id, said, sum(confidence_score) AS w FROM e GROUP BY 1, 2),
+l AS (SELECT document_id, arg_min(said, (-w, said)) AS usual FROM c GROUP BY 1 HAVING max(w) * 100 >= sum(w) * 80)
+SELECT fact_id || ':PERIOD_MISMATCH' AS issue_id, 'MEDIUM' AS severity FROM e JOIN l USING (document_id) WHERE said <> usual""")
+def period_mismatch_issues(spark, sf):
+    # the periods of the test ledger have no majority in a document: every document says its own here, one fact in 13 another
+    f = ad.facts(spark, sf).withColumn("reporting_period", F.when(F.unix_seconds("created_at") % 13 == 7, "FY 1900-01").otherwise(
+        F.concat(F.lit("FY "), "document_id")))
+    return _ids(conflicts.dependency_issues(f, "document_id", "reporting_period", "PERIOD_MISMATCH", weight=F.col("confidence_score")))
+
+
+@query("site_organisation_issues", f"""WITH {FACTS}, e AS (SELECT *, CASE WHEN CAST(epoch(created_at) AS BIGINT) % 17 = 3 THEN 'NATION_0' ELSE org END AS said FROM facts),
+c AS (SELECT site, said, count(*) AS w FROM e WHERE site IS NOT NULL AND said IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT site, arg_min(said, (-w, said)) AS usual FROM c GROUP BY 1 HAVING max(w) * 100 >= sum(w) * 80)
+SELECT fact_id || ':SITE_ORGANISATION_MISMATCH' AS issue_id, 'HIGH' AS severity FROM e JOIN l USING (site) WHERE said <> usual""")
+def site_organisation_issues(spark, sf):
+    f = ad.facts(spark, sf).withColumn("org", F.when(F.unix_seconds("created_at") % 17 == 3, ad.GROUP).otherwise(F.col("org")))
+    return _ids(conflicts.dependency_issues(f, "site", "org", "SITE_ORGANISATION_MISMATCH", "HIGH"))
+
+
+@query("duplicate_fact_issues", f"""WITH {FACTS} SELECT fact_id || ':DUPLICATE_FACT' AS issue_id, 'LOW' AS severity FROM facts
+QUALIFY row_number() OVER (PARTITION BY org, site, metric_code, reporting_period, numeric_value, unit ORDER BY created_at, fact_id) > 1""")
+def duplicate_fact_issues(spark, sf):
+    return _ids(conflicts.duplicate_facts(ad.facts(spark, sf), ["org", "site", "metric_code", "reporting_period", "numeric_value", "unit"]))
+
+
+@query("duplicate_document_issues", """SELECT doc_id || ':DUPLICATE_DOCUMENT' AS issue_id, original_id FROM (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS original_id FROM documents) WHERE doc_id <> original_id""")
+def duplicate_document_issues(spark, sf):
+    return conflicts.duplicate_document_issues(merge.flag_duplicate_documents(ad.documents(spark, sf))).select("issue_id", "original_id")
+
+
+@query("aggregation_issues", f"""WITH {FACTS}, k AS (SELECT *, {GRAIN} AS grain, {FY_KEY} AS fk FROM facts),
+g AS (SELECT org, metric_code, fk, sum(CAST(numeric_value AS DECIMAL(20,6))) FILTER (grain = 'MONTHLY') AS m,
+  sum(CAST(numeric_value AS DECIMAL(20,6))) FILTER (grain = 'ANNUAL') AS a FROM k WHERE numeric_value IS NOT NULL GROUP BY 1, 2, 3)
+SELECT concat_ws(':', org, metric_code, fk, 'AGGREGATION_INCONSISTENCY') AS issue_id, 'HIGH' AS severity FROM g
+WHERE round(abs(m - a) * 100 / greatest(a, 0.001), 2) > 5""")
+def aggregation_issues(spark, sf):
+    from ledgerlake.operators import calc
+
+    return _ids(conflicts.aggregation_issues(calc.parts_versus_year(ad.facts(spark, sf))))
