@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import cut, received, sent, table
+from ledgerlake.llm.vectors import best_pairs
 
 K, SAMPLE, MOST_LISTS, TARGET = 5, 32_768, 1024, 0.97
 LEVEL, BLOCK = 2.1, 16  # level of the tests; dimensions a column block
@@ -151,14 +152,6 @@ def scanned(rows, queries, t: np.ndarray, d: int, level: float) -> tuple[np.ndar
     return at
 
 
-def best_pairs(q, score, ids, k: int):
-    """The k best rows of each query; ties to the smaller id."""
-    order = np.lexsort((ids, -score, q))
-    q, score, ids = q[order], score[order], ids[order]
-    stays = np.arange(len(q)) - np.searchsorted(q, q) < k
-    return q[stays], score[stays], ids[stays]
-
-
 def scan(index: DataFrame, probes: DataFrame, shards: DataFrame, models, k: int, level: float) -> DataFrame:
     """(row, query_id, vec_id, score): the k best of every shard for every query sent to it. A partition is
     read once, shard after shard: its rows first, then its queries as they come."""

@@ -25,11 +25,12 @@ class Rows:
 
 
 def rows_by_length(t: pa.Table | pa.RecordBatch) -> dict[int, Rows]:
-    """Columns row, vec_id, label, q -> Rows by number of components, in id order."""
+    """Columns row, vec_id, q and perhaps label -> Rows by number of components, in id order."""
     if not t.num_rows:
         return {}
     t = pa.table(t.to_pydict(), schema=t.schema) if isinstance(t, pa.RecordBatch) else t.combine_chunks()
-    row, ids, label = (t.column(c).to_numpy() for c in ("row", "vec_id", "label"))
+    row, ids = (t.column(c).to_numpy() for c in ("row", "vec_id"))
+    label = t.column("label").to_numpy() if "label" in t.column_names else row
     q = t.column("q").combine_chunks() if t.column("q").num_chunks != 1 else t.column("q").chunk(0)
     size = np.diff(q.offsets.to_numpy())
     out = {}
@@ -50,14 +51,27 @@ def query_rounds(queries: DataFrame, most: int):
         yield queries.filter(F.pmod(F.xxhash64("row"), F.lit(rounds)) == i).toArrow()
 
 
+def exact_in_doubles(a: np.ndarray, b: np.ndarray) -> bool:
+    """No sum of products of the rows of two integer matrices leaves the exact range of doubles."""
+    bound = [np.sqrt(np.square(x.astype(np.float64)).sum(1)).max() for x in (a, b)]
+    return bound[0] * bound[1] < 2.0 ** 52
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of integer rows: in doubles where no sum can leave their exact range."""
-    bound = [np.sqrt(np.square(x.astype(np.float64)).sum(1)).max() for x in (a, b)]
-    if bound[0] * bound[1] < 2.0 ** 52:
+    if exact_in_doubles(a, b):
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
     return a @ b.T
 
 
+def best_pairs(q, score, ids, k: int):
+    """The k best rows of each query; ties to the smaller id."""
+    order = np.lexsort((ids, -score, q))
+    q, score, ids = q[order], score[order], ids[order]
+    stays = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[stays], score[stays], ids[stays]
+
+
 def score_blocks(batches, queries: dict[int, Rows]):
     """(scores, queries, slice of them, rows of the batch) for every batch, length and chunk of queries."""
     for batch in batches:
