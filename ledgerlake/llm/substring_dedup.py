@@ -1,15 +1,15 @@
-"""Repeated passages by prefix-partitioned suffix trees.
+"""Repeated passages by groups of suffixes that fit in memory, ranked at the depth of a window.
 
-The suffixes of a text start at its words; the tree is cut at a depth of `window` words, so a node at
-that depth with two leaves is a repeat. Suffixes are split by prefix into groups that fit in memory:
+This is not the dealt method of prefix-partitioned suffix trees: groups go by the least gram anywhere inside a
+window, which is no prefix of it, and suffixes are ranked at one depth, without inner nodes (see the README).
 
-1. Short prefixes. A run of window starts that share their least k-word gram goes by the name of that
+1. Short names. A run of window starts that share their least k-word gram goes by the name of that
    gram; equal windows have equal names. A name that occurs in one document only holds no repeat across
    documents, and its suffixes are done. Only names, no texts, are shuffled here.
-2. Names with at most `group_rows` runs: the words of the runs are brought together, and several names
+2. Names whose runs are within `group_rows` and `group_words`: the words of the runs are brought together, and several names
    fill one memory-sized tree, built by sorting suffixes (doubling the compared depth up to the window).
    Runs of one depth-`window` prefix are the leaves of a deep node; its least document is the origin.
-3. Names with more runs: the prefix is extended to the whole window. A group then is one deep node, for
+3. Names with more: the prefix is extended to the whole window. A group then is one deep node, for
    which only the least document matters: an aggregation, merged before the shuffle.
 
 Words covered by a leaf that is not of the least document go.
@@ -29,7 +29,7 @@ from ledgerlake.llm.common import WordNames, cut, grams, table
 from ledgerlake.llm.ngram_join import _grouped
 
 WINDOW, GRAM = 50, 16
-GROUP_ROWS = 20_000
+GROUP_ROWS, GROUP_WORDS = 20_000, 1_500_000  # runs, and words of runs, that one name may bring together
 TREE_WORDS = 1_500_000
 OUT_ROWS = 2000
 
@@ -67,15 +67,23 @@ def runs_of(data: DataFrame, window: int, k: int) -> DataFrame:
     return data.filter("doc IS NOT NULL").mapInArrow(runs, "h long, doc long, row long, start int, m int")
 
 
-def shared_runs(runs: DataFrame, group_rows: int) -> DataFrame:
-    """Runs whose name occurs in two documents or more; wide marks names with too many runs."""
+def _cost(t: pa.Table, window: int, group_rows: int, group_words: int) -> np.ndarray:
+    """Parts of what one name may bring together, by row: more than 1 in all is too much."""
+    return np.maximum(1 / group_rows, (t.column("m").to_numpy() + window - 1.0) / group_words)
+
+
+def shared_runs(runs: DataFrame, window: int, group_rows: int, group_words: int) -> DataFrame:
+    """Runs whose name occurs in two documents or more; wide marks names that bring too much together."""
+    def cost(t):
+        return _cost(t, window, group_rows, group_words)
+
     def keep(batches):
-        for t in _whole(batches, group_rows):
+        for t in _whole(batches, cost):
             h, d = t.column("h").to_numpy(), t.column("doc").to_numpy()
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             size = np.diff(np.r_[first, len(h)])
             ok = d[first] != d[first + size - 1]  # sorted by document
-            wide = size > group_rows
+            wide = np.add.reduceat(cost(t), first) > 1
             t = t.append_column("wide", pa.array(np.repeat(wide, size))).filter(pa.array(np.repeat(ok | wide, size)))
             yield from t.combine_chunks().to_batches(max_chunksize=50_000)
 
@@ -83,8 +91,8 @@ def shared_runs(runs: DataFrame, group_rows: int) -> DataFrame:
             .mapInArrow(keep, "h long, doc long, row long, start int, m int, wide boolean"))
 
 
-def _whole(batches, most: int):
-    """Whole groups of h, but groups beyond `most` rows in parts that are still beyond it."""
+def _whole(batches, cost):
+    """Whole groups of h, but groups that cost more than 1 in parts that do so themselves."""
     carry = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -96,9 +104,11 @@ def _whole(batches, most: int):
         if start:
             yield t.slice(0, start)
         carry = t.slice(start)
-        if carry.num_rows > 2 * (most + 1):  # emit all but what keeps the rest beyond the bound too
-            yield carry.slice(0, carry.num_rows - most - 1)
-            carry = carry.slice(carry.num_rows - most - 1)
+        behind = np.cumsum(cost(carry)[::-1])[::-1]  # what each row and those after it cost
+        split = int(np.count_nonzero(behind > 1)) - 1  # the last place from which on the rest costs too much
+        if split > 0 and behind[0] - behind[split] > 1:
+            yield carry.slice(0, split)
+            carry = carry.slice(split)
     if carry is not None and carry.num_rows:
         yield carry
 
@@ -183,9 +193,9 @@ def subtree_repeats(pieces: DataFrame, window: int, tree_words: int) -> DataFram
     return (pieces.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(build, RANGES))
 
 
-def repeated_ranges(data: DataFrame, window: int, gram: int, group_rows: int, tree_words: int) -> DataFrame:
+def repeated_ranges(data: DataFrame, window: int, gram: int, group_rows: int, group_words: int, tree_words: int) -> DataFrame:
     """(doc, row, lo, hi): words [lo, hi) that windows of smaller documents repeat."""
-    shared = cut(shared_runs(runs_of(data, window, gram), group_rows), "shared_runs")
+    shared = cut(shared_runs(runs_of(data, window, gram), window, group_rows, group_words), "shared_runs")
     per_row = shared.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "m", "h", "wide")).alias("runs"))
     rows = data.join(per_row, ["doc", "row"]).select("doc", "row", "bytes", "runs")
 
@@ -234,8 +244,8 @@ def repeated_ranges(data: DataFrame, window: int, gram: int, group_rows: int, tr
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                    gram: int = GRAM, group_rows: int = GROUP_ROWS, tree_words: int = TREE_WORDS,
-                    with_text: bool = False) -> DataFrame:
+                    gram: int = GRAM, group_rows: int = GROUP_ROWS, group_words: int = GROUP_WORDS,
+                    tree_words: int = TREE_WORDS, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept, the words left, with with_text), a row per input row.
 
     Words are split at ASCII white space. A null or blank text has no words and the digest of an empty
@@ -243,7 +253,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     neither cut nor an origin. Other columns are not read; an empty table gives an empty result."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     data = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("row"), text.alias("bytes"))
-    ranges = (repeated_ranges(data, window, gram, group_rows, tree_words)
+    ranges = (repeated_ranges(data, window, gram, group_rows, group_words, tree_words)
               .groupBy("doc", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
 
     def apply(batches):

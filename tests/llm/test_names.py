@@ -3,7 +3,7 @@
 import pytest
 
 pytest.importorskip("ledgerlake.llm")
-from ledgerlake.llm import common, exact_dedup, mixing, ngram_join, packing, url_filter  # noqa: E402
+from ledgerlake.llm import common, exact_dedup, mixing, ngram_join, packing, substring_dedup, url_filter  # noqa: E402
 
 
 def test_stages_keep_columns_of_any_name(spark):
@@ -26,6 +26,25 @@ def test_long_hosts_are_linear(spark):
     assert got == {1: ("org/", "allow"), 2: ("com/de/", "block"), 3: ("org/", "allow"), 4: ("org/", "allow"), 5: (None, "allow")}
 
 
+@pytest.mark.parametrize("kw", [{}, {"group_words": 400}, {"group_words": 60}])
+def test_one_long_repeated_line_in_many_documents(spark, kw):
+    """Groups are bounded in words: a line that fills documents is one run of any length."""
+    line = "all rights reserved by the author "
+    texts = [line * (5 + 7 * i) + f"end of {i} " + " ".join(f"own{i}x{j}" for j in range(30)) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    first = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - 49):
+            first.setdefault(tuple(w[j:j + 50]), i)
+    want = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        want[i] = len({k for j in range(len(w) - 49) if first[tuple(w[j:j + 50])] < i for k in range(j, j + 50)})
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(docs, **kw).collect()}
+    assert got == want and max(want.values()) > 1000
+
+
 class Session:
     def __init__(self, master, folder=None):
         conf = type("C", (), {"get": staticmethod(lambda key, default=None: folder)})()
