@@ -356,3 +356,16 @@ def children_in_order(spark, sf):
 
     return search.children(ad.read_table(spark, sf, "conversations"), "conv_id", ["turn"]).select(
         "conv_id", "turn", "role", F.col("position").cast("bigint").alias("position"))
+
+
+@query("csv_documents", """SELECT column_name, md5(value) AS digest FROM (
+  SELECT unnest(['doc_id', 'lang', 'text']) AS column_name,
+    unnest([CAST(doc_id AS VARCHAR), coalesce(lang, ''), coalesce(text, '')]) AS value FROM documents)""")
+def csv_documents(spark, sf):
+    """Documents written as quoted CSV files, line breaks and quotes included, and read back as cells."""
+    from ledgerlake.sources import files, folders
+
+    folder = folders.shared_folder(spark, "csv")
+    (ad.read_table(spark, sf, "documents").select("doc_id", "lang", "text").fillna("", ["lang", "text"]).write
+     .option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\n").csv(folder))
+    return files.read_csv_cells(spark, f"{folder}/*.csv").select("column_name", F.md5("value").alias("digest"))
