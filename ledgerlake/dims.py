@@ -427,3 +427,22 @@ def metrics_frame(spark: SparkSession) -> DataFrame:
 def topics_frame(spark: SparkSession, topics: dict[str, list[str]] = TOPICS) -> DataFrame:
     rows = [(t, w, i) for t, words in topics.items() for i, w in enumerate(words)]
     return spark.createDataFrame(rows, "topic string, keyword string, position int")
+
+
+# --- fixed values: month names in calendar order, and the forms in which periods are written ---
+MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
+MONTH_NAMES = (
+    "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?"
+    "|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?")
+PERIOD_FORMS = [
+    ("QUARTER", r"(?i)\b(q[1-4])\s+(?:fy\s*)?(\d{4})(?:-(\d{2,4}))?\b"),
+    ("RANGE", r"(?i)^fy\s+(\d{4})-(\d{2})\b"),
+    ("RANGE", r"(?i)\bfy\s*(\d{4})-(\d{4})\b"),
+    ("RANGE", r"(?i)\bfy\s*(\d{4})-(\d{2})\b"),
+    ("RANGE", r"\b(\d{4})-(\d{2})\b"),
+    ("RANGE", r"\b(\d{4})/(\d{2})\b"),
+    ("END", r"(?i)\bfy(\d{4})\b"),
+    ("RANGE", r"(?i)\bfinancial\s+year\s+(\d{4})-(\d{2,4})\b"),
+    ("MONTH", rf"(?i)\b({MONTH_NAMES})\s+(\d{{4}})\b"),
+]
+# --- end of fixed values ---

@@ -5,75 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerlake import dims
 from ledgerlake.functions.text import first_match, let
 
-# --- fixed values: month names in calendar order ---
-MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
-MONTH_NAMES = (
-    "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?"
-    "|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?")
-
-QUARTER = r"(?i)\b(q[1-4])\s+(?:fy\s*)?(\d{4})(?:-(\d{2,4}))?\b"
-FY_LONG = r"(?i)\bfy\s*(\d{4})-(\d{4})\b"
-FY_SHORT = r"(?i)\bfy\s*(\d{4})-(\d{2})\b"
-BARE_DASH = r"\b(\d{4})-(\d{2})\b"
-BARE_SLASH = r"\b(\d{4})/(\d{2})\b"
-FY_SINGLE = r"(?i)\bfy(\d{4})\b"
-FINANCIAL_YEAR = r"(?i)\bfinancial\s+year\s+(\d{4})-(\d{2,4})\b"
-MONTH_YEAR = rf"(?i)\b({MONTH_NAMES})\s+(\d{{4}})\b"
-
-
 def _part(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, pattern, group)
 
 
-def _range(text: Column, pattern: str) -> Column:
-    return F.concat(F.lit("FY "), _part(text, pattern, 1), F.lit("-"),
-                    F.right(_part(text, pattern, 2), F.lit(2)))
+def _two(text: Column) -> Column:
+    return F.right(text, F.lit(2))
+
+
+def _written(kind: str, t: Column, pattern: str) -> Column:
+    """The canonical form of what a pattern of dims.PERIOD_FORMS finds first in a text."""
+    one, two = _part(t, pattern, 1), _part(t, pattern, 2)
+    if kind == "RANGE":
+        return F.concat(F.lit("FY "), one, F.lit("-"), _two(two))
+    if kind == "END":
+        end = one.try_cast("int")
+        return F.concat(F.lit("FY "), (end - 1).cast("string"), F.lit("-"), _two(one))
+    if kind == "QUARTER":
+        last = _part(t, pattern, 3)
+        return F.concat(F.upper(one), F.lit(" FY "), F.concat_ws("-", two, F.nullif(_two(last), F.lit(""))))
+    return F.concat_ws(" ", F.initcap(F.lower(F.left(one, F.lit(3)))), two)
 
 
 def norm_period(raw: Column) -> Column:
     """Canonical `FY 2024-25`, `Q2 FY 2024-25` or `Apr 2024`; NULL when nothing is recognised."""
-    return let(F.trim(raw), _norm_trimmed)
-
-
-def _norm_trimmed(t: Column) -> Column:
-    tail = _part(t, QUARTER, 3)
-    quarter = F.concat(
-        F.upper(_part(t, QUARTER, 1)), F.lit(" FY "), _part(t, QUARTER, 2),
-        F.when(tail == "", "").otherwise(F.concat(F.lit("-"), F.right(tail, F.lit(2)))))
-    year = _part(t, FY_SINGLE, 1).try_cast("int")
-    single = F.concat(F.lit("FY "), (year - 1).cast("string"), F.lit("-"),
-                      F.right(year.cast("string"), F.lit(2)))
-    month = F.concat(F.initcap(F.lower(F.left(_part(t, MONTH_YEAR, 1), F.lit(3)))), F.lit(" "),
-                     _part(t, MONTH_YEAR, 2))
-    return first_match([
-        (t.rlike(QUARTER), quarter),
-        (t.rlike(r"(?i)^fy\s+\d{4}-\d{2}\b"), _range(t, r"(?i)^fy\s+(\d{4})-(\d{2})\b")),
-        (t.rlike(FY_LONG), _range(t, FY_LONG)),
-        (t.rlike(FY_SHORT), _range(t, FY_SHORT)),
-        (t.rlike(BARE_DASH), _range(t, BARE_DASH)),
-        (t.rlike(BARE_SLASH), _range(t, BARE_SLASH)),
-        (t.rlike(FY_SINGLE), single),
-        (t.rlike(FINANCIAL_YEAR), _range(t, FINANCIAL_YEAR)),
-        (t.rlike(MONTH_YEAR), month),
-    ])
+    return let(F.trim(raw), lambda t: first_match([(t.rlike(p), _written(kind, t, p)) for kind, p in dims.PERIOD_FORMS]))
 
 
 def extract_periods(text: Column, quarter_first: bool = True) -> Column:
-    """All distinct periods of a text, pattern by pattern.
+    """All distinct periods of a text, form by form.
 
     quarter_first=False tests full years before quarters, so `Q2 FY 2024-25` reads as the year.
     """
-    year_patterns = [
-        r"(?i)(\bfy\s*\d{4}-\d{2,4}\b)", r"(\b\d{4}-\d{2}\b)", r"(\b\d{4}/\d{2}\b)",
-        r"(?i)(\bfy\d{4}\b)", r"(?i)(\bfinancial\s+year\s+\d{4}-\d{2,4}\b)"]
-    quarter = r"(?i)(\bq[1-4]\s+(?:fy\s*)?\d{4}(?:-\d{2,4})?\b)"
-    month = rf"(?i)(\b(?:{MONTH_NAMES})\s+\d{{4}}\b)"
-    order = [quarter, *year_patterns, month] if quarter_first else [*year_patterns, quarter, month]
-    hits = F.concat(*[F.regexp_extract_all(text, F.lit(p), 1) for p in order])
-    return F.array_distinct(F.filter(F.transform(hits, lambda h: norm_period(h)),
-                                     lambda p: p.isNotNull()))
+    place = {"QUARTER": 0 if quarter_first else 2, "MONTH": 3}
+    forms = sorted(dims.PERIOD_FORMS, key=lambda f: place.get(f[0], 1))
+    hits = F.concat(*[F.regexp_extract_all(text, F.lit(p), 0) for _, p in forms])
+    return F.array_distinct(F.array_compact(F.transform(hits, lambda h: norm_period(h))))
 
 
 def extract_period(text: Column, quarter_first: bool = True) -> Column:
@@ -101,7 +71,7 @@ def infer_grain(period: Column, grain: Column | None = None, strict: bool = Fals
     if not strict:
         rules.append((p.rlike(r"^\s*FY\s*\d{4}-\d{2}\s*$"), F.lit("ANNUAL")))
     rules += [
-        (p.rlike("|".join(MONTHS) + "|-0[1-6]"), F.lit("MONTHLY")),
+        (p.rlike("|".join(dims.MONTHS) + "|-0[1-6]"), F.lit("MONTHLY")),
         (p.rlike(r"FY|ANNUAL|20\d{2}-\d{2}"), F.lit("ANNUAL"))]
     inferred = first_match(rules, F.lit("ANY"))
     if grain is None:
@@ -123,7 +93,7 @@ def fy_key(period: Column, strict: bool = False) -> Column:
     if not strict:
         direct = direct & ((y1.cast("int") + 1) % 100 == y2.cast("int"))
     year = _part(p, r"(20\d{2})", 1).try_cast("int")
-    named = first_match([(F.contains(up, F.lit(m)), F.lit(i + 1)) for i, m in enumerate(MONTHS)])
+    named = first_match([(F.contains(up, F.lit(m)), F.lit(i + 1)) for i, m in enumerate(dims.MONTHS)])
     numeric = _part(p, r"(?:^|[^\d])(0?[1-9]|1[0-2])(?:[^\d]|$)", 1).try_cast("int")
     month = F.coalesce(named, numeric)
     start = F.when(month >= 4, year).otherwise(year - 1)

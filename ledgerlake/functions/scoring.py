@@ -39,29 +39,29 @@ def confidence_rationale(method: Column, has_unit: Column, has_period: Column, h
                          spreadsheet: Column) -> Column:
     """Readable reasons behind fact_confidence, joined by ` | `."""
     pct = F.coalesce(ocr, F.lit(0.7)) * 100
-    ocr_text = F.format_string("Extracted from OCR with %.0f%% confidence (+%.2f)",
+    ocr_text = F.format_string("recognised text, %.0f%% sure (+%.2f)",
                                pct, F.lit(0.55) + pct / 400)
     penalty = F.round((F.lit("0.75").cast(DEC) - quality.cast(DEC)) * F.lit("0.35").cast(DEC), 2)
     return F.concat_ws(
         " | ",
         first_match([
             (method == "STRUCTURED_TABLE",
-             F.lit("Extracted directly from structured table cell (+0.88)")),
+             F.lit("table cell (+0.88)")),
             (method == "REGEX_PATTERN",
-             F.lit("Extracted via deterministic regex pattern (+0.75)")),
+             F.lit("pattern in text (+0.75)")),
             (method == "OCR_BLOCK", ocr_text)],
-            F.lit("Extracted via heuristic parser (+0.65)")),
+            F.lit("other reading (+0.65)")),
         F.when((method == "STRUCTURED_TABLE") & spreadsheet,
-               "Structured Excel spreadsheet source (+0.04)"),
-        F.when(has_unit, "Canonical unit identified (+0.04)")
-        .otherwise("Missing explicit unit (-0.05)"),
-        F.when(has_period, "Reporting period verified (+0.04)")
-        .otherwise("Unspecified reporting period (-0.05)"),
-        F.when(has_org, "Operating subsidiary / organization identified (+0.04)"),
+               "spreadsheet (+0.04)"),
+        F.when(has_unit, "unit known (+0.04)")
+        .otherwise("no unit (-0.05)"),
+        F.when(has_period, "period known (+0.04)")
+        .otherwise("no period (-0.05)"),
+        F.when(has_org, "organisation known (+0.04)"),
         F.when(quality < 0.75, F.concat(
-            F.lit("Sub-optimal source document quality penalty (-"),
+            F.lit("quality of the source (-"),
             penalty.cast("decimal(10,2)").cast("string"), F.lit(")"))),
-        F.when(approximate, "Value indicated as approximate/estimated (-0.10)"))
+        F.when(approximate, "an estimate (-0.10)"))
 
 
 def initial_status(confidence: Column) -> Column:

@@ -55,7 +55,7 @@ def redact_injection(text: Column) -> Column:
 
 def lead_sentences(text: Column, n: int = 2, min_chars: int = 10) -> Column:
     """First n sentences of at least min_chars that carry no instruction-like phrase."""
-    parts = F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim)
+    parts = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s))
     kept = F.filter(
         parts,
         lambda s: (F.length(s) >= min_chars) & ~s.rlike("(?i)" + dims.INJECTION_PATTERN))

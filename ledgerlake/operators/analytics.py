@@ -28,7 +28,7 @@ def ratio_pct(num: Column, den: Column, digits: int = 1) -> Column:
 
 
 def kpis(facts: DataFrame, documents: DataFrame, issues: DataFrame, conflicts: DataFrame,
-         not_entities: list[str]) -> DataFrame:
+         not_entities: list[str], reports: DataFrame | None = None) -> DataFrame:
     f = facts.agg(
         F.count("*").alias("facts_extracted"),
         F.count_if(F.col("validation_status") == "VERIFIED").alias("verified_evidence"),
@@ -40,7 +40,8 @@ def kpis(facts: DataFrame, documents: DataFrame, issues: DataFrame, conflicts: D
                       .alias("documents_processed"))
     i = issues.agg(F.count_if(F.col("issue_status") != "RESOLVED").alias("pending_reviews"))
     c = conflicts.agg(F.count_if(F.col("status") == "OPEN").alias("true_conflicts"))
-    return f.crossJoin(d).crossJoin(i).crossJoin(c)  # four one-row frames
+    row = f.crossJoin(d).crossJoin(i).crossJoin(c)  # one-row frames
+    return row if reports is None else row.crossJoin(reports.agg(F.count("*").alias("reports_generated")))
 
 
 def top(df: DataFrame, k: int, by: str, *tie: str) -> DataFrame:
@@ -173,13 +174,16 @@ def stripping_ratio(facts: DataFrame, codes: list[str] = OVERBURDEN) -> DataFram
         quotient(F.col("ob"), p, 2).alias("ratio"))
 
 
-def issue_statistics(issues: DataFrame) -> DataFrame:
+def issue_statistics(issues: DataFrame, conflicts: DataFrame | None = None) -> DataFrame:
     is_open = F.col("issue_status") == "OPEN"
-    return issues.agg(
+    counts = issues.agg(
         F.count("*").alias("total"), F.count_if(is_open).alias("open"),
         F.count_if(~is_open).alias("resolved"),
         F.count_if(is_open & (F.col("severity") == "CRITICAL")).alias("critical"),
         F.count_if(is_open & (F.col("severity") == "HIGH")).alias("high"))
+    if conflicts is None:
+        return counts
+    return counts.crossJoin(conflicts.agg(F.count_if(F.col("status") == "OPEN").alias("conflicts")))  # one-row frames
 
 
 def real_demo_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -238,6 +242,12 @@ def latest_stage(log: DataFrame) -> DataFrame:
         F.count_if(F.col("stage") == "error").alias("warnings"), F.count("*").alias("lines"))
 
 
+def stage_warnings(log: DataFrame, stage: str = "error") -> DataFrame:
+    """The warnings of every key, one row each, newest first by `place`."""
+    w = Window.partitionBy("key").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    return log.filter(F.col("stage") == stage).withColumn("place", F.row_number().over(w))
+
+
 def entity_rollup(facts: DataFrame) -> DataFrame:
     """Region, organisation and site totals of production in one pass."""
     g = facts.filter(F.col("metric_code") == PRODUCTION).rollup("field", "org", "site").agg(

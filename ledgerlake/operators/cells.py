@@ -141,6 +141,14 @@ def preview_pages(pages: DataFrame, key: str, k: int = 5, chars: int = 2000) ->
         key, "page_number", F.substring("content", 1, chars).alias("content"))
 
 
+def preview_text(documents: DataFrame, pages: DataFrame, cells: DataFrame, chunks: DataFrame, chars: int = 3000) -> DataFrame:
+    """(document_id, text): the first chunk of documents that have neither pages nor sheets."""
+    bare = documents.select("document_id").join(pages.select("document_id"), "document_id", "left_anti").join(
+        cells.select("document_id"), "document_id", "left_anti")
+    first = chunks.groupBy("document_id").agg(F.min_by("content", "chunk_index").alias("content"))
+    return bare.join(first, "document_id").select("document_id", F.substring("content", 1, chars).alias("text"))
+
+
 def preview_rows(cells: DataFrame, sheets: int = 3, rows: int = 10) -> DataFrame:
     """First rows of the first sheets of every document."""
     names = cells.select("document_id", "sheet_name").distinct()

@@ -93,11 +93,15 @@ def conflict_edges(conflicts: DataFrame, node_rows: DataFrame, k: int | None = N
     return (shown.select("source", "target", F.lit("CONFLICT").alias("relation"), F.lit(0.3).alias("weight")))
 
 
-def graph_statistics(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
+def graph_statistics(node_rows: DataFrame, edge_rows: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Totals of the graph and, with the ledger, of its facts and documents."""
     n = node_rows.agg(F.count("*").alias("nodes"), F.count_if(F.col("type") == "COMPANY").alias("companies"),
                       F.count_if(F.col("type") == "FIELD").alias("fields"),
                       F.count_if(F.col("type") == "SITE").alias("sites"))
-    return n.crossJoin(edge_rows.agg(F.count("*").alias("edges")))  # two one-row frames
+    row = n.crossJoin(edge_rows.agg(F.count("*").alias("edges")))  # one-row frames
+    if facts is None:
+        return row
+    return row.crossJoin(facts.agg(F.count("*").alias("facts"), F.count_distinct("document_id").alias("documents")))
 
 
 def entity_panel(facts: DataFrame, k: int = 3) -> DataFrame:
@@ -124,7 +128,7 @@ def fact_paths(facts: DataFrame, documents: DataFrame, root: str) -> DataFrame:
         step("GROUP", F.lit(root), F.lit(root)),
         step("COMPANY", org_id(), F.coalesce("org", F.lit("Unknown"))),
         step("FIELD", field_id(), field),
-        step("SITE", site_id(), F.coalesce("site", F.lit("Unspecified Mine"))),
+        step("SITE", site_id(), F.coalesce("site", F.lit("no site"))),
         step("METRIC", metric_id(), F.col("metric_code")),
         step("FACT", F.col("fact_id"), value),
         step("DOCUMENT", F.col("document_id"), F.coalesce("document_name", F.lit("Unknown"))))

@@ -46,11 +46,12 @@ SELECT * FROM (SELECT count(*) AS facts_extracted,
  (SELECT count(*) FILTER ({DOC_STATUS} IN ('READY', 'COMPLETED_WITH_WARNINGS', 'INDEXING'))
     AS documents_processed FROM documents),
  (SELECT count(*) FILTER (issue_status <> 'RESOLVED') AS pending_reviews FROM state),
- (SELECT count(*) AS true_conflicts FROM conflicts)""")
+ (SELECT count(*) AS true_conflicts FROM conflicts), (SELECT count(DISTINCT org) AS reports_generated FROM facts)""")
 def kpi_row(spark, sf):
     f = ad.facts(spark, sf)
+    reports = f.filter("org IS NOT NULL").select("org").distinct()  # one report an organisation
     return an.kpis(f, ad.documents(spark, sf), issue_state(spark, sf), cf.contradictions(f),
-                   [ad.GROUP, ad.INSTITUTE])
+                   [ad.GROUP, ad.INSTITUTE], reports)
 
 
 @query("entity_summary", f"""WITH {FACTS} SELECT org, count(*) AS fact_count,
@@ -219,13 +220,13 @@ def audit_per_day(spark, sf):
     return an.per_day(ad.audit(spark, sf), "ts")
 
 
-@query("issue_statistics", f"""WITH {FACTS}, {ISSUES}, {ISSUE_STATE}
-SELECT count(*) AS total, count(*) FILTER (issue_status = 'OPEN') AS open,
+@query("issue_statistics", f"""WITH {FACTS}, {ISSUES}, {ISSUE_STATE}, {CONFLICTS}
+SELECT (SELECT count(*) FROM conflicts) AS conflicts, count(*) AS total, count(*) FILTER (issue_status = 'OPEN') AS open,
   count(*) FILTER (issue_status <> 'OPEN') AS resolved,
   count(*) FILTER (issue_status = 'OPEN' AND severity = 'CRITICAL') AS critical,
   count(*) FILTER (issue_status = 'OPEN' AND severity = 'HIGH') AS high FROM state""")
 def issue_statistics(spark, sf):
-    return an.issue_statistics(issue_state(spark, sf))
+    return an.issue_statistics(issue_state(spark, sf), cf.contradictions(ad.facts(spark, sf)))
 
 
 @query("issues_by_entity", f"""WITH {FACTS}, {ISSUES} SELECT org, count(*) AS n FROM issues GROUP BY 1
@@ -290,6 +291,13 @@ def processing_status(spark, sf):
     return an.latest_stage(log)
 
 
+@query("processing_warnings", """SELECT user_id AS key, event_id, row_number() OVER (PARTITION BY user_id
+  ORDER BY ts DESC, event_id DESC) AS place FROM events WHERE event_type = 'error'""")
+def processing_warnings(spark, sf):
+    log = ad.audit(spark, sf).select(F.col("user_id").alias("key"), "ts", "event_id", F.col("action").alias("stage"))
+    return an.stage_warnings(log).select("key", "event_id", F.col("place").cast("bigint").alias("place"))
+
+
 @query("entity_rollup", f"""WITH {FACTS} SELECT field, org, site, count(*) AS n,
   CAST(sum({DEC}) AS DOUBLE) AS production, grouping(field, org, site)::BIGINT AS level FROM facts
 WHERE metric_code = 'COAL_PRODUCTION' GROUP BY ROLLUP (field, org, site)""")

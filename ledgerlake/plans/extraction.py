@@ -331,6 +331,16 @@ def preview_pages(spark, sf):
                     F.md5("content").alias("digest"))
 
 
+@query("preview_text", """SELECT doc_id AS document_id, md5(substr(text, 1, 3000)) AS digest FROM documents
+WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0 AND length(text) > 0""")
+def preview_text(spark, sf):
+    """Every third document has neither pages nor sheets; its text is one chunk."""
+    d = ad.documents(spark, sf).select(F.col("doc_id").alias("document_id"), F.col("text").alias("content")).filter("length(content) > 0")
+    chunks = d.withColumn("chunk_index", F.lit(0)).unionByName(d.select("document_id", F.lit("later").alias("content"), F.lit(1).alias("chunk_index")))
+    return ce.preview_text(d, d.filter("document_id % 3 <> 0"), d.filter("document_id % 4 = 0"), chunks).select(
+        "document_id", F.md5("text").alias("digest"))
+
+
 @query("preview_rows", f"""WITH {WIDE}, r AS (SELECT *, dense_rank() OVER (PARTITION BY document_id ORDER BY row_number)
   AS n FROM cells) SELECT document_id, row_number, column_name, value FROM r WHERE n <= 10""")
 def preview_rows(spark, sf):

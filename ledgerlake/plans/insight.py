@@ -96,7 +96,11 @@ def keyword_confidence(spark, sf):
     return retrieve.keyword_confidence(retrieve.keyword_counts(bench_queries(spark, sf), chunks(spark, sf)))
 
 
-@query("extractive_answers")
+@query("extractive_answers", f"""WITH {RANKED}, e AS (SELECT query_id, place, list_filter(list_transform(string_split(
+  regexp_replace(content, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: length(x) >= 10) AS l
+  FROM ranked JOIN chunks USING (chunk_id) WHERE place <= 4)
+SELECT query_id, string_agg(array_to_string(list_slice(l, 1, 2), ' '), chr(10) || chr(10) ORDER BY place) AS answer FROM e
+WHERE len(l) > 0 GROUP BY 1""")
 def extractive_answers(spark, sf):
     c = chunks(spark, sf)
     return retrieve.extractive_answers(retrieve.rank_chunks(bench_queries(spark, sf), c), c)
@@ -141,28 +145,53 @@ def word_cloud(spark, sf):
                                dims.topics_frame(spark, TOPICS))
 
 
-@query("topic_detail", f"""WITH {MENTIONS} SELECT topic, chunk_id, place, document_id, substr(content, 1, 200) AS snippet FROM (
+@query("topic_detail", f"""WITH {MENTIONS}, d AS (SELECT topic, chunk_id, place, document_id, content, file_name FROM (
   SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, chunk_id) AS place FROM mentions)
-JOIN chunks USING (chunk_id) WHERE place <= 25""")
+JOIN chunks USING (chunk_id) WHERE place <= 25),
+a AS (SELECT topic, chunk_id, min(strpos(lower(content), keyword)) AS pos FROM d JOIN tk USING (topic)
+  WHERE contains(lower(content), keyword) GROUP BY 1, 2)
+SELECT topic, chunk_id, place, document_id, file_name, substr(content, greatest(pos - 80, 1), 160) AS snippet FROM d JOIN a USING (topic, chunk_id)""")
 def topic_detail(spark, sf):
-    return retrieve.topic_detail(mentions(spark, sf), chunks(spark, sf)).select(
-        "topic", "chunk_id", F.col("place").cast("bigint").alias("place"), "document_id", "snippet")
+    c = chunks(spark, sf)
+    return retrieve.topic_detail(mentions(spark, sf), c, dims.topics_frame(spark, TOPICS), files_of(c)).select(
+        "topic", "chunk_id", F.col("place").cast("bigint").alias("place"), "document_id", "file_name", "snippet")
+
+
+def files_of(c):
+    return c.select("document_id", F.regexp_replace("file_name", r"_\d+\.\w+$", "").alias("file_name")).distinct()
+
+
+@query("topic_documents", f"""WITH {MENTIONS} SELECT topic, document_id, any_value(file_name) AS file_name, sum(n)::BIGINT AS n
+FROM mentions JOIN chunks USING (chunk_id) GROUP BY 1, 2""")
+def topic_documents(spark, sf):
+    c = chunks(spark, sf)
+    return retrieve.topic_documents(mentions(spark, sf), c, files_of(c))
 
 
-@query("topic_mentions_mining")
+@query("topic_list_filtered", f"""WITH {MENTIONS} SELECT topic, any_value(mentions) AS mentions FROM tk JOIN counts USING (topic)
+WHERE topic IN ('Endings', 'Links') AND topic ILIKE '%in%' GROUP BY 1""")
+def topic_list_filtered(spark, sf):
+    t = dims.topics_frame(spark, TOPICS).withColumn("category", F.when(F.col("topic") == "Articles", "words").otherwise("parts"))
+    return retrieve.topic_list(retrieve.topic_counts(mentions(spark, sf)), t, category="parts", search=" in ").select("topic", "mentions")
+
+
+MINING = values([(t, w) for t, ws in dims.TOPICS.items() for w in ws], "topic, keyword")
+
+
+@query("topic_mentions_mining", f"""WITH {CHUNKS}, tk AS {MINING}, m AS (SELECT chunk_id, topic,
+  sum((length(body) - length(replace(body, keyword, ''))) // length(keyword))::BIGINT AS n FROM chunks JOIN tk ON contains(body, keyword) GROUP BY 1, 2)
+SELECT topic, sum(n)::BIGINT AS mentions, count(*) AS chunks FROM m GROUP BY 1""")
 def topic_mentions_mining(spark, sf):
     """The default vocabulary over the same chunks."""
-    return retrieve.topic_counts(retrieve.topic_mentions(chunks(spark, sf), dims.TOPICS))
+    return retrieve.topic_counts(retrieve.topic_mentions(chunks(spark, sf).filter("NOT is_demo"), dims.TOPICS))
+
+
+NAMES = values([(c, n) for c, n, _ in dims.METRICS], "code, metric_name")
 
 
 @query("suggested_questions", f"""WITH {FACTS}, t AS (SELECT org, metric_code AS m, reporting_period AS p, count(*) AS n FROM facts
 WHERE NOT is_demo GROUP BY 1, 2, 3 ORDER BY n DESC, org, metric_code, reporting_period LIMIT 10)
-SELECT n, CASE m WHEN 'COAL_PRODUCTION' THEN 'What was ' || org || '''s raw coal production in ' || p || '?'
-  WHEN 'DRILLING' THEN 'Show ' || org || ' exploratory drilling progress in ' || p
-  WHEN 'OVERBURDEN_REMOVAL' THEN 'What was overburden removal (OBR) for ' || org || ' in ' || p || '?'
-  WHEN 'COAL_OFFTAKE' THEN 'Show coal dispatch / offtake figures for ' || org || ' in ' || p
-  WHEN 'PRODUCTION_TARGET' THEN 'What was the production target for ' || org || ' in ' || p || '?'
-  ELSE 'What was ' || org || '''s coal stock in ' || p || '?' END AS question FROM t""")
+SELECT n, org || ': ' || lower(coalesce(metric_name, m)) || ' in ' || p || '?' AS question FROM t LEFT JOIN {NAMES} ON code = m""")
 def suggested_questions(spark, sf):
     return retrieve.suggested_questions(ad.facts(spark, sf))
 
@@ -219,10 +248,11 @@ def graph_conflict_edges(spark, sf):
 
 @query("graph_statistics", f"""WITH {FACTS}, {BASE}, {NODES}, {EDGES} SELECT * FROM (SELECT count(*) AS nodes,
   count(*) FILTER (type = 'COMPANY') AS companies, count(*) FILTER (type = 'FIELD') AS fields,
-  count(*) FILTER (type = 'SITE') AS sites FROM nodes), (SELECT count(*) AS edges FROM edges)""")
+  count(*) FILTER (type = 'SITE') AS sites FROM nodes), (SELECT count(*) AS edges FROM edges),
+  (SELECT count(*) AS facts, count(DISTINCT document_id) AS documents FROM facts)""")
 def graph_statistics(spark, sf):
     b = base(spark, sf)
-    return graph.graph_statistics(graph.nodes(b, ROOT, None, orgs(spark, sf)), graph.edges(b, ROOT))
+    return graph.graph_statistics(graph.nodes(b, ROOT, None, orgs(spark, sf)), graph.edges(b, ROOT), ad.facts(spark, sf))
 
 
 @query("entity_panel", f"""WITH {FACTS}, c AS (SELECT org, metric_code, count(*) AS n FROM facts GROUP BY 1, 2),
@@ -698,13 +728,16 @@ def brief_sections(spark, sf):
 # --- search and look-up ---
 
 
-@query("search_ledger", f"""WITH {FACTS}, m AS (SELECT * FROM facts WHERE (metric_code ILIKE '%prod%' OR site ILIKE '%prod%' OR
-  field ILIKE '%prod%') AND confidence_score >= 0.8 AND validation_status = 'VERIFIED'),
+@query("search_ledger", f"""WITH {FACTS}, m AS (SELECT facts.* FROM facts LEFT JOIN {NAMES} ON code = metric_code WHERE (metric_code ILIKE '%ion 1%'
+  OR site ILIKE '%ion 1%' OR field ILIKE '%ion 1%' OR coalesce(metric_name, metric_code) ILIKE '%ion 1%'
+  OR org || ' production ' || numeric_value::BIGINT ILIKE '%ion 1%') AND confidence_score >= 0.8 AND validation_status = 'VERIFIED'),
 t AS (SELECT count(*) FILTER (validation_status = 'VERIFIED') AS verified_count, count(*) FILTER (validation_status IN
   ('NEEDS_REVIEW', 'REVIEW_REQUIRED')) AS review_count FROM facts)
 SELECT fact_id, verified_count, review_count, (SELECT count(*) FROM m) AS total FROM m, t ORDER BY created_at DESC, fact_id LIMIT 50""")
 def search_ledger(spark, sf):
-    return search.search_ledger(ad.facts(spark, sf), text="prod", status="VERIFIED",
+    f = ad.facts(spark, sf).withColumns({"metric_name": vocab.metric_name(F.col("metric_code")), "source_context": F.concat(
+        "org", F.lit(" production "), F.col("numeric_value").cast("bigint").cast("string"))})
+    return search.search_ledger(f, text="ion 1", status="VERIFIED",
                                 min_confidence=0.8).select(
         "fact_id", "verified_count", "review_count", "total")
 

@@ -477,12 +477,12 @@ def fact_confidence(spark, sf):
 
 
 @query("confidence_rationale", f"""WITH {FACTS} SELECT extraction_method, CASE extraction_method
-  WHEN 'STRUCTURED_TABLE' THEN 'Extracted directly from structured table cell (+0.88) | Structured Excel spreadsheet source (+0.04)'
-  WHEN 'REGEX_PATTERN' THEN 'Extracted via deterministic regex pattern (+0.75)'
-  ELSE 'Extracted from OCR with 70% confidence (+0.73)' END || ' | ' || CASE WHEN unit IS NULL
-  THEN 'Missing explicit unit (-0.05)' ELSE 'Canonical unit identified (+0.04)' END ||
-  ' | Reporting period verified (+0.04) | Operating subsidiary / organization identified (+0.04)' ||
-  ' | Sub-optimal source document quality penalty (-0.09)' AS rationale, count(*) AS n FROM facts GROUP BY 1, 2""")
+  WHEN 'STRUCTURED_TABLE' THEN 'table cell (+0.88) | spreadsheet (+0.04)'
+  WHEN 'REGEX_PATTERN' THEN 'pattern in text (+0.75)'
+  ELSE 'recognised text, 70% sure (+0.73)' END || ' | ' || CASE WHEN unit IS NULL
+  THEN 'no unit (-0.05)' ELSE 'unit known (+0.04)' END ||
+  ' | period known (+0.04) | organisation known (+0.04)' ||
+  ' | quality of the source (-0.09)' AS rationale, count(*) AS n FROM facts GROUP BY 1, 2""")
 def confidence_rationale(spark, sf):
     rationale = scoring.confidence_rationale(
         F.col("extraction_method"), F.col("unit").isNotNull(), F.col("reporting_period").isNotNull(),
