@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.sources.folders import shared_folder
+
 
 
 @dataclass(frozen=True)
@@ -107,8 +109,12 @@ def apply_scopes(ledger: DataFrame, scopes: DataFrame, keys: list[str] = ("metri
     """
     keys = list(keys)
     facts = ledger.filter(F.col("numeric_value").isNotNull())
-    known = scopes_of_periods(facts.select(*keys, "reporting_period").distinct(), scopes, keys, kinds)
-    named = known.select(*[F.col(k).alias(f"s_{k}") for k in keys], F.col("reporting_period").alias("s_text"), "scope_id")
+    # stored, so that the ledger is read once for its texts and the planner knows the size of the dictionary
+    spark, folder = ledger.sparkSession, shared_folder(ledger.sparkSession, "scopes")
+    facts.select(*keys, "reporting_period").distinct().write.parquet(f"{folder}/texts")
+    scopes_of_periods(spark.read.parquet(f"{folder}/texts"), scopes, keys, kinds).select(
+        *[F.col(k).alias(f"s_{k}") for k in keys], F.col("reporting_period").alias("s_text"), "scope_id").write.parquet(f"{folder}/scopes")
+    named = spark.read.parquet(f"{folder}/scopes")
     same = [F.col(k) == F.col(f"s_{k}") for k in keys] + [F.col("reporting_period").eqNullSafe(F.col("s_text"))]
     return facts.join(named, same).drop("s_text", *[f"s_{k}" for k in keys])
 
