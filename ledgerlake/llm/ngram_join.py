@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import WordNames, connected_components, cut, grams, table, union_all, wrapped
+from ledgerlake.llm.common import WordNames, connected_components, cut, discard, grams, table, union_all, wrapped
 
 SHINGLE, PERCENT = 5, 80
 FRAGMENTS = 4
@@ -414,6 +414,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 .select("cid", "n", "rare", "stored").dropDuplicates(["cid"]), "stored_parts")
     mid_at = spark.sparkContext.broadcast(middle_names(known, percent))  # at most HOT_MOST names
     parts = cut(leading_parts(known, mid_at, percent), "parts")
+    kept = cut(held.select("doc_id", "n", "key"), "members")
+    discard(known, held)
     tokens = parts.select("cid", "n", F.posexplode("part").alias("pos", "h")).select("h", "cid", "n", "pos")
     shared = cut(shared_names(tokens), "shared")
     sizes = classes.select("cid", "n")
@@ -441,7 +443,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             found.append(rest)
             label = cut(connected_components(union_all(found).select("a", "b")), "components")
     out = union_all(found) if found else spark.createDataFrame([], "a long, b long, jaccard double")
-    members = held.join(classes.select("key", "cid"), "key", "left").select(
+    discard(parts, shared, *([segments] if segments is not None else []))
+    members = kept.join(classes.select("key", "cid"), "key", "left").select(
         "doc_id", "key", F.col("n").alias("n_shingles"), "cid")
     return members, label.join(classes, label.id == classes.cid, "right").select(
         "cid", "n", "doc_id", F.coalesce("component", "cid").alias("component")), out
