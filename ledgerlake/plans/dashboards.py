@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import label
 from ledgerlake.operators import analytics as an
 from ledgerlake.operators import conflicts as cf
-from ledgerlake.operators import protect
+from ledgerlake.operators import protect, ranking
 from ledgerlake.plans.calculation import GROUPS, REAL, real
 from ledgerlake.plans.ledger_writes import (
     CONFLICTS, DOC_STATUS, ISSUE_STATE, ISSUES, issue_state)
@@ -314,8 +313,7 @@ SELECT org, total, rank() OVER (ORDER BY total DESC) AS place FROM t""")
 def rank_entities(spark, sf):
     t = (ad.facts(spark, sf).filter(F.col("metric_code") == an.PRODUCTION).groupBy("org")
          .agg(an.exact_sum(F.col("numeric_value")).cast("double").alias("total")))
-    # one row per organisation is left, so ranking them in one task is cheap
-    return t.withColumn("place", F.rank().over(Window.orderBy(F.col("total").desc())).cast("bigint"))
+    return ranking.placed(t, "total").withColumn("place", F.col("place").cast("bigint"))
 
 
 @query("top_metrics_per_entity", f"""WITH {FACTS}, c AS (SELECT org, metric_code, count(*) AS n FROM facts GROUP BY 1, 2)
@@ -323,16 +321,13 @@ SELECT org, metric_code, n, rn FROM (SELECT *, row_number() OVER (PARTITION BY o
   ORDER BY n DESC, metric_code) AS rn FROM c) WHERE rn <= 3""")
 def top_metrics_per_entity(spark, sf):
     c = an.count_by(ad.facts(spark, sf), "org", "metric_code")
-    w = Window.partitionBy("org").orderBy(F.col("n").desc(), "metric_code")
-    return c.withColumn("rn", F.row_number().over(w).cast("bigint")).filter("rn <= 3")
+    return ranking.first_per(c, ["org"], [F.col("n").desc(), "metric_code"], 3, "rn").withColumn("rn", F.col("rn").cast("bigint"))
 
 
 @query("latest_per_key", """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER
   (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def latest_per_key(spark, sf):
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return (ad.read_table(spark, sf, "events").withColumn("rn", F.row_number().over(w))
-            .filter("rn = 1").select("user_id", "event_id", "event_type"))
+    return ranking.latest_per(ad.read_table(spark, sf, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
 # a steep function of the values, which alone are spread too evenly for outliers

@@ -10,7 +10,7 @@ from ledgerlake.operators import analytics as an
 from ledgerlake.operators import calc, claims, graph, lineage, protect, provenance, report, retrieve, search
 from ledgerlake.operators import cells as ce
 from ledgerlake.operators import conflicts as cf
-from ledgerlake.operators import history
+from ledgerlake.operators import history, ranking
 from ledgerlake.operators import runs as seq
 from ledgerlake.plans.calculation import GROUPS, ORG_YEAR, ORG_YEAR_COLS, REAL, YEARLY, real, yearly
 from ledgerlake.plans.dashboards import D, P, T, pct, r
@@ -381,9 +381,7 @@ SELECT n_name AS org, result, coalesce(evidence_used, 0) AS evidence_used, CASE
 def entity_comparison(spark, sf):
     f = real(spark, sf).filter(F.col("metric_code") == "DRILLING")
     res = calc.by_entity(f, dims.metrics_frame(spark), group_codes=GROUPS)
-    return an.with_spine(orgs(spark, sf), res.select("org", "result", "evidence_used"), "org",
-                         ["evidence_used"]).withColumn(
-        "note", F.when(F.col("result").isNull(), "not recorded").otherwise("recorded"))
+    return ranking.compared(res, orgs(spark, sf))
 
 
 @query("question_routes", f"""WITH {QUESTIONS}, d AS (SELECT DISTINCT question FROM questions),
@@ -854,8 +852,5 @@ def attempt_alerts(spark, sf):
 @query("running_evidence_ids", f"""WITH {FACTS} SELECT document_id, reporting_period, row_number() OVER (PARTITION BY document_id
   ORDER BY reporting_period) AS position FROM (SELECT DISTINCT document_id, reporting_period FROM facts)""")
 def running_evidence_ids(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("document_id").orderBy("reporting_period")
-    return ad.facts(spark, sf).select("document_id", "reporting_period").distinct().withColumn(
-        "position", F.row_number().over(w).cast("bigint"))
+    periods = ad.facts(spark, sf).select("document_id", "reporting_period").distinct()
+    return ranking.numbered(periods, ["document_id"], ["reporting_period"]).withColumn("position", F.col("position").cast("bigint"))

@@ -360,9 +360,10 @@ def issue_decisions(spark, sf):
 SELECT s.issue_id, CASE WHEN issue_status = 'RESOLVED' THEN 'RESOLVED'
   WHEN i.action IN ('APPROVE_ISSUE', 'RESOLVE_ISSUE') THEN 'RESOLVED'
   WHEN i.action = 'DISMISS_ISSUE' THEN 'SUPERSEDED'
-  WHEN s.fact_id IN (SELECT fact_id FROM eff WHERE action <> 'APPROVE_ISSUE') THEN 'RESOLVED'
+  WHEN by_fact IS NOT NULL THEN 'RESOLVED'
   WHEN i.action = 'ASSIGN_ISSUE' THEN 'ASSIGNED' ELSE issue_status END AS issue_status
-FROM state s LEFT JOIN idec i USING (issue_id)""")
+FROM state s LEFT JOIN idec i USING (issue_id)
+LEFT JOIN (SELECT DISTINCT fact_id AS by_fact FROM eff WHERE action <> 'APPROVE_ISSUE') b ON by_fact = s.fact_id""")
 def close_issues(spark, sf):
     return review.close_issues(issue_state(spark, sf), issue_decisions(spark, sf)).select(
         "issue_id", "issue_status")
