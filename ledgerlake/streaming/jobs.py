@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from ledgerlake.sources.folders import shared_folder  # noqa: F401
 from ledgerlake.streaming.ingest import IncrementalIngest
 
+FILES = 64  # files a batch
 
 def read_file_stream(spark: SparkSession, directory: str, table: str) -> DataFrame:
-    """A table file as stream, with the schema of the static table."""
+    """A table as stream, with the schema of the static table; it may be one file or a folder of files."""
     schema = spark.read.parquet(f"{directory}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(directory))
+    # a file stream takes a folder or a pattern, no single file; this pattern fits that name alone
+    name = f"[{table[0]}]{table[1:]}.parquet"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{directory}/{name}")
 
 
 def run_available(stream: DataFrame, folder: str, mode: str,

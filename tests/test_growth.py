@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators import index as ix
 from ledgerlake.operators import retrieve
+from ledgerlake.plans import streams
 
 
 def test_block_without_a_possible_member_of_the_result(spark):
@@ -27,3 +28,17 @@ def test_postings_of_a_block(spark):
     got = {r["token"]: (r["slots"], r["counts"], r["most"]) for r in index.postings.collect()}
     assert got == {"coal": ([0], [2], 2), "ore": ([0, 3], [1, 1], 1), "ore x": ([3], [1], 1)}
     assert sorted(r[0] for r in index.vocabulary.collect()) == ["coal", "ore", "ore x"]
+
+
+def test_streams_read_a_table_of_many_files(spark, tmp_path):
+    """A table may be a folder; it may also be one file beside those of other tables."""
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text"))
+    rows.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    got = streams.stream_distinct_documents(spark, str(tmp_path))
+    want = rows.select(F.sha2("text", 256)).distinct()
+    assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in want.collect())
+    one = tmp_path / "one" / "documents.parquet"
+    one.parent.mkdir()
+    rows.toPandas().to_parquet(one)
+    rows.write.parquet(str(tmp_path / "one" / "pages.parquet"))
+    assert streams.stream_distinct_documents(spark, str(one.parent)).count() == 7
