@@ -46,14 +46,31 @@ def with_keys(facts: DataFrame) -> DataFrame:
     return facts.withColumns({"dedup_key": key, "source_hash": F.sha2(source, 256)})
 
 
+def latest(new: DataFrame) -> DataFrame:
+    """The last row per upsert key, by created_at and fact_id."""
+    w = Window.partitionBy(*UPSERT_KEYS).orderBy(F.col("created_at").desc(), F.col("fact_id").desc())
+    return new.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def upsert_unique(ledger: DataFrame, new: DataFrame, updated: list[str]) -> DataFrame:
+    """As upsert_facts, for a ledger with one row per key: both sides are shuffled once, together."""
+    both = ledger.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+    w = Window.partitionBy(*UPSERT_KEYS).orderBy(F.col("_new").desc(), F.col("created_at").desc(), F.col("fact_id").desc())
+    kept = [c for c in ledger.columns if c not in updated and c not in UPSERT_KEYS]
+    # the row of the ledger comes last; of a key that is in `new` only, no other row counts than the first
+    old = F.last(F.struct("_new", *kept)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = both.withColumn("_old", old).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+    return rows.select(*[F.when(F.col("_old._new"), F.col(c)).otherwise(F.col(f"_old.{c}")).alias(c) if c in kept else F.col(c)
+                         for c in ledger.columns])
+
+
 def upsert_facts(ledger: DataFrame, new: DataFrame, updated: list[str]) -> DataFrame:
     """Ledger after new rows were written on (document, metric, period, organisation, page, cell,
     row). NULL equals NULL. `updated` columns come from the new row; a new key is appended.
 
     New rows are made unique first (last by created_at, fact_id), so that reruns give the same.
     """
-    w = Window.partitionBy(*UPSERT_KEYS).orderBy(F.col("created_at").desc(), F.col("fact_id").desc())
-    fresh = new.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    fresh = latest(new)
     n = fresh.select(*[F.col(c).alias(f"n_{c}") for c in fresh.columns])
     cond = None
     for k in UPSERT_KEYS:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import index as ix
-from ledgerlake.operators import retrieve
+from ledgerlake.operators import conflicts, merge, retrieve
 from ledgerlake.plans import streams
 
 
@@ -42,3 +42,33 @@ def test_streams_read_a_table_of_many_files(spark, tmp_path):
     rows.toPandas().to_parquet(one)
     rows.write.parquet(str(tmp_path / "one" / "pages.parquet"))
     assert streams.stream_distinct_documents(spark, str(one.parent)).count() == 7
+
+
+def test_upsert_in_one_shuffle(spark, ledger):
+    """As the join does it: NULL keys meet, columns that are not updated stay, the last new row counts."""
+    updated = ["numeric_value", "validation_status"]
+    old = ledger(dict(fact_id="a", numeric_value=1.0, unit="t"), dict(fact_id="b", org=None, unit=None), dict(fact_id="c", row_number=3))
+    new = ledger(dict(fact_id="d", numeric_value=2.0, unit="kg"), dict(fact_id="e", numeric_value=3.0), dict(fact_id="f", org=None, unit="kg"),
+                 dict(fact_id="g", row_number=9, unit=None), dict(fact_id="h", row_number=9, numeric_value=None, unit="x"))
+    got = sorted(map(str, merge.upsert_unique(old, new, updated).collect()))
+    assert got == sorted(map(str, merge.upsert_facts(old, new, updated).collect())) and len(got) == 4
+    plan = merge.upsert_unique(old, new, updated)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_stored_witnesses(spark, ledger, tmp_path):
+    """Contradictions by witnesses that are stored step by step equal those in one plan."""
+    facts = ledger(*[dict(document_id=f"d{i % 3}", numeric_value=float(v), site=f"s{i}")
+                     for i, v in enumerate([10, 10, 20, 30, 10, 20, 40, 10])],
+                   dict(org=None, numeric_value=5.0), dict(numeric_value=None), dict(metric_code="UNMAPPED"))
+
+    def store(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    marked = conflicts.with_partner(facts, conflicts.witnesses(facts, store=store))
+    assert marked.count() == 11
+    got = conflicts.partner_conflicts(marked.filter("partner IS NOT NULL"))
+    want = conflicts.contradictions(facts)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
