@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.operators.scope import all_of
+from ledgerlake.sources.folders import shared_folder
 
 SEARCHED = ["metric_name", "metric_code", "site", "field", "source_context"]
 
@@ -91,11 +92,16 @@ def page_of(df: DataFrame, order: Order, page: int = 1, size: int = 50) -> DataF
             .withColumn("total", F.lit(total)))
 
 
-def listed(df: DataFrame, equal: dict, order: Order, page: int | None, size: int) -> DataFrame:
-    """Rows by equality filters (None: any; a list: one of them), all of them or one page."""
+def listed(df: DataFrame, equal: dict, order: Order, page: int | None, size: int, stored: bool = False) -> DataFrame:
+    """Rows by equality filters (None: any; a list: one of them), all of them or one page. A page reads the rows
+    four times; `stored` writes them first, for rows that are dear to work out."""
     conds = [F.col(c).isin(*v) if isinstance(v, list) else F.col(c) == v for c, v in equal.items() if v is not None]
     rows = df.filter(all_of(conds))
     if page is not None:
+        if stored:
+            folder = shared_folder(df.sparkSession, "listed")
+            rows.write.parquet(folder)
+            rows = df.sparkSession.read.parquet(folder)
         return page_of(rows, order, page, size)
     return rows.orderBy(*[F.col(c).desc() if d else F.col(c).asc() for c, d in order])
 
@@ -109,7 +115,7 @@ def list_documents(docs: DataFrame, name: str | None = None, status: str | None
 
 def list_conflicts(conflicts: DataFrame, status: str | None = None, org: str | None = None, page: int | None = None, size: int = 50) -> DataFrame:
     """Newest first."""
-    return listed(conflicts, {"status": status, "org": org}, [("created_at", True), ("conflict_id", False)], page, size)
+    return listed(conflicts, {"status": status, "org": org}, [("created_at", True), ("conflict_id", False)], page, size, True)
 
 
 def list_audit(audit: DataFrame, action: str | None = None, entity_type: str | None = None, page: int | None = None, size: int = 50) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import index as ix
-from ledgerlake.operators import conflicts, merge, retrieve
+from ledgerlake.operators import conflicts, merge, retrieve, search
 from ledgerlake.plans import streams
 
 
@@ -72,3 +72,12 @@ def test_stored_witnesses(spark, ledger, tmp_path):
     want = conflicts.contradictions(facts)
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+
+
+def test_page_of_conflicts_works_them_out_once(spark, ledger):
+    facts = ledger(*[dict(document_id=f"d{i}", numeric_value=10.0 * (i + 1)) for i in range(6)])
+    found = conflicts.contradictions(facts)
+    page = search.list_conflicts(found, org="SECL", page=2, size=2)
+    want = [r["conflict_id"] for r in found.orderBy(F.col("created_at").desc(), "conflict_id").collect()]
+    assert [(r["conflict_id"], r["total"]) for r in page.collect()] == [(c, 5) for c in want[2:4]]
+    assert all("listed-" in f for f in page.inputFiles()) and page.inputFiles()
