@@ -22,6 +22,7 @@ from ledgerlake.plans.registry import query
 from ledgerlake.plans.sqlparts import FACTS, protection, sum_result, values
 
 from ledgerlake.sources import adapters as ad
+from ledgerlake.sources.folders import shared_folder
 
 ROOT = "GROUP"
 
@@ -397,11 +398,15 @@ def question_routes(spark, sf):
 
 
 def _tagged(spark, sf):
-    """Questions with intent, entities, period and route; each distinct text is worked out once."""
+    """Questions with intent, entities, period and route; each distinct text is worked out once and stored, or
+    every filter on a tag and every branch below would work all tags out again."""
     qs = ad.questions(spark, sf).select("question_id", "question")
-    done = qs.select("question").distinct().withColumn(
-        "tags", vocab.question_tags(F.col("question"))).withColumn("route", claims.route(F.col("tags")))
-    return qs.join(done, "question").select("question_id", "question", "tags.*", "route")
+    folder = shared_folder(spark, "tags")
+    # few bytes but much work: spread by number, not by size
+    pieces = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    (qs.select("question").distinct().repartition(pieces).withColumn("tags", vocab.question_tags(F.col("question")))
+     .withColumn("route", claims.route(F.col("tags"))).write.parquet(folder))
+    return qs.join(spark.read.parquet(folder), "question").select("question_id", "question", "tags.*", "route")
 
 
 @query("answer_questions")

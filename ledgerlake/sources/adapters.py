@@ -6,6 +6,8 @@ Joins with suppliers are left to the planner: it broadcasts the side only when i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,12 +152,16 @@ def questions(spark: SparkSession, directory: str) -> DataFrame:
     def pick(values: list[str], step: Column) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), (step % len(values) + 1).cast("int"))
 
+    def one_of(texts: list[Column], step: Column) -> Column:
+        """As pick, but only the chosen text is put together."""
+        return reduce(lambda w, i: w.when(step % len(texts) == i, texts[i]), range(1, len(texts)), F.when(step % len(texts) == 0, texts[0]))
+
     org = pick(Q_ORGS, c)
     metric = pick(Q_METRICS, k)
     year = F.year("o_orderdate") + 20
     short = F.lpad(((year + 1) % 100).cast("string"), 2, "0")
     ys = year.cast("string")
-    period = F.element_at(F.array(
+    period = one_of([
         F.concat(F.lit("FY "), ys, F.lit("-"), short),
         F.concat(ys, F.lit("-"), short),
         F.concat(ys, F.lit("/"), short),
@@ -164,10 +170,10 @@ def questions(spark: SparkSession, directory: str) -> DataFrame:
         F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string"), F.lit(" FY "), ys,
                  F.lit("-"), short),
         F.concat(F.date_format("o_orderdate", "MMMM"), F.lit(" "), ys),
-        F.lit("last year")), (c % 8 + 1).cast("int"))
+        F.lit("last year")], c)
     number = F.concat(F.floor(F.col("o_totalprice") / 1000).cast("string"), F.lit("."),
                       (k % 10).cast("string"))
-    text = F.element_at(F.array(
+    text = one_of([
         F.concat(F.lit("What was "), org, F.lit(" "), metric, F.lit(" in "), period, F.lit("?")),
         F.concat(F.lit("Verify claim: "), org, F.lit(" "), metric, F.lit(" was "), number,
                  F.lit(" MT in "), period),
@@ -181,7 +187,7 @@ def questions(spark: SparkSession, directory: str) -> DataFrame:
         F.lit("hello there"),
         F.concat(F.lit("Summarize the report of "), org),
         F.concat(F.lit("Prepare a Lok Sabha answer on "), metric),
-        F.concat(F.lit("Where does this figure come from: "), number)), (k % 12 + 1).cast("int"))
+        F.concat(F.lit("Where does this figure come from: "), number)], k)
     return o.select(
         k.alias("question_id"), c.alias("user_id"), F.col("o_orderdate").alias("asked_on"),
         org.alias("org_text"), metric.alias("metric_text"), period.alias("period_text"),

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators import index as ix
 from ledgerlake.operators import conflicts, merge, retrieve, search
-from ledgerlake.plans import streams
+from ledgerlake.plans import insight, streams
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_block_without_a_possible_member_of_the_result(spark):
@@ -81,3 +83,10 @@ def test_page_of_conflicts_works_them_out_once(spark, ledger):
     want = [r["conflict_id"] for r in found.orderBy(F.col("created_at").desc(), "conflict_id").collect()]
     assert [(r["conflict_id"], r["total"]) for r in page.collect()] == [(c, 5) for c in want[2:4]]
     assert all("listed-" in f for f in page.inputFiles()) and page.inputFiles()
+
+
+def test_tags_of_questions_are_worked_out_once(spark):
+    """A filter on a tag reads the stored tags; the rules would else run once per filter and branch."""
+    tagged = insight._tagged(spark, SMALL).filter("route = 'LOOKUP' AND metric_code IS NOT NULL")
+    assert any("tags-" in f for f in tagged.inputFiles())
+    assert "regex" not in tagged._jdf.queryExecution().optimizedPlan().toString().lower()
