@@ -3,7 +3,7 @@
 `calculate` never materialises the included set. After exact duplicates are gone the rows are summed
 up per conflict bucket (map-side combined), then per fiscal-year key, then per scope; the group-total
 and the annual-versus-parts rule are conditional sums on these small partial results. Four shuffles,
-each smaller than the one before, one scan and no join.
+each smaller than the one before; facts without stored period keys are read once more for their period texts.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from ledgerlake import dims
 from ledgerlake.functions.exact import WIDE, exact_sum, not_held, quotient
 from ledgerlake.functions.text import is_valid_number
 from ledgerlake.operators.protect import (
-    DUP_KEYS, YEAR_KEYS, unique, upper_or_empty, with_protection_keys)
+    DUP_KEYS, YEAR_KEYS, unique, upper_or_empty, with_period_keys, with_protection_keys)
 from ledgerlake.operators.scope import apply_scopes
 
 OPS = ["SUM", "AVG", "WAVG", "MIN", "MAX", "COUNT", "LATEST"]
@@ -267,6 +267,7 @@ def trend(facts: DataFrame, metrics: DataFrame, per_org: bool = False,
 
     Scopes are the distinct `FY…` periods; group totals are excluded when no entity is given.
     """
+    facts = with_period_keys(facts)  # before a fact falls into several scopes
     periods = facts.filter(F.col("reporting_period").like("FY%"))
     scopes = (periods.select("metric_code", F.col("reporting_period").alias("period")).distinct()
               .withColumn("scope_id", F.col("period")))

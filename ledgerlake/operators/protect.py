@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlake import dims
 from ledgerlake.functions.period import fy_key, infer_grain, period_key
 from ledgerlake.functions.text import let
+from ledgerlake.sources.folders import shared_folder
 
 EXACT, GROUP, TEMPORAL = "EXACT_DUPLICATE", "CONSOLIDATED_OVERLAP", "TEMPORAL_OVERLAP"
 
@@ -31,17 +32,24 @@ def upper_or_empty(c: Column) -> Column:
 
 def with_period_keys(facts: DataFrame) -> DataFrame:
     """Keys that depend on period and grain only. Stored with the ledger, they are computed once at
-    ingest; a frame that has them already is returned as it is."""
+    ingest; a frame that has them already is returned as it is. Else the text rules run once per distinct
+    period text, and the facts meet that stored dictionary; a stream has no such pass and works them out row by row."""
     if "k_fy" in facts.columns:
         return facts
     keys = let(F.col("reporting_period"), lambda p: F.struct(
         period_key(p).alias("k_period"), fy_key(p).alias("k_fy"), infer_grain(p).alias("k_grain")))
     given = F.coalesce(F.col("temporal_grain"), F.lit("")) != ""
-    return (facts.withColumn("_k", keys)
-            .withColumns({"k_period": F.col("_k.k_period"), "k_fy": F.col("_k.k_fy"),
-                          "k_grain": F.when(given, F.upper("temporal_grain"))
-                          .otherwise(F.col("_k.k_grain"))})
-            .drop("_k"))
+    if facts.isStreaming:
+        keyed = facts.withColumn("_k", keys)
+    else:
+        # stored, so that the planner knows the size of the dictionary
+        folder = shared_folder(facts.sparkSession, "periods")
+        facts.select("reporting_period").distinct().select(
+            F.col("reporting_period").alias("_text"), keys.alias("_k")).write.parquet(folder)
+        keyed = facts.join(facts.sparkSession.read.parquet(folder), F.col("reporting_period").eqNullSafe(F.col("_text")), "left").drop("_text")
+    return keyed.withColumns({
+        "k_period": F.col("_k.k_period"), "k_fy": F.col("_k.k_fy"),
+        "k_grain": F.when(given, F.upper("temporal_grain")).otherwise(F.col("_k.k_grain"))}).drop("_k")
 
 
 def with_protection_keys(facts: DataFrame, group_codes: list[str] = dims.GROUP_TOTALS) -> DataFrame:

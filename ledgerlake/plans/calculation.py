@@ -267,7 +267,7 @@ SELECT scopes.scope_id, scopes.metric_code, coalesce(success, FALSE) AS success,
 FROM scopes LEFT JOIN calc USING (scope_id)""")
 def calculate_scopes(spark, sf):
     """Every (metric, organisation, period) asked for at once; one fact serves several scopes."""
-    f, s = ad.facts(spark, sf), _scopes(spark, sf)
+    f, s = protect.with_period_keys(ad.facts(spark, sf)), _scopes(spark, sf)
     scoped = scope.apply_scopes(f, s, ["metric_code", "org"], ("year", "text"))
     res = calc.calculate(scoped.filter(~F.col("is_demo")), dims.metrics_frame(spark), "SUM",
                          ["scope_id", "metric_code"], group_codes=GROUPS)

@@ -425,7 +425,7 @@ def answer_questions(spark, sf):
               .select("metric_code", F.col("ledger_org").alias("org"), "period").distinct()
               .withColumn("scope_id", F.concat_ws("|", "metric_code", "org",
                                                   F.coalesce("period", F.lit("*")))))
-    scoped = scope.apply_scopes(real(spark, sf), scopes, ["metric_code", "org"])
+    scoped = scope.apply_scopes(protect.with_period_keys(real(spark, sf)), scopes, ["metric_code", "org"])
     res = calc.calculate(scoped, dims.metrics_frame(spark), "SUM", ["scope_id", "metric_code"],
                          group_codes=GROUPS).select("scope_id", "result", "error_code", "evidence_used")
     key = F.when(F.col("route").isin("LOOKUP", "CLAIM"), F.concat_ws(
@@ -444,7 +444,7 @@ def answer_questions(spark, sf):
 
 
 def runs_and_inputs(spark, sf):
-    f, keys = real(spark, sf), ["metric_code"]
+    f, keys = protect.with_period_keys(real(spark, sf)), ["metric_code"]
     res = calc.calculate(f, dims.metrics_frame(spark), "SUM", keys, group_codes=GROUPS)
     lab = protect.label_exclusions(f, scope_keys=keys, group_codes=GROUPS)
     return lineage.run_rows(res, keys, "batch"), lineage.input_rows(lab, keys)
@@ -498,7 +498,7 @@ RUN_DAYS = [f"{y}-{m:02d}-01" for y in (1995, 1996, 1997) for m in (1, 4, 7, 10)
 def run_log(spark, sf):
     """Twelve runs over the drilling facts known at their time, worked out at once."""
     days = F.array(*[F.lit(d).cast("timestamp") for d in RUN_DAYS])
-    known = real(spark, sf).filter("metric_code = 'DRILLING'").withColumn(
+    known = protect.with_period_keys(real(spark, sf).filter("metric_code = 'DRILLING'")).withColumn(
         "run_at", F.explode(F.filter(days, lambda d: d > F.col("created_at"))))
     keys = ["metric_code", "run_at"]
     runs = lineage.run_rows(calc.calculate(known, dims.metrics_frame(spark), "SUM", keys, group_codes=GROUPS), keys, "batch")

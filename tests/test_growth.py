@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from ledgerlake.functions import period
 from ledgerlake.operators import index as ix
-from ledgerlake.operators import conflicts, merge, retrieve, search
+from ledgerlake.operators import conflicts, merge, protect, retrieve, search
 from ledgerlake.plans import insight, streams
 
 SMALL = "/root/testdata/sf0.001"
@@ -90,3 +91,17 @@ def test_tags_of_questions_are_worked_out_once(spark):
     tagged = insight._tagged(spark, SMALL).filter("route = 'LOOKUP' AND metric_code IS NOT NULL")
     assert any("tags-" in f for f in tagged.inputFiles())
     assert "regex" not in tagged._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_period_rules_run_once_per_text(spark, ledger):
+    """Keys come from a stored dictionary of the distinct texts; NULL has keys too, a given grain wins."""
+    texts = ["FY 2024-25", "Q2 FY 2024-25", "Apr 2024", "", None, "2024–25", "x"]
+    facts = ledger(*[dict(reporting_period=t, temporal_grain=g) for t in texts for g in (None, "", "monthly")])
+    keyed = protect.with_period_keys(facts)
+    assert any("periods-" in f for f in keyed.inputFiles())
+    p = F.col("reporting_period")
+    grain = F.when(F.coalesce("temporal_grain", F.lit("")) != "", F.upper("temporal_grain")).otherwise(period.infer_grain(p))
+    want = facts.withColumns({"k_period": period.period_key(p), "k_fy": period.fy_key(p), "k_grain": grain})
+    assert keyed.columns == want.columns
+    assert sorted(map(str, keyed.collect())) == sorted(map(str, want.collect()))
+    assert protect.with_period_keys(keyed) is keyed
