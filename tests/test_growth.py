@@ -105,3 +105,14 @@ def test_period_rules_run_once_per_text(spark, ledger):
     assert keyed.columns == want.columns
     assert sorted(map(str, keyed.collect())) == sorted(map(str, want.collect()))
     assert protect.with_period_keys(keyed) is keyed
+
+
+def test_topics_read_a_chunk_once(spark):
+    """Occurrences as replacing a keyword counts them, without one pass over the text per keyword."""
+    texts = ["Power plants power plantsaaaa", "aaa aa", "", None, "coal COALücoal€", "none"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    topics = {"A": ["power plants", "plants", "aa"], "B": ["coal", "aa", "oal€"], "C": ["zzz"]}
+    got = retrieve.topic_mentions(chunks, topics)
+    count = {(i, t): sum((x or "").lower().count(w) for w in ws) for i, x in enumerate(texts) for t, ws in topics.items()}
+    assert {(r.chunk_id, r.topic): r.n for r in got.collect()} == {k: n for k, n in count.items() if n}
+    assert "replace" not in got._jdf.queryExecution().executedPlan().toString().lower()
