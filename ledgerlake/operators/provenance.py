@@ -38,11 +38,13 @@ def citations(facts: DataFrame, documents: DataFrame) -> DataFrame:
         fact_location().alias("location"), "confidence_score", "human_verified")
 
 
-def dossiers(facts: DataFrame, documents: DataFrame, statuses: DataFrame) -> DataFrame:
-    """Source, location, raw, normalised, extraction and validation parts of every fact as structs."""
-    s = statuses.select("fact_id", "conflict_status")
+def dossiers(facts: DataFrame, documents: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
+    """Source, location, raw, normalised, extraction and validation parts of every fact as structs. Facts that have
+    their conflict_status already need no `statuses`, and meet nothing by their id."""
     d = documents.select("document_id", "document_name", "file_type")
-    j = facts.join(d, "document_id", "left").join(s, "fact_id", "left")
+    j = facts.join(d, "document_id", "left")
+    if statuses is not None:
+        j = j.join(statuses.select("fact_id", "conflict_status"), "fact_id", "left")
     parser = F.when(F.col("cell_reference").isNotNull(), "Deterministic Table / Cell Parser").otherwise(
         "Structured Layout Extractor")
     return j.select(

@@ -537,7 +537,7 @@ SELECT fact_id, {CITED} AS document_name, coalesce({LOCATION}, 'Precise coordina
 def fact_dossiers(spark, sf):
     f = ad.facts(spark, sf)
     status = cf.conflict_status(f, cf.contradictions(f))
-    return provenance.dossiers(f, ad.report_documents(spark, sf), status).select(
+    return provenance.dossiers(status, ad.report_documents(spark, sf)).select(
         "fact_id", "source.document_name", "location.summary", "extraction.parser",
         "validation.conflict_status")
 
@@ -707,7 +707,7 @@ SELECT fact_id, numeric_value AS raw_value, coalesce(actions, 0) AS actions, coa
 FROM facts LEFT JOIN r USING (fact_id) LEFT JOIN u USING (fact_id) LEFT JOIN c USING (fact_id)""")
 def full_dossiers(spark, sf):
     f = ad.facts(spark, sf)
-    base = provenance.dossiers(f, ad.report_documents(spark, sf), cf.conflict_status(f, cf.contradictions(f)))
+    base = provenance.dossiers(cf.conflict_status(f, cf.contradictions(f)), ad.report_documents(spark, sf))
     runs, inputs = run_log(spark, sf)
     used = inputs.filter("role = 'INCLUDED'").join(runs.select("run_id", "run_at"), "run_id")
     c, links = claim_links(spark, sf)

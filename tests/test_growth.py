@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import period
 from ledgerlake.operators import index as ix
-from ledgerlake.operators import conflicts, merge, protect, retrieve, search
+from ledgerlake.operators import conflicts, merge, protect, provenance, retrieve, search
 from ledgerlake.plans import insight, streams
 
 SMALL = "/root/testdata/sf0.001"
@@ -116,3 +116,12 @@ def test_topics_read_a_chunk_once(spark):
     count = {(i, t): sum((x or "").lower().count(w) for w in ws) for i, x in enumerate(texts) for t, ws in topics.items()}
     assert {(r.chunk_id, r.topic): r.n for r in got.collect()} == {k: n for k, n in count.items() if n}
     assert "replace" not in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_dossiers_meet_the_status_once(spark, ledger):
+    facts = ledger(*[dict(document_id=f"d{i}", numeric_value=10.0 * (i + 1)) for i in range(4)], dict(document_id=None))
+    documents = spark.createDataFrame([("d1", "one.pdf", "PDF")], "document_id string, document_name string, file_type string")
+    status = conflicts.conflict_status(facts, conflicts.contradictions(facts))
+    got = provenance.dossiers(status, documents)
+    assert sorted(map(str, got.collect())) == sorted(map(str, provenance.dossiers(facts, documents, status).collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2  # documents and conflicts
