@@ -46,17 +46,20 @@ def with_keys(facts: DataFrame) -> DataFrame:
     return facts.withColumns({"dedup_key": key, "source_hash": F.sha2(source, 256)})
 
 
-def latest(new: DataFrame) -> DataFrame:
-    """The last row per upsert key, by created_at and fact_id."""
-    w = Window.partitionBy(*UPSERT_KEYS).orderBy(F.col("created_at").desc(), F.col("fact_id").desc())
+def latest(new: DataFrame, first: list[str] = ()) -> DataFrame:
+    """The last row per upsert key, by created_at and fact_id. `first`: columns that follow from the key; rows are
+    placed by them and sorted by them first."""
+    new = new.repartition(*first) if first else new
+    w = Window.partitionBy(*first, *UPSERT_KEYS).orderBy(F.col("created_at").desc(), F.col("fact_id").desc())
     return new.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def upsert_unique(ledger: DataFrame, new: DataFrame, updated: list[str]) -> DataFrame:
-    """As upsert_facts, for a ledger with one row per key: both sides are shuffled once, together."""
+def upsert_unique(ledger: DataFrame, new: DataFrame, updated: list[str], first: list[str] = ()) -> DataFrame:
+    """As upsert_facts, for a ledger with one row per key: both sides are shuffled once, together. `first` as in `latest`."""
     both = ledger.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
-    w = Window.partitionBy(*UPSERT_KEYS).orderBy(F.col("_new").desc(), F.col("created_at").desc(), F.col("fact_id").desc())
-    kept = [c for c in ledger.columns if c not in updated and c not in UPSERT_KEYS]
+    both = both.repartition(*first) if first else both
+    w = Window.partitionBy(*first, *UPSERT_KEYS).orderBy(F.col("_new").desc(), F.col("created_at").desc(), F.col("fact_id").desc())
+    kept = [c for c in ledger.columns if c not in (*updated, *first, *UPSERT_KEYS)]
     # the row of the ledger comes last; of a key that is in `new` only, no other row counts than the first
     old = F.last(F.struct("_new", *kept)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = both.withColumn("_old", old).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")

@@ -6,6 +6,7 @@ from ledgerlake.functions import period
 from ledgerlake.operators import index as ix
 from ledgerlake.operators import conflicts, merge, protect, provenance, retrieve, search
 from ledgerlake.plans import insight, streams
+from ledgerlake.streaming import ingest
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -125,3 +126,21 @@ def test_dossiers_meet_the_status_once(spark, ledger):
     got = provenance.dossiers(status, documents)
     assert sorted(map(str, got.collect())) == sorted(map(str, provenance.dossiers(facts, documents, status).collect()))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2  # documents and conflicts
+
+
+def test_batch_of_new_periods_meets_no_old_rows(spark, ledger, tmp_path):
+    """Only buckets with rows of the batch's periods are written again; a fact without a time arrived first."""
+    job = ingest.IncrementalIngest(spark, str(tmp_path), ["numeric_value", "validation_status"])
+
+    def batch(period, *values):
+        return ledger(*[dict(reporting_period=period, document_id=f"d{v}", numeric_value=float(v), fact_id=f"{period}-{v}", org=o)
+                        for v in values for o in ("SECL", "NCL")])
+    old = batch("FY 2023-24", 10, 20)
+    job.process(old, 0)
+    held = {(r.kind, r.bucket): r.path for r in job.manifest().collect()}
+    new = batch("FY 2024-25", 30, 40).withColumn("created_at", F.when(F.col("document_id") != "d40", F.col("created_at")))
+    job.process(new, 1)
+    now = {(r.kind, r.bucket): r.path for r in job.manifest().filter("version = 1").collect()}
+    assert {k: now[k] for k in held} == held and {k for k, _ in now} == {"ledger", "witnesses"}
+    assert sorted(map(str, job.conflicts().collect())) == sorted(map(str, conflicts.contradictions(old.unionByName(new)).collect())) != []
+    assert job.issues().count() == conflicts.check_rules(old.unionByName(new)).count()
