@@ -157,3 +157,33 @@ def test_contradictions_shuffle_no_facts(spark, ledger):
         want = conflicts.with_partner(f, conflicts.witnesses(f)).filter("partner IS NOT NULL")
         assert sorted(map(str, got.collect())) == sorted(map(str, conflicts.partner_conflicts(want).collect())) != []
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+KEYWORD_TEXTS = ["Grün Kohle/abc coalfield", "kohle\u00a0grün", "COAL fiel\td", None, "", "x" * 90 + "coal", "demo coal", "coal" * 9]
+
+
+def keyword_case(spark):
+    chunks = spark.createDataFrame([(i, t, None, "f", "s", {6: True, 7: None}.get(i, False)) for i, t in enumerate(KEYWORD_TEXTS)],
+                                   "chunk_id long, content string, organization string, file_name string, section string, is_demo boolean")
+    asked = {"a": "coal field", "b": "Grün Kohle", "c": "abc", "d": "unknown words coal", "e": None, "f": "fiel coalfield"}
+    terms = {"a": ["coal", "field"], "b": ["grün", "kohle"], "d": ["unknown", "words", "coal"], "f": ["fiel", "coalfield"]}
+    want = {(q, i) for q, ts in terms.items() for i, x in enumerate(KEYWORD_TEXTS[:6]) for t in ts if t in (x or "").lower()}
+    return spark.createDataFrame(list(asked.items()), "query_id string, text string"), chunks, want
+
+
+def test_keywords_read_the_chunks_once(spark, monkeypatch):
+    """No index is written for queries that are asked once; several rounds and forgotten tokens change nothing."""
+    queries, chunks, want = keyword_case(spark)
+    monkeypatch.setattr(ix, "build_index", None)
+    got = retrieve.keyword_chunks(queries, chunks)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 8
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ix, "KNOWN", 1)
+    assert sorted(map(tuple, ix.texts_asked(queries, chunks, None, 4, most=2)[0].collect())) == sorted(want)
+    assert retrieve.keyword_chunks(queries.limit(0), chunks).collect() == []
+
+
+def test_chunks_of_documents_are_not_joined(spark):
+    """Pages keep the columns of their document; the text is shuffled by the spreading of the scan alone."""
+    plan = insight.chunks(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
