@@ -187,3 +187,11 @@ def test_chunks_of_documents_are_not_joined(spark):
     """Pages keep the columns of their document; the text is shuffled by the spreading of the scan alone."""
     plan = insight.chunks(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_keyword_hits_are_counted_in_one_pass(spark, monkeypatch):
+    queries, chunks, want = keyword_case(spark)
+    monkeypatch.setattr(ix, "build_index", None)
+    got = retrieve.keyword_counts(queries, chunks)
+    assert {r.query_id: r.hits for r in got.collect()} == {q: sum(x == q for x, _ in want) for q, _ in want}
+    assert retrieve.keyword_confidence(retrieve.keyword_counts(queries.limit(0), chunks)).collect() == []
