@@ -24,6 +24,13 @@ def norm_org(name: Column) -> Column:
         clean != "", F.coalesce(_lookup(codes, F.lower(clean)), clean)))
 
 
+def table_org(name: Column) -> Column:
+    """norm_org of a name where that is one of the organisations of tables, else NULL."""
+    codes = {a: c for a, c, _ in dims.ORGS} | {c.lower(): c for c in dims.ORG_CODES}
+    known = {a: c for a, c in codes.items() if c in dims.TABLE_ORG_CODES}
+    return let(F.lower(F.trim(name)), lambda low: F.when(low.isin(*known), _lookup(known, low)))
+
+
 def is_table_org(name: Column) -> Column:
     return F.coalesce(norm_org(name).isin(*dims.TABLE_ORG_CODES), F.lit(False))
 

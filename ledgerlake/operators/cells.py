@@ -43,6 +43,24 @@ def melt_cells(df: DataFrame, columns: list[str], extra: list[str] = ()) -> Data
         .alias("cell_reference"), F.coalesce("c.value", F.lit("")).alias("value"))
 
 
+def rows_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Wide rows (document_id, sheet_name, row_number, columns...) as rows of cells: layout (column_number and
+    column_name of each) and cells (cell_reference and value of each). No shuffle, and no row per cell."""
+    layout = F.array(*[F.struct(F.lit(i + 1).alias("column_number"), F.lit(c).alias("column_name")) for i, c in enumerate(columns)])
+    cells = F.array(*[
+        F.struct(F.concat(a1_column(F.lit(i + 1)), F.col("row_number").cast("string")).alias("cell_reference"),
+                 F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias("value")) for i, c in enumerate(columns)])
+    return df.select(*SHEET, "row_number", layout.alias("layout"), cells.alias("cells"))
+
+
+def gathered_rows(cells: DataFrame) -> DataFrame:
+    """Single cells as rows of cells, from left to right; only the cells as they are get shuffled."""
+    of = F.sort_array(F.collect_list(F.struct("column_number", "column_name", "cell_reference", "value")))
+    return cells.groupBy(*SHEET, "row_number").agg(of.alias("x")).select(
+        *SHEET, "row_number", F.transform("x", lambda c: F.struct(c["column_number"].alias("column_number"), c["column_name"].alias("column_name"))).alias("layout"),
+        F.transform("x", lambda c: F.struct(c["cell_reference"].alias("cell_reference"), c["value"].alias("value"))).alias("cells"))
+
+
 def filled(value: Column) -> Column:
     return F.trim(F.coalesce(value, F.lit(""))) != ""
 

@@ -10,8 +10,9 @@ from ledgerlake.functions import scoring
 from ledgerlake.functions.period import extract_period, norm_period
 from ledgerlake.functions.text import any_of, blank_to_null, has_any, let, parse_number
 from ledgerlake.functions.vocab import (
-    default_unit, extract_entities, is_table_org, metric_name, norm_metric, norm_org, unit_or_null)
-from ledgerlake.operators.cells import SHEET
+    default_unit, extract_entities, is_table_org, metric_name, norm_metric, norm_org, table_org, unit_or_null)
+from ledgerlake.operators.cells import SHEET, gathered_rows
+from ledgerlake.sources.folders import shared_folder
 
 
 ROLES = ["metric", "value", "unit", "period", "org", "site"]
@@ -35,17 +36,16 @@ def column_roles(names: DataFrame) -> DataFrame:
             .select(*SHEET, "role", "c.column_number", "c.column_name"))
 
 
-def _headers(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per column: role, metric, period, unit. Per sheet: period and organisation of the headers.
-
-    Column names repeat over rows, so everything derived from them is worked out once per column."""
-    # Counted rather than made distinct, and without a filter on the role: the optimiser would drop
-    # the distinct below a maximum, or push the filter below it, and test every cell for its role.
-    names = header_roles(cells.groupBy(*SHEET, "column_number", "column_name").agg(
-        F.count("*").alias("n_cells")))
+def _layout_heads(rows: DataFrame) -> DataFrame:
+    """Per sheet and layout: what each column says by its header, the places of the roles, and period and organisation
+    of all headers of the sheet. Layouts repeat over rows, so the rows are only read for their distinct ones, and both
+    tables are stored: the second is then known to be small where it is."""
+    spark = rows.sparkSession
+    rows.groupBy(*SHEET, "layout").agg(F.count("*").alias("n_rows")).write.parquet(folder := shared_folder(spark, "layouts"))
+    layouts = spark.read.parquet(folder)
+    names = header_roles(layouts.select(*SHEET, F.explode("layout").alias("c")).select(*SHEET, "c.*").distinct())
     last = names.groupBy(*SHEET).agg(*[
-        F.max(F.when((F.col("role") == r) & (F.col("n_cells") > 0), F.col("column_number")))
-        .alias(f"last_{r}") for r in ROLES])
+        F.max(F.when(F.col("role") == r, F.col("column_number"))).alias(f"last_{r}") for r in ROLES])
     is_last = any_of([F.coalesce((F.col("role") == r) & (F.col("column_number") == F.col(f"last_{r}")),
                                  F.lit(False)) for r in ROLES])
     name = F.col("column_name")
@@ -60,108 +60,115 @@ def _headers(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
         lambda x: x["column_name"]), " ")
     sheets = names.groupBy(*SHEET).agg(
         text.alias("header_text"),
-        F.min(F.when((F.col("n_cells") > 0) & is_table_org(name),
-                     F.struct("column_number", norm_org(name).alias("org"))))
-        .alias("t")).select(
+        F.min(F.when(is_table_org(name), F.struct("column_number", norm_org(name).alias("org")))).alias("t")).select(
         *SHEET, extract_period(F.col("header_text")).alias("table_period"),
         F.col("t.org").alias("table_org"))
-    return cols.drop("column_name"), sheets
+    label = F.coalesce(F.col("role").isin("org", "period", "site", "unit"), F.lit(False)) | F.col("is_first")
+    by_sheet = cols.withColumn("label", label).groupBy(*SHEET).agg(F.collect_list(F.struct(
+        "column_number", "column_name", "role", "col_metric", "col_period", "col_unit", "is_first", "period_like", "label")).alias("cols"))
+    heads = F.transform("layout", lambda c: F.get(F.filter("cols", lambda x: (x["column_number"] == c["column_number"])
+                                                          & x["column_name"].eqNullSafe(c["column_name"])), 0))
+    placed = layouts.join(by_sheet, SHEET).join(sheets, SHEET).select(
+        *SHEET, "layout", "table_period", "table_org", heads.alias("heads"))
 
+    def place(of, value) -> Column:  # -1 without one
+        return (F.array_position(F.transform("heads", of), value) - 1).cast("int")
 
-def _first(cond: Column, value: Column) -> Column:
-    """Value of the leftmost cell of a row under a condition."""
-    return F.min(F.when(cond, F.struct("column_number", value.alias("v"))))["v"]
+    placed.withColumns({f"at_{r}": place(lambda h: F.coalesce(h["role"], F.lit("")), r) for r in ROLES} | {
+        "at_first": place(lambda h: h["is_first"], F.lit(True)),
+        "period_like": F.array_compact(F.transform("heads", lambda h, i: F.when(h["period_like"], i))),
+        "asks_first": F.exists("heads", lambda h: ~h["label"] & h["col_metric"].isNull()),
+    }).write.parquet(folder := shared_folder(spark, "heads"))
+    return spark.read.parquet(folder)
 
 
 def facts_from_tables(cells: DataFrame, context: DataFrame | None = None) -> DataFrame:
-    """Facts of cell tables with named columns. `context`: document_id, g_period, g_org, g_site.
+    """Facts of cell tables with named columns, see `facts_from_rows`. Cells of one row are gathered (bounded by the
+    width of the table), so the only shuffle of data cells is by row."""
+    return facts_from_rows(gathered_rows(cells), context)
+
+
+def facts_from_rows(rows: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """Facts of tables whose rows hold their cells (`cells.rows_of`). `context`: document_id, g_period, g_org, g_site.
 
     Long tables (Metric | Value) give one fact per row, all others one per metric cell, the metric
     taken from the column header or else from the first cell of the row. Period, organisation and
-    unit fall back from column to row to headers to document. Cells of one row are gathered (bounded
-    by the width of the table), so the only shuffle of data cells is by row.
+    unit fall back from column to row to headers to document. Rows meet what the headers of their layout
+    say; all facts of a row are worked out in the row, where only the cells in question are read.
     """
-    cols, sheets = _headers(cells)
-    c = cells.join(cols, [*SHEET, "column_number"]).withColumn("val", F.trim("value"))
-    val, role = F.col("val"), F.col("role")
-    named_by = F.col("is_first") | F.coalesce(role == "metric", F.lit(False))
-    # all that depends on one cell is worked out here, before the rows are gathered: later filters
-    # on it cannot pull the expressions apart again
-    c = c.withColumns({
-        "val_org": let(norm_org(val), lambda o: F.when(o.isin(*dims.TABLE_ORG_CODES), o)),
-        "val_period": F.when((role == "period") | F.col("period_like"),
-                             F.coalesce(norm_period(val), extract_period(val))),
-        "val_metric": F.when(named_by, norm_metric(val)),
-        "val_number": parse_number(val),
-        "val_unit": F.when(val != "", unit_or_null(val))})
-
-    def cell_of(name: str) -> Column:
-        return F.max(F.when(role == name, F.struct(
-            "val", "cell_reference", "column_name", "val_metric", "val_number", "val_unit")))
-
-    rows = c.groupBy(*SHEET, "row_number").agg(
-        F.max(F.when(role == "period", F.col("val_period"))).alias("p1"),
-        _first(F.col("period_like") & F.col("val_period").isNotNull(), F.col("val_period")).alias("p2"),
-        F.max(F.when(role == "org", F.col("val_org"))).alias("o1"),
-        _first(F.col("val_org").isNotNull(), F.col("val_org")).alias("o2"),
-        F.max(F.when((role == "site") & (F.length("val") > 2), val)).alias("row_site"),
-        F.max(F.when(role == "unit", F.col("val_unit"))).alias("row_unit"),
-        F.max(F.when(F.col("is_first"), F.struct("val", "val_metric"))).alias("f"),
-        cell_of("metric").alias("m"), cell_of("value").alias("v"),
-        F.collect_list(F.struct("column_number", "column_name", "cell_reference", "val", "role",
-                                "col_metric", "col_period", "col_unit", "is_first", "val_number",
-                                "val_unit")).alias("cells"))
-    rows = rows.join(sheets, SHEET)
+    rows = rows.join(_layout_heads(rows), [*SHEET, "layout"])
     if context is not None:
         rows = rows.join(context, "document_id", "left")
     else:
         rows = rows.withColumns({n: F.lit(None).cast("string") for n in ("g_period", "g_org", "g_site")})
-    rows = rows.withColumns({
-        "row_period": F.coalesce("p1", "p2"), "row_org": F.coalesce("o1", "o2"),
-        "first_val": F.col("f.val"), "row_metric": F.col("f.val_metric"),
-        "long_metric": F.col("m.val_metric"), "long_value": F.col("v.val_number")})
-    named = F.col("m").isNotNull() & F.col("v").isNotNull() & F.col("long_value").isNotNull()
-    mapped = named & F.col("long_metric").isNotNull()
-    unmapped = named & F.col("long_metric").isNull() & (F.length("m.val") > 1)
-
-    out = [*SHEET, "row_number", "metric_code", "raw_metric_name", "numeric_value", "unit",
-           "reporting_period", "org", "site", "column_name", "cell_reference", "mapped"]
-    base = {
-        "org": F.coalesce("row_org", "table_org", "g_org"),
-        "site": F.coalesce("row_site", "g_site")}
-    long = rows.filter(mapped | unmapped).withColumns(base).withColumns({
-        "mapped": F.coalesce(mapped, F.lit(False)),
-        "metric_code": F.coalesce("long_metric", F.lit("UNMAPPED")),
-        "raw_metric_name": F.col("m.val"), "numeric_value": F.col("long_value"),
-        "unit": F.coalesce("row_unit", "v.val_unit", blank_to_null(
-            default_unit(F.col("long_metric"))), F.lit("count")),
-        "reporting_period": F.coalesce("row_period", "table_period", "g_period"),
-        "column_name": F.col("v.column_name"), "cell_reference": F.col("v.cell_reference")})
-    rest = rows.filter(~F.coalesce(mapped | unmapped, F.lit(False))).withColumns(base)
-    x = rest.withColumn("x", F.explode("cells")).filter(F.col("x.val") != "")
-    label_col = F.coalesce(F.col("x.role").isin("org", "period", "site", "unit"), F.lit(False)) | F.col(
-        "x.is_first")
-    x = x.filter(~label_col | F.col("x.col_metric").isNotNull()).withColumns({
-        "mapped": F.lit(True),
-        "metric_code": F.coalesce("x.col_metric", "row_metric"),
-        "raw_metric_name": F.when(F.col("x.col_metric").isNotNull(), F.col("x.column_name"))
-        .otherwise(F.col("first_val")),
-        "numeric_value": F.col("x.val_number")})
-    wide = drop_year_like(
-        x.filter(F.col("metric_code").isNotNull() & F.col("numeric_value").isNotNull()),
-        F.col("x.val")).withColumns({
-            "unit": F.coalesce("row_unit", "x.val_unit", "x.col_unit",
-                               blank_to_null(default_unit(F.col("metric_code")))),
-            "reporting_period": F.coalesce("x.col_period", "row_period", "table_period", "g_period"),
-            "column_name": F.col("x.column_name"), "cell_reference": F.col("x.cell_reference")})
-    return score_facts(long.select(*out).unionByName(wide.select(*out)), "STRUCTURED_TABLE")
 
+    def val(place: str) -> Column:
+        return F.trim(F.get("cells", F.col(place))["value"])
 
-def drop_year_like(facts: DataFrame, raw: Column) -> DataFrame:
+    def unit_of(v: Column) -> Column:
+        return F.when(v != "", unit_or_null(v))
+
+    def period_of(v: Column) -> Column:
+        return F.coalesce(norm_period(v), extract_period(v))
+
+    def leftmost(values: Column) -> Column:
+        return F.get(F.array_compact(values), 0)
+
+    rows = rows.select(
+        *SHEET, "row_number", "cells", "heads", "at_metric", "at_value", "at_first", "asks_first",
+        F.coalesce(period_of(val("at_period")),
+                   leftmost(F.transform("period_like", lambda i: period_of(F.trim(F.get("cells", i)["value"])))),
+                   ).alias("row_period"),
+        F.coalesce(table_org(val("at_org")), leftmost(F.transform("cells", lambda c: table_org(c["value"]))),
+                   F.col("table_org"), F.col("g_org")).alias("org"),
+        F.coalesce(let(val("at_site"), lambda v: F.when(F.length(v) > 2, v)), F.col("g_site")).alias("site"),
+        let(val("at_unit"), unit_of).alias("row_unit"), "table_period", "g_period")
+
+    def fact(metric, name, number, unit, period, column, cell, mapped) -> Column:
+        return F.struct(
+            metric.alias("metric_code"), name.alias("raw_metric_name"), number.alias("numeric_value"), unit.alias("unit"),
+            period.alias("col_period"), column.alias("column_name"), cell.alias("cell_reference"), mapped.alias("mapped"))
+
+    def long_fact(n: Column) -> Column:
+        unit = F.coalesce("row_unit", unit_of(val("at_value")), blank_to_null(default_unit(n["metric"])), F.lit("count"))
+        return fact(F.coalesce(n["metric"], F.lit("UNMAPPED")), val("at_metric"), n["number"], unit, F.lit(None).cast("string"),
+                    F.get("heads", F.col("at_value"))["column_name"], F.get("cells", F.col("at_value"))["cell_reference"],
+                    n["metric"].isNotNull())
+
+    def cell_fact(c: Column, h: Column, row_metric: Column) -> Column:
+        def read(y: Column) -> Column:
+            metric = F.coalesce(h["col_metric"], row_metric)
+            name = F.when(h["col_metric"].isNotNull(), h["column_name"]).otherwise(val("at_first"))
+            unit = F.coalesce("row_unit", unit_of(y["val"]), h["col_unit"], blank_to_null(default_unit(metric)))
+            return F.when(y["number"].isNotNull() & ~year_like(y["number"], y["val"], metric), fact(
+                metric, name, y["number"], unit, h["col_period"], h["column_name"], c["cell_reference"], F.lit(True)))
+
+        v = F.trim(c["value"])
+        wanted = (v != "") & (~h["label"] | h["col_metric"].isNotNull()) & (h["col_metric"].isNotNull() | row_metric.isNotNull())
+        return F.when(wanted, let(F.struct(v.alias("val"), parse_number(v).alias("number")), read))
+
+    def cell_facts(row_metric: Column) -> Column:
+        return F.array_compact(F.transform("cells", lambda c, i: let(F.get("heads", i), lambda h: cell_fact(c, h, row_metric))))
+
+    both = (F.col("at_metric") >= 0) & (F.col("at_value") >= 0)
+    read = F.struct(F.when(both, norm_metric(val("at_metric"))).alias("metric"), F.when(both, parse_number(val("at_value"))).alias("number"))
+    facts = let(read, lambda n: F.when(
+        both & n["number"].isNotNull() & (n["metric"].isNotNull() | (F.length(val("at_metric")) > 1)), F.array(long_fact(n)))
+        .otherwise(let(F.when(F.col("asks_first"), norm_metric(val("at_first"))), cell_facts)))
+    out = rows.select(*SHEET, "row_number", "org", "site", "row_period", "table_period", "g_period", F.explode(facts).alias("x"))
+    return score_facts(out.select(
+        *SHEET, "row_number", "x.metric_code", "x.raw_metric_name", "x.numeric_value", "x.unit",
+        F.coalesce("x.col_period", "row_period", "table_period", "g_period").alias("reporting_period"), "org", "site",
+        "x.column_name", "x.cell_reference", "x.mapped"), "STRUCTURED_TABLE")
+
+
+def year_like(number: Column, raw: Column, metric: Column) -> Column:
     """Whole numbers 1950-2050 are years, not values, unless the metric counts holes or metres."""
-    year = (F.col("numeric_value").between(1950, 2050) & ~F.contains(raw, F.lit("."))
-            & ~F.col("metric_code").isin(*dims.YEAR_LIKE_METRICS))
-    return facts.filter(~year)
+    return number.between(1950, 2050) & ~F.contains(raw, F.lit(".")) & ~metric.isin(*dims.YEAR_LIKE_METRICS)
+
+
+def drop_year_like(facts: DataFrame, raw: Column) -> DataFrame:
+    return facts.filter(~year_like(F.col("numeric_value"), raw, F.col("metric_code")))
 
 
 def score_facts(facts: DataFrame, method: str, quality: Column | None = None) -> DataFrame:

@@ -153,24 +153,23 @@ FROM wide WHERE b <> ''
 UNION ALL SELECT document_id, row_number, 'PRODUCTION_TARGET', 'Target', CAST(replace(c, ' MT', '') AS DOUBLE),
   'MT', 'FY ' || d, {ORG_CODE}, 'C' || row_number, 0.99, 'HIGH_CONFIDENCE' FROM wide WHERE c <> '2031'""")
 def facts_from_wide(spark, sf):
-    return ex.facts_from_tables(wide_cells(spark, sf)).select(*FACT_OUT)
+    return ex.facts_from_rows(ce.rows_of(ad.wide_cells(spark, sf), WIDE_COLUMNS)).select(*FACT_OUT)
 
 
 LONG_COLUMNS = ["Mine", "Metric", "Value", "Unit", "Period"]
 
 
-def long_cells(spark, sf):
+def long_rows(spark, sf):
     qs = ad.questions(spark, sf)
     units = F.array(*[F.lit(u) for u in ("MT", "Mm3", "", "m")])
-    wide = qs.select(
+    return ce.rows_of(qs.select(
         F.concat(F.lit("L"), (F.col("question_id") % 50).cast("string")).alias("document_id"),
         F.lit("CSV_DATA").alias("sheet_name"),
         (F.floor(F.col("question_id") / 50) + 2).cast("int").alias("row_number"),
         F.concat(F.lit("Pit "), (F.col("user_id") % 9).cast("string")).alias("Mine"),
         F.col("metric_text").alias("Metric"), F.col("number_text").alias("Value"),
         F.element_at(units, (F.col("user_id") % 4 + 1).cast("int")).alias("Unit"),
-        F.col("period_text").alias("Period"))
-    return ce.melt_cells(wide, LONG_COLUMNS)
+        F.col("period_text").alias("Period")), LONG_COLUMNS)
 
 
 def _metric_literal() -> str:
@@ -179,7 +178,7 @@ def _metric_literal() -> str:
 
 
 def facts_from_long(spark, sf):
-    return ex.facts_from_tables(long_cells(spark, sf)).select(*FACT_OUT, "site")
+    return ex.facts_from_rows(long_rows(spark, sf)).select(*FACT_OUT, "site")
 
 
 def _long_sql() -> str:
@@ -205,15 +204,14 @@ query("facts_from_long", _long_sql())(facts_from_long)
 ROW_COLUMNS = ["Head", "2016-17", "2017-18"]
 
 
-def row_cells(spark, sf):
+def head_rows(spark, sf):
     o = ad.questions(spark, sf)
-    wide = o.select(
+    return ce.rows_of(o.select(
         F.concat(F.lit("R"), (F.col("question_id") % 50).cast("string")).alias("document_id"),
         F.lit("Sheet1").alias("sheet_name"),
         (F.floor(F.col("question_id") / 50) + 2).cast("int").alias("row_number"),
         F.col("metric_text").alias("Head"), F.col("number_text").alias("2016-17"),
-        F.col("user_id").cast("string").alias("2017-18"))
-    return ce.melt_cells(wide, ROW_COLUMNS)
+        F.col("user_id").cast("string").alias("2017-18")), ROW_COLUMNS)
 
 
 def _row_sql() -> str:
@@ -232,7 +230,7 @@ def _row_sql() -> str:
 
 @query("facts_from_rows", _row_sql())
 def facts_from_rows(spark, sf):
-    return ex.facts_from_tables(row_cells(spark, sf)).select(
+    return ex.facts_from_rows(head_rows(spark, sf)).select(
         "document_id", "row_number", "metric_code", "raw_metric_name", "numeric_value", "unit",
         "reporting_period", "cell_reference")
 
@@ -284,7 +282,7 @@ def document_context(spark, sf):
 
 @query("union_of_extracted", None)
 def union_of_extracted(spark, sf):
-    both = ex.all_facts(ex.facts_from_tables(wide_cells(spark, sf)),
+    both = ex.all_facts(ex.facts_from_rows(ce.rows_of(ad.wide_cells(spark, sf), WIDE_COLUMNS)),
                         ex.facts_from_text(sentences(spark, sf)))
     return both.groupBy("extraction_method", "metric_code").agg(F.count("*").alias("n"))
 

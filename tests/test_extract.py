@@ -44,6 +44,32 @@ def test_long_table(spark):
     assert (u.confidence_score, u.validation_status, u.unit) == (0.65, "NEEDS_REVIEW", "count")
 
 
+def test_rows_are_not_shuffled(spark):
+    """A row is read where it lies; single cells are shuffled once, as they are. Both ways give the same facts."""
+    tables = {"long": (["Mine", "Metric", "Value", "Unit", "Period"], [
+        ("Gevra", "Coal Production", "1,050.5", "", "last year"), ("NCL", "Rainfall", "12", "Mm3", "2024-25"), ("x", "y", "7", "", ""),
+        ("Dipka", "Drilling", "none", "m", "Q1 FY 2024-25"), ("Dipka", None, "5", "m", "")]),
+        "wide": (["Subsidiary", "Production (2023-24)", "Target", "Note", "Period"], [
+            ("MCL", "40", "1990", "3 t", "FY 2025-26"), ("drilling", "2000.0", "₹ 7 BCM", "1e13", None), ("", "-4", "", "2", "2024")])}
+    rows, cells = [], []
+    for sheet, (columns, data) in tables.items():
+        df = spark.createDataFrame([("doc", sheet, i + 2, *r) for i, r in enumerate(data)], "document_id string, sheet_name string, row_number int, "
+                                   + ", ".join(f"`{c}` string" for c in columns))
+        rows.append(ce.rows_of(df, columns))
+        cells.append(ce.melt_cells(df, columns))
+    a, b = ex.facts_from_rows(rows[0].unionByName(rows[1])), ex.facts_from_tables(cells[0].unionByName(cells[1]))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() == 7
+    plans = [df.select("*")._jdf.queryExecution().executedPlan().toString() for df in (a, b)]  # not run: a run plan is printed twice
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [0, 1]
+
+
+def test_column_with_two_names(spark):
+    """A cell goes by the name of its own column, once, where rows of a sheet disagree on the name."""
+    two = [table(spark, ["Subsidiary", name], [("MCL", "40")]).withColumn("row_number", F.lit(r)) for r, name in ((2, "Production"), (3, "Target"))]
+    f = ex.facts_from_tables(two[0].unionByName(two[1])).collect()
+    assert sorted((r.row_number, r.metric_code) for r in f) == [(2, "COAL_PRODUCTION"), (3, "PRODUCTION_TARGET")]
+
+
 def test_row_metric_table(spark):
     c = table(spark, ["Head", "2023-24", "2024-25"], [("Coal Production", "10.5", "11.5"),
                                                     ("Remarks", "none", "none")])
