@@ -2,6 +2,9 @@
 
 import pytest
 
+import numpy as np
+from pyspark.sql import functions as F
+
 pytest.importorskip("ledgerlake.llm")
 from ledgerlake.llm import common, exact_dedup, mixing, ngram_join, packing, substring_dedup, url_filter  # noqa: E402
 
@@ -67,3 +70,54 @@ def test_parts_of_a_length_follow_its_count(spark, monkeypatch):
     seen = sorted((p.sequence_id, p.offset, p.length) for p in pieces)
     for (s, o, n), (s2, o2, _) in zip(seen, seen[1:], strict=False):
         assert o2 == (o + n if s == s2 else 0)
+
+
+def test_marks_miss_no_id(spark, monkeypatch):
+    """A bounded set of marks lets through what is marked, NULL and hash neighbours included, and drops most others."""
+    ids, some = spark.range(3000).selectExpr("id AS doc_id"), [(i * 7,) for i in range(100)] + [(None,)]
+    for bits in (1 << 24, 64):
+        monkeypatch.setattr(common, "MARKS", bits)
+        m = common.marks(spark.createDataFrame(some, "doc_id long"))
+        every = ids.unionByName(spark.createDataFrame([(None,)], "doc_id long"))
+        kept = {r[0] for r in common.marked(every, F.col("doc_id"), m).collect()}
+        rest = {r[0] for r in common.marked(every, F.col("doc_id"), m, "left_anti").collect()}
+        assert {i for i, in some} <= kept and not kept & rest and len(kept) + len(rest) == 3001
+        assert bits == 64 or kept == {i for i, in some}
+
+
+def test_names_of_one_set_are_not_shuffled(spark, monkeypatch):
+    """Names that two sets have stored are marked, hardly any others; names of many leading parts are counted by prefix."""
+    rng = np.random.default_rng(5)
+    own, common_ = rng.integers(0, 2**63, (60, 40), np.uint64) * np.uint64(2), rng.integers(0, 2**63, 8, np.uint64)
+    rows = []
+    for i, x in enumerate(own):
+        stored = np.sort(np.r_[x, common_[i % 8], common_[:1]][:42]) if i < 40 else np.sort(x)
+        rows.append((i, 105, len(stored), np.unique(stored).view(np.int64).tolist()))
+    parts = spark.createDataFrame(rows, "cid long, n int, rare int, stored array<long>").repartition(6)
+    parts = parts.withColumn("rare", F.size("stored"))
+    for names in (1 << 20, 100):  # one range, many ranges
+        monkeypatch.setattr(ngram_join, "RANGE_NAMES", names)
+        counts, spots = ngram_join.name_counts(parts, 20)
+        assert spots.hold(common_).all() and spots.hold(own.ravel()).mean() < 0.02
+        want = np.unique(np.concatenate([np.array(r[3]).view(np.uint64)[:85] for r in rows]), return_counts=True)
+        assert {(r["h"], r["count"]) for r in counts.collect()} == {(int(h) >> 24, int(c)) for h, c in zip(*want, strict=True) if c >= 17}
+
+
+def test_texts_that_meet_no_other_stay_where_they_are(spark, monkeypatch):
+    """Fragments are cut of texts in candidate pairs only; of the copies of a set one has them."""
+    rows = list(enumerate([" ".join(f"w{i}x{j}" for j in range(200)) for i in range(30)]))
+    rows += [(30 + i, t + " end") for i, t in rows[:3]] + [(33, rows[7][1])]
+    seen = {}
+    monkeypatch.setattr(ngram_join, "cut", lambda df, name, cut=common.cut: seen.setdefault(name, cut(df, name)))
+    monkeypatch.setattr(ngram_join, "discard", lambda *stages: None)
+    got = dict(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).select("doc_id", "component_id").collect())
+    assert got == {i: i - 30 if 30 <= i < 33 else 7 if i == 33 else i for i, _ in rows}
+    assert sorted(r["doc_id"] for r in seen["chosen"].collect()) == [0, 1, 2, 30, 31, 32]
+
+
+def test_one_of_each_group_stays_without_moving_the_others(spark):
+    base = " ".join(f"v{j}" for j in range(60))
+    rows = [(5, base), (3, base + " x"), (9, "other words here"), (None, None), (9, base), (3, "repeated id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, ngram_join.keep_one_of_each(docs).collect())) == sorted(
+        f"Row(doc_id={i!r}, text={t!r})" for i, t in rows if i != 5)
