@@ -1,5 +1,7 @@
 """Clashing column names, long hosts, folders and sizes that follow the data."""
 
+import os
+
 import pytest
 
 import numpy as np
@@ -121,3 +123,15 @@ def test_one_of_each_group_stays_without_moving_the_others(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(str, ngram_join.keep_one_of_each(docs).collect())) == sorted(
         f"Row(doc_id={i!r}, text={t!r})" for i, t in rows if i != 5)
+
+
+def test_pipeline_keeps_the_texts_of_one_stage(spark, monkeypatch):
+    """Texts that a stage has read go once its own are written."""
+    import corpus_pipeline
+
+    written = []
+    monkeypatch.setattr(common, "cut", lambda df, name, cut=common.cut: written.append(cut(df, name)) or written[-1])
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
+    names = [n.replace(" ", "_") for n, _ in corpus_pipeline.STAGES[:-1]]
+    left = [df.stage_path for df in written if any(f"/{n}-" in df.stage_path for n in names) and os.path.isdir(df.stage_path)]
+    assert rows > 0 and len(left) == 1 and f"/{names[-1]}-" in left[0]
