@@ -195,3 +195,21 @@ def test_keyword_hits_are_counted_in_one_pass(spark, monkeypatch):
     got = retrieve.keyword_counts(queries, chunks)
     assert {r.query_id: r.hits for r in got.collect()} == {q: sum(x == q for x, _ in want) for q, _ in want}
     assert retrieve.keyword_confidence(retrieve.keyword_counts(queries.limit(0), chunks)).collect() == []
+
+
+def test_hits_of_a_block_are_one_row(spark):
+    """What a round finds in a block is packed, tokens that hold one term added up; a block without hits has no row."""
+    rows = [("a", "coal coals Coalx"), ("b", "ore"), ("c", "scoal ore"), ("d", None), ("e", "other")]
+    chunks = spark.createDataFrame([(c, t, None, "f", "s", False) for c, t in rows],
+                                   "chunk_id string, content string, organization string, file_name string, section string, is_demo boolean")
+    hits = ix.term_postings(ix.build_index(chunks), {"coal": 7, "ore": 2, "zinc": 1}).collect()
+    assert [sorted(zip(h["terms"], h["slots"], h["tfs"], strict=True)) for h in hits] == [[(2, 1, 1), (2, 2, 1), (7, 0, 3), (7, 2, 1)]]
+
+
+def test_answers_read_the_texts_of_ranked_chunks_only(spark):
+    """Sentences are sought in the chunks of a stored ranking, not in every chunk before they meet."""
+    chunks = spark.createDataFrame([(f"c{i}", f"Sentence number {i} is here. Then comes more text. End.") for i in range(9)], "chunk_id string, content string")
+    ranked = spark.createDataFrame([(1, f"c{i}", i) for i in (1, 2, 3, 4, 5)], "query_id long, chunk_id string, place int")
+    answers = retrieve.extractive_answers(ranked, chunks)
+    assert any("ranked-" in f for f in answers.inputFiles())
+    assert answers.collect()[0]["answer"] == "\n\n".join(f"Sentence number {i} is here. Then comes more text." for i in (1, 2, 3, 4))
