@@ -86,6 +86,15 @@ def same_key_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return left.join(right, match, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def with_group_rule(rows: DataFrame, keyed: DataFrame, scope_keys: list[str], exclude_group: bool = True) -> DataFrame:
+    """Adds `group_dropped`: a group total in a scope where the ledger has a company-level row."""
+    if not exclude_group:
+        return rows.withColumn("group_dropped", F.lit(False))
+    presence = company_presence(keyed, scope_keys)
+    rows = same_key_join(rows, presence, scope_keys) if scope_keys else rows.crossJoin(F.broadcast(presence))  # a single row
+    return rows.withColumn("group_dropped", F.col("is_group") & F.col("has_company")).drop("has_company")
+
+
 def label_exclusions(facts: DataFrame, scope_keys: list[str] = (), exclude_group: bool = True,
                      group_codes: list[str] = dims.GROUP_TOTALS) -> DataFrame:
     """Every fact with `exclusion_reason` (NULL = included) and, for duplicates, the kept fact.
@@ -97,14 +106,7 @@ def label_exclusions(facts: DataFrame, scope_keys: list[str] = (), exclude_group
     winners = drop_exact_duplicates(keyed, scope_keys).select(
         *unique(*scope_keys, *DUP_KEYS), F.col("fact_id").alias("kept_fact_id"), "k_fy",
         F.col("k_grain").alias("kept_grain"), "is_group")
-    if exclude_group:
-        presence = company_presence(keyed, scope_keys)
-        winners = same_key_join(winners, presence, scope_keys) if scope_keys else winners.crossJoin(
-            F.broadcast(presence))  # a single row
-        dropped = F.col("is_group") & F.col("has_company")
-    else:
-        dropped = F.lit(False)
-    winners = winners.withColumn("group_dropped", dropped).drop("is_group", "has_company")
+    winners = with_group_rule(winners, keyed, scope_keys, exclude_group).drop("is_group")
     annual = (winners.filter((F.col("kept_grain") == "ANNUAL") & ~F.col("group_dropped"))
               .select(*unique(*scope_keys, *YEAR_KEYS)).distinct().withColumn("has_annual", F.lit(True)))
     # year and grain are taken from the winner: the annual rule only concerns rows that are kept, and
@@ -122,8 +124,28 @@ def label_exclusions(facts: DataFrame, scope_keys: list[str] = (), exclude_group
                   *[k for k in DUP_KEYS if k != "metric_code"]))
 
 
-def included(facts: DataFrame, **kwargs) -> DataFrame:
-    return label_exclusions(facts, **kwargs).filter("exclusion_reason IS NULL")
+def included(facts: DataFrame, scope_keys: list[str] = (), exclude_group: bool = True,
+             group_codes: list[str] = dims.GROUP_TOTALS) -> DataFrame:
+    """The facts that `label_exclusions` gives no reason. These are winners of their duplicates, so that only winners
+    meet the annual keys, and no fact meets its winner."""
+    scope_keys = list(scope_keys)
+    keyed = with_protection_keys(facts, group_codes)
+    kept = with_group_rule(drop_exact_duplicates(keyed, scope_keys), keyed, scope_keys, exclude_group).filter("NOT group_dropped")
+    annual = kept.filter("k_grain = 'ANNUAL'").select(*unique(*scope_keys, *YEAR_KEYS)).distinct().withColumn("has_annual", F.lit(True))
+    is_part = F.coalesce(F.col("k_grain").isin("MONTHLY", "QUARTERLY"), F.lit(False))
+    rest = same_key_join(kept, annual, unique(*scope_keys, *YEAR_KEYS), "left").filter(~is_part | F.col("has_annual").isNull())
+    none = F.lit(None).cast("string")
+    return rest.drop("group_dropped", "has_annual", "k_grain", "k_fy", "is_group", *[k for k in DUP_KEYS if k != "metric_code"]).withColumns(
+        {"kept_fact_id": none, "exclusion_reason": none})
+
+
+def group_overlaps(facts: DataFrame, scope_keys: list[str] = (), group_codes: list[str] = dims.GROUP_TOTALS) -> DataFrame:
+    """The facts that `label_exclusions` gives the reason GROUP. Duplicates of a group total are of the same
+    organisation, so that no other fact but for the presence of companies is needed."""
+    scope_keys = list(scope_keys)
+    keyed = with_protection_keys(facts, group_codes)
+    return with_group_rule(drop_exact_duplicates(keyed.filter("is_group"), scope_keys), keyed, scope_keys).filter("group_dropped").drop(
+        "group_dropped", "k_grain", "k_fy", "is_group", *[k for k in DUP_KEYS if k != "metric_code"])
 
 
 def exclusions(facts: DataFrame, **kwargs) -> DataFrame:

@@ -110,7 +110,7 @@ def _labelled(spark, sf, **kw):
 @query("group_overlap", f"""WITH {FACTS}, {protection(REAL, "metric_code")}
 SELECT fact_id FROM lab WHERE reason = 'CONSOLIDATED_OVERLAP'""")
 def group_overlap(spark, sf):
-    return _labelled(spark, sf).filter(F.col("exclusion_reason") == protect.GROUP).select("fact_id")
+    return protect.group_overlaps(real(spark, sf), scope_keys=["metric_code"], group_codes=GROUPS).select("fact_id")
 
 
 @query("temporal_overlap", f"""WITH {FACTS}, {protection(REAL, "metric_code")}

@@ -48,10 +48,10 @@ def _fiscal_period(day: Column, line: Column) -> Column:
 
 
 def facts(spark: SparkSession, directory: str, lineitem: DataFrame | None = None) -> DataFrame:
-    """lineitem x supplier x nation x region as a fact ledger; `lineitem` may be a stream."""
-    li = lineitem
-    if li is None:
-        li = spread(read_table(spark, directory, "lineitem"), "l_orderkey", "l_linenumber")
+    """lineitem x supplier x nation x region as a fact ledger; `lineitem` may be a stream. The work per row is light
+    and row groups share it out, so the rows are not shuffled: queries read the ledger several times, and each time
+    would do so."""
+    li = read_table(spark, directory, "lineitem") if lineitem is None else lineitem
     sup = read_table(spark, directory, "supplier").select("s_suppkey", "s_nationkey", "s_name")
     nat = read_table(spark, directory, "nation")
     reg = read_table(spark, directory, "region")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import period
 from ledgerlake.operators import index as ix
-from ledgerlake.operators import conflicts, merge, protect, provenance, retrieve, search
+from ledgerlake.operators import conflicts, history, merge, protect, provenance, retrieve, search
 from ledgerlake.plans import insight, streams
 from ledgerlake.streaming import ingest
 
@@ -213,3 +213,29 @@ def test_answers_read_the_texts_of_ranked_chunks_only(spark):
     answers = retrieve.extractive_answers(ranked, chunks)
     assert any("ranked-" in f for f in answers.inputFiles())
     assert answers.collect()[0]["answer"] == "\n\n".join(f"Sentence number {i} is here. Then comes more text." for i in (1, 2, 3, 4))
+
+
+PROTECTED = [dict(site=s, org=o, reporting_period=p, numeric_value=v, validation_status=st, document_id=d)
+             for s, d in ((None, "d1"), ("s1", "d2")) for o in ("SECL", "CIL", None) for p in ("FY 2024-25", "Q2 FY 2024-25", "Apr 2024", None)
+             for v, st in ((1.0, "VERIFIED"), (1.0, "REVIEW_REQUIRED"), (None, "VERIFIED"))]
+
+
+def test_included_and_group_totals_as_labelled(spark, ledger):
+    """Facts without a reason, and those dropped as group totals, without joining facts with their winners."""
+    facts = ledger(*PROTECTED, dict(metric_code="DRILLING", org="CIL"), dict(metric_code="DRILLING", org="CIL", numeric_value=2.0))
+    for keys in ([], ["metric_code"], ["site"]):
+        for group in (True, False):
+            lab = protect.label_exclusions(facts, scope_keys=keys, exclude_group=group, group_codes=["CIL"])
+            got, want = protect.included(facts, scope_keys=keys, exclude_group=group, group_codes=["CIL"]), lab.filter("exclusion_reason IS NULL")
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+        lab = protect.label_exclusions(facts, scope_keys=keys, group_codes=["CIL"]).filter(F.col("exclusion_reason") == protect.GROUP)
+        got = protect.group_overlaps(facts, keys, ["CIL"])
+        assert sorted(r["fact_id"] for r in got.collect()) == sorted(r["fact_id"] for r in lab.collect()) != []
+
+
+def test_group_totals_shuffle_group_rows_only(spark):
+    from ledgerlake.plans import calculation
+
+    plan = calculation.group_overlap(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_" not in plan and "REBALANCE" not in plan
+    assert plan.count("k_value") and "kept_fact_id" not in plan
