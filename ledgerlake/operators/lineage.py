@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def _run_id(operation, keys: list[str], run_at: Column | None) -> Column:
-    """A hash of operation, scope and, in a log of runs, the time."""
-    return F.sha2(F.concat_ws("|", operation, *keys, *([] if run_at is None else [run_at.cast("string")])), 256)
+    """A hash of operation, scope and, in a log of runs, the time. It is never NULL, and said not to be: a join on it
+    would else test it in one of two equal branches, which then could not share their shuffle."""
+    return F.coalesce(F.sha2(F.concat_ws("|", operation, *keys, *([] if run_at is None else [run_at.cast("string")])), 256), F.lit(""))
 
 
 def run_rows(results: DataFrame, keys: list[str], initiated_by: str, run_at: Column | None = None) -> DataFrame:

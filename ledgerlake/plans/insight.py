@@ -489,8 +489,10 @@ def evidence_bundle(spark, sf):
 @query("where_used", f"""WITH {FACTS}, {protection(REAL, "metric_code")}
 SELECT fact_id, {RUN_ID} AS run_id FROM lab WHERE reason IS NULL""")
 def where_used(spark, sf):
-    runs, inputs = runs_and_inputs(spark, sf)
-    return lineage.where_used(inputs, runs).select("fact_id", "run_id")
+    f, keys = protect.with_period_keys(real(spark, sf)), ["metric_code"]
+    runs, _ = runs_and_inputs(spark, sf)
+    used = lineage.input_rows(protect.included(f, scope_keys=keys, group_codes=GROUPS), keys)
+    return lineage.where_used(used, runs).select("fact_id", "run_id")
 
 
 RUN_DAYS = [f"{y}-{m:02d}-01" for y in (1995, 1996, 1997) for m in (1, 4, 7, 10)]

@@ -239,3 +239,9 @@ def test_group_totals_shuffle_group_rows_only(spark):
     plan = calculation.group_overlap(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l_" not in plan and "REBALANCE" not in plan
     assert plan.count("k_value") and "kept_fact_id" not in plan
+
+
+def test_where_used_shares_the_winners(spark):
+    """The shuffle of the winners is one, read for the facts and for their annual keys."""
+    plan = insight.where_used(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE" not in plan and "isnotnull(sha2" not in plan and "isnotnull(coalesce(sha2" not in plan
