@@ -142,7 +142,9 @@ def issue_worklist(issues: DataFrame, facts: DataFrame, documents: DataFrame) ->
 
 
 def conflict_sides(conflicts: DataFrame, facts: DataFrame) -> DataFrame:
-    """Conflict with both facts beside each other."""
+    """Conflict with both facts beside each other. Conflicts that bear value and unit of their sides meet no fact."""
+    if "primary_numeric_value" in conflicts.columns:
+        return conflicts.withColumnsRenamed({"primary_numeric_value": "primary_value", "other_numeric_value": "other_value"})
     def side(name: str, key: str) -> DataFrame:
         return facts.select(F.col("fact_id").alias(key), F.col("numeric_value").alias(f"{name}_value"),
                             F.col("unit").alias(f"{name}_unit"))

@@ -820,7 +820,7 @@ def issue_worklist(spark, sf):
 FROM conflicts LEFT JOIN facts a ON a.fact_id = primary_fact_id LEFT JOIN facts b ON b.fact_id = conflicting_fact_id""")
 def conflict_sides(spark, sf):
     f = ad.facts(spark, sf)
-    return search.conflict_sides(cf.contradictions(f), f).select(
+    return search.conflict_sides(cf.contradictions(f, sides=["numeric_value", "unit"]), f).select(
         "conflict_id", "primary_value", "other_value")
 
 

@@ -245,3 +245,17 @@ def test_where_used_shares_the_winners(spark):
     """The shuffle of the winners is one, read for the facts and for their annual keys."""
     plan = insight.where_used(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "REBALANCE" not in plan and "isnotnull(sha2" not in plan and "isnotnull(coalesce(sha2" not in plan
+
+
+def test_sides_and_status_come_without_a_look_up(spark, ledger):
+    """Conflicts bear what is asked of both sides; the status of a fact is known where it meets the witnesses."""
+    facts = ledger(*[dict(document_id=f"d{i % 3}", numeric_value=float(v), unit=f"u{i}") for i, v in enumerate([10, 10, 20, 30, 10, 20, 40, 10])],
+                   dict(org=None, numeric_value=5.0), dict(numeric_value=None), dict(metric_code="UNMAPPED"), dict(org="NCL"))
+    plain, own = conflicts.contradictions(facts), conflicts.contradictions(facts, sides=["numeric_value", "unit"])
+    columns = [*plain.columns, "primary_value", "primary_unit", "other_value", "other_unit"]
+    got, want = (search.conflict_sides(c, facts).select(columns) for c in (own, plain))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    status = conflicts.facts_with_status(facts)
+    assert sorted(map(str, status.collect())) == sorted(map(str, conflicts.conflict_status(facts, plain).collect()))
+    assert "Exchange" not in status._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
