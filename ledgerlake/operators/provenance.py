@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import location
+from ledgerlake.operators.protect import same_key_join
+from ledgerlake.sources.folders import shared_folder
 
 # metric -> metrics that complement it
 COMPLEMENTARY = {
@@ -38,9 +40,9 @@ def citations(facts: DataFrame, documents: DataFrame) -> DataFrame:
         fact_location().alias("location"), "confidence_score", "human_verified")
 
 
-def dossiers(facts: DataFrame, documents: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
+def dossiers(facts: DataFrame, documents: DataFrame, statuses: DataFrame | None = None, more: list[Column] = ()) -> DataFrame:
     """Source, location, raw, normalised, extraction and validation parts of every fact as structs. Facts that have
-    their conflict_status already need no `statuses`, and meet nothing by their id."""
+    their conflict_status already need no `statuses`, and meet nothing by their id; `more` columns come after these."""
     d = documents.select("document_id", "document_name", "file_type")
     j = facts.join(d, "document_id", "left")
     if statuses is not None:
@@ -57,7 +59,7 @@ def dossiers(facts: DataFrame, documents: DataFrame, statuses: DataFrame | None
         .alias("normalised"),
         F.struct("extraction_method", parser.alias("parser"),
                  F.round("confidence_score", 4).alias("confidence")).alias("extraction"),
-        F.struct("validation_status", "human_verified", "conflict_status").alias("validation"))
+        F.struct("validation_status", "human_verified", "conflict_status").alias("validation"), *more)
 
 
 def related_facts(facts: DataFrame, n: int = 8) -> DataFrame:
@@ -65,7 +67,8 @@ def related_facts(facts: DataFrame, n: int = 8) -> DataFrame:
     same document, by confidence.
 
     No pairs are built. The best n of a fact lie among the best n + 1 of each of its groups, so each
-    group keeps n + 1 rows and facts meet these short lists over two equi joins."""
+    group keeps n + 1 rows. The lists are put together once for each organisation, metric and document, and
+    stored, so that the planner knows their size; facts meet them last and carry no list over a shuffle."""
     row = F.struct((-F.col("confidence_score")).alias("o"), "fact_id", "metric_code",
                    "reporting_period", "document_id")
 
@@ -82,13 +85,15 @@ def related_facts(facts: DataFrame, n: int = 8) -> DataFrame:
              .groupBy("org", "metric_code").agg(F.flatten(F.collect_list("own")).alias("near")))
     docs = best(["document_id"], "same_doc")
     base = facts.select("fact_id", "org", "metric_code", "reporting_period", "document_id")
-    j = base.join(lists, ["org", "metric_code"], "left").join(docs, "document_id", "left")
+    keys = ["org", "metric_code", "document_id"]
     empty = F.array().cast(docs.schema["same_doc"].dataType)
-    pool = F.array_sort(F.array_distinct(F.filter(
-        F.concat(F.coalesce("near", empty), F.coalesce("same_doc", empty)),
-        lambda x: x["fact_id"] != F.col("fact_id"))))
+    folder = shared_folder(facts.sparkSession, "related")
+    base.select(*keys).distinct().join(lists, ["org", "metric_code"], "left").join(docs, "document_id", "left").select(*keys, F.array_sort(
+        F.array_distinct(F.concat(F.coalesce("near", empty), F.coalesce("same_doc", empty)))).alias("pool")).write.parquet(folder)
+    j = same_key_join(base, facts.sparkSession.read.parquet(folder), keys)
+    others = F.filter("pool", lambda x: x["fact_id"] != F.col("fact_id"))
     x = j.select("fact_id", "metric_code", "reporting_period", "document_id",
-                 F.posexplode(F.slice(pool, 1, n)).alias("place", "x"))
+                 F.posexplode(F.slice(others, 1, n)).alias("place", "x"))
     comp = F.array_contains(complementary(F.col("metric_code")), F.col("x.metric_code"))
     kind = (F.when(comp, "COMPLEMENTARY_METRIC")
             .when((F.col("x.metric_code") == F.col("metric_code"))

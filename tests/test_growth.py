@@ -259,3 +259,20 @@ def test_sides_and_status_come_without_a_look_up(spark, ledger):
     status = conflicts.facts_with_status(facts)
     assert sorted(map(str, status.collect())) == sorted(map(str, conflicts.conflict_status(facts, plain).collect()))
     assert "Exchange" not in status._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+
+
+def test_related_facts_carry_no_lists(spark, ledger):
+    """Lists are stored by organisation, metric and document; facts without one of them have theirs too."""
+    facts = ledger(*[dict(org=o, document_id=d, metric_code=m, confidence_score=c) for o in ("SECL", None) for d in ("d1", "d2", None)
+                     for m in ("COAL_PRODUCTION", "PRODUCTION_TARGET") for c in (0.9, 0.8, 0.8)])
+    got = provenance.related_facts(facts, 3)
+    assert any("related-" in f for f in got.inputFiles())
+    rows = facts.collect()
+    comp = {"COAL_PRODUCTION": provenance.COMPLEMENTARY["PROD"], "PRODUCTION_TARGET": provenance.COMPLEMENTARY["PROD"]}
+    want = set()
+    for f in rows:
+        near = [r for r in rows if r.fact_id != f.fact_id and ((r.document_id == f.document_id and f.document_id is not None) or (
+            f.org is not None and r.org == f.org and r.metric_code in (f.metric_code, *comp[f.metric_code])))]
+        near.sort(key=lambda r: (-r.confidence_score, r.fact_id))
+        want |= {(f.fact_id, i + 1, r.fact_id) for i, r in enumerate(near[:3])}
+    assert {(r.fact_id, r.place, r.related_fact_id) for r in got.collect()} == want
