@@ -57,6 +57,20 @@ def actions_of_facts(history: DataFrame) -> DataFrame:
         F.col("numeric_value").alias("new_numeric_value"), "old_validation_status", F.col("validation_status").alias("new_validation_status"), "reviewer")
 
 
+def decided_actions(decisions: DataFrame) -> DataFrame:
+    """The decision rows of `fact_history` with action, time and reviewer, without reading the ledger: decisions on facts
+    that are not in it are there as well, and a ledger's own reviewers are not."""
+    by = Window.partitionBy("fact_id").orderBy("decided_at", "decision_id", "action")
+    return expand_decisions(decisions).select("fact_id", "decision_id", "action", F.col("decided_at").alias("valid_from"),
+                                              F.last("reviewer", ignorenulls=True).over(by).alias("reviewer"))
+
+
+def raw_part(facts: DataFrame) -> Column:
+    return F.struct(
+        F.col("numeric_value").alias("value"), "unit", "cell_reference", "row_number", "page_number",
+        (F.col("source_context") if "source_context" in facts.columns else F.lit(None).cast("string")).alias("context")).alias("raw")
+
+
 def close_conflicts(conflicts: DataFrame, decisions: DataFrame) -> DataFrame:
     """Conflicts after the decisions: one between two sides of an open conflict closes it, whichever is named
     first; the earliest counts. Adds closed_at and closed_by."""
@@ -74,10 +88,10 @@ def close_conflicts(conflicts: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def full_dossiers(dossiers: DataFrame, facts: DataFrame, history: DataFrame, runs_of_facts: DataFrame, claims_of_facts: DataFrame) -> DataFrame:
     """Dossiers with the raw, review and usage parts. runs_of_facts: fact_id, run_id, run_at; claims_of_facts:
-    fact_id, claim_id, report_id. Numbers and last values only, however often a fact was used."""
-    raw = facts.select("fact_id", F.struct(
-        F.col("numeric_value").alias("value"), "unit", "cell_reference", "row_number", "page_number",
-        (F.col("source_context") if "source_context" in facts.columns else F.lit(None).cast("string")).alias("context")).alias("raw"))
+    fact_id, claim_id, report_id. Numbers and last values only, however often a fact was used. Dossiers that have
+    their raw part meet no fact for it."""
+    if "raw" not in dossiers.columns:
+        dossiers = dossiers.join(facts.select("fact_id", raw_part(facts)), "fact_id", "left")
     done = history.filter("decision_id IS NOT NULL").groupBy("fact_id").agg(
         F.count("*").alias("actions"), F.max(F.struct("valid_from", "decision_id", "action", "reviewer")).alias("last"))
     review = done.select("fact_id", F.struct("actions", F.col("last.action").alias("last_action"), F.col("last.valid_from").alias("last_at"),
@@ -86,4 +100,4 @@ def full_dossiers(dossiers: DataFrame, facts: DataFrame, history: DataFrame, run
     claims = claims_of_facts.groupBy("fact_id").agg(F.count_distinct("claim_id").alias("claims"), F.count_distinct("report_id").alias("reports"))
     usage = runs.join(claims, "fact_id", "full_outer").select("fact_id", F.struct(
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("runs", "claims", "reports")], "last_run_at").alias("usage"))
-    return dossiers.join(raw, "fact_id", "left").join(review, "fact_id", "left").join(usage, "fact_id", "left")
+    return dossiers.join(review, "fact_id", "left").join(usage, "fact_id", "left")

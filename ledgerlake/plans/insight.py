@@ -16,8 +16,7 @@ from ledgerlake.operators import runs as seq
 from ledgerlake.plans.calculation import GROUPS, ORG_YEAR, ORG_YEAR_COLS, REAL, YEARLY, real, yearly
 from ledgerlake.plans.dashboards import D, P, T, pct, r
 from ledgerlake.plans.extraction import PAGES
-from ledgerlake.plans.ledger_writes import (CONFLICTS, DECISIONS, ISSUE_STATE, ISSUES, decisions, issue_state,
-                                            review_ledger)
+from ledgerlake.plans.ledger_writes import (CONFLICTS, DECISIONS, ISSUE_STATE, ISSUES, decisions, issue_state)
 from ledgerlake.plans.normalise import LOCATION, QUESTIONS, TERMS, intent_sql
 from ledgerlake.plans.registry import query
 from ledgerlake.plans.sqlparts import FACTS, protection, sum_result, values
@@ -538,8 +537,7 @@ SELECT fact_id, {CITED} AS document_name, coalesce({LOCATION}, 'Precise coordina
   CASE WHEN cell_reference IS NOT NULL THEN 'Deterministic Table / Cell Parser' ELSE 'Structured Layout Extractor' END AS parser,
   CASE WHEN id IS NULL THEN 'NONE' ELSE 'OPEN' END AS conflict_status FROM facts LEFT JOIN ends ON id = fact_id""")
 def fact_dossiers(spark, sf):
-    f = ad.facts(spark, sf)
-    status = cf.conflict_status(f, cf.contradictions(f))
+    status = cf.facts_with_status(ad.facts(spark, sf))
     return provenance.dossiers(status, ad.report_documents(spark, sf)).select(
         "fact_id", "source.document_name", "location.summary", "extraction.parser",
         "validation.conflict_status")
@@ -710,12 +708,12 @@ SELECT fact_id, numeric_value AS raw_value, coalesce(actions, 0) AS actions, coa
 FROM facts LEFT JOIN r USING (fact_id) LEFT JOIN u USING (fact_id) LEFT JOIN c USING (fact_id)""")
 def full_dossiers(spark, sf):
     f = ad.facts(spark, sf)
-    base = provenance.dossiers(cf.conflict_status(f, cf.contradictions(f)), ad.report_documents(spark, sf))
+    base = provenance.dossiers(cf.facts_with_status(f), ad.report_documents(spark, sf), more=[history.raw_part(f)])
     runs, inputs = run_log(spark, sf)
     used = inputs.filter("role = 'INCLUDED'").join(runs.select("run_id", "run_at"), "run_id")
     c, links = claim_links(spark, sf)
     claimed = links.join(c.select("claim_id", F.col("org").alias("report_id")), "claim_id")
-    full = history.full_dossiers(base, f, history.fact_history(review_ledger(spark, sf), decisions(spark, sf)), used, claimed)
+    full = history.full_dossiers(base, f, history.decided_actions(decisions(spark, sf)), used, claimed)
     n = {x: F.coalesce(x, F.lit(0)) for x in ("review.actions", "usage.runs", "usage.claims")}
     return full.select("fact_id", F.col("raw.value").alias("raw_value"), *[e.alias(x.split(".")[1]) for x, e in n.items()],
                        F.date_format("usage.last_run_at", "yyyy-MM-dd").alias("last_run"))

@@ -114,9 +114,7 @@ SELECT fact_id, CASE WHEN fact_id IN (SELECT fact_id FROM ends WHERE status = 'O
   WHEN fact_id IN (SELECT fact_id FROM ends) THEN 'RESOLVED' ELSE 'NONE' END AS conflict_status
 FROM facts""")
 def conflict_status_per_fact(spark, sf):
-    f = ad.facts(spark, sf)
-    return conflicts.conflict_status(f, conflicts.contradictions(f)).select(
-        "fact_id", "conflict_status")
+    return conflicts.facts_with_status(ad.facts(spark, sf)).select("fact_id", "conflict_status")
 
 
 # --- writes ---

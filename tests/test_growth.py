@@ -276,3 +276,21 @@ def test_related_facts_carry_no_lists(spark, ledger):
         near.sort(key=lambda r: (-r.confidence_score, r.fact_id))
         want |= {(f.fact_id, i + 1, r.fact_id) for i, r in enumerate(near[:3])}
     assert {(r.fact_id, r.place, r.related_fact_id) for r in got.collect()} == want
+
+
+def test_full_dossiers_meet_no_fact_again(spark, ledger):
+    """The raw part is carried along; decided actions are the decision rows of the history."""
+    from ledgerlake.plans import ledger_writes
+
+    facts = ledger(dict(fact_id="a"), dict(fact_id="b", unit=None))
+    docs = spark.createDataFrame([("doc-real-001", "x.xlsx", "XLSX")], "document_id string, document_name string, file_type string")
+    status = conflicts.facts_with_status(facts)
+    base, more = provenance.dossiers(status, docs), provenance.dossiers(status, docs, more=[history.raw_part(facts)])
+    full = [history.full_dossiers(d, facts, spark.createDataFrame([], "fact_id string, decision_id string, action string, valid_from timestamp, reviewer string"),
+                                  spark.createDataFrame([], "fact_id string, run_id string, run_at timestamp"),
+                                  spark.createDataFrame([], "fact_id string, claim_id string, report_id string")) for d in (base, more)]
+    assert sorted(map(str, full[0].collect())) == sorted(map(str, full[1].collect()))
+    d = ledger_writes.decisions(spark, SMALL)
+    cols = ["fact_id", "decision_id", "action", "valid_from", "reviewer"]
+    want = history.fact_history(ledger_writes.review_ledger(spark, SMALL), d).filter("decision_id IS NOT NULL").select(cols)
+    assert sorted(map(str, history.decided_actions(d).select(cols).collect())) == sorted(map(str, want.collect())) != []
